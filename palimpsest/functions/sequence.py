@@ -27,6 +27,12 @@ def opcodes(a, b) -> list[tuple]:
     return SequenceMatcher(None, a, b).get_opcodes()
 
 
+def _once(fn):
+    """Keep the optimizer from copying a costly call into each of its uses."""
+    return fn.asNondeterministic()
+
+
+@_once
 @F.pandas_udf(OPS_TYPE)
 def diff_ops(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp spans over two token arrays."""
@@ -39,6 +45,7 @@ def diff_ops(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
+@_once
 @F.pandas_udf(OPS_TYPE)
 def diff_chars(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same over the characters of two strings."""
@@ -252,6 +259,7 @@ def align_ops(verbs: frozenset = frozenset()):
     """UDF: opcodes of two token arrays with every replace span cut into one
     group per source token; merge spans are kept whole (tag ``merge``)."""
 
+    @_once
     @F.pandas_udf(OPS_TYPE)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         seen: dict[tuple, list[int]] = {}
@@ -286,6 +294,7 @@ def align_ops(verbs: frozenset = frozenset()):
 def span_cost(verbs: frozenset = frozenset()):
     """UDF: cost and group borders of one source span against one target span."""
 
+    @_once
     @F.pandas_udf(SPAN_TYPE)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         found = [align_span(list(x), list(y), verbs) for x, y in zip(a, b)]

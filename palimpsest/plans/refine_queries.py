@@ -8,7 +8,7 @@ from ..functions import rules, text as tx
 from ..functions.bleu import bleu
 from ..operators import pairing, refine
 from . import views as v
-from .bleu_sql import bleu_sql
+from .bleu_sql import bleu_sql, pair_texts
 from .catalog import Tables, query
 
 TITLE_FREE = r"regexp_extract(comment, '^/\*(.+)\*/(.*)', 2)"
@@ -141,12 +141,12 @@ def b_length_filter(t: Tables) -> DataFrame:
     return v.edit_pairs(t).filter(keep).select("pair_id")
 
 
-PAIR_TOKENS = f"SELECT pair_id AS k, {v.tokens_sql('tgt')} AS r, {v.tokens_sql('src')} AS h FROM edit_pairs"
+PAIR_BLEU = {**pair_texts(v.tokens_sql), **bleu_sql("toks", "pairs")}
 
 
 @query(
     "b_bleu_filter",
-    v.with_("edit_pairs", toks=PAIR_TOKENS, **bleu_sql("toks"))
+    v.with_("edit_pairs", **PAIR_BLEU)
     + "SELECT k AS pair_id FROM bleu WHERE bleu > 0.05 AND bleu < 0.95",
 )
 def b_bleu_filter(t: Tables) -> DataFrame:
@@ -162,12 +162,12 @@ DIGITLESS = "regexp_replace({}, '[0-9]+', '', 'g')"
         "comments",
         rows="""SELECT c.id, c.comment, d.text AS src, row_number() OVER (ORDER BY d.text, c.id) AS i
           FROM comments c JOIN documents d ON c.id = d.doc_id""",
-        tok=f"""SELECT id, i, {v.tokens_sql(DIGITLESS.format('comment'))} AS c, {v.tokens_sql(DIGITLESS.format('src'))} AS s FROM rows""",
-        near="SELECT a.i * 10 + b.i - a.i + 3 AS k, a.i AS own, a.c AS ac, a.s AS sa, b.c AS bc, b.s AS bs FROM tok a JOIN tok b ON b.i BETWEEN a.i - 3 AND a.i + 2 AND a.i <> b.i",
-        cr="SELECT k, bc AS r, ac AS h FROM near",
-        **bleu_sql("cr", "cb"),
-        sr="SELECT k, bs AS r, sa AS h FROM near",
-        **bleu_sql("sr", "sb"),
+        ct=f"SELECT i AS id, {v.tokens_sql(DIGITLESS.format('comment'))} AS t FROM rows",
+        st=f"SELECT i AS id, {v.tokens_sql(DIGITLESS.format('src'))} AS t FROM rows",
+        near="""SELECT a.i * 10 + o.d + 3 AS k, a.i AS own, a.i AS h, b.i AS r FROM rows a
+          CROSS JOIN (VALUES (-3), (-2), (-1), (1), (2)) AS o(d) JOIN rows b ON b.i = a.i + o.d""",
+        **bleu_sql("ct", "near", "cb"),
+        **bleu_sql("st", "near", "sb"),
         hits="SELECT DISTINCT own FROM near JOIN cb USING (k) JOIN sb USING (k) WHERE cb.bleu > 0.9 AND sb.bleu > 0.8",
     )
     + "SELECT id, i IN (SELECT own FROM hits) AS overlap FROM rows",
@@ -368,7 +368,7 @@ def b_has_generation(t: Tables) -> DataFrame:
 
 @query(
     "d_bleu",
-    v.with_("edit_pairs", toks=PAIR_TOKENS, **bleu_sql("toks")) + "SELECT k AS pair_id, round(bleu, 6) AS bleu FROM bleu",
+    v.with_("edit_pairs", **PAIR_BLEU) + "SELECT k AS pair_id, round(bleu, 6) AS bleu FROM bleu",
 )
 def d_bleu(t: Tables) -> DataFrame:
     score = bleu(tx.tokenize(F.col("tgt")), tx.tokenize(F.col("src")))

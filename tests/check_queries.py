@@ -19,7 +19,7 @@ def main() -> int:
     spark = build_session(
         "check",
         "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
@@ -28,11 +28,11 @@ def main() -> int:
     for name, fn in sorted(entry.queries().items()):
         if wanted and not any(name.startswith(w) for w in wanted):
             continue
-        start = time.time()
+        start, clock = time.time(), []
         try:
             df = fn(spark, folder)
             if name in oracle:
-                bad = compare(df, con, oracle[name])
+                bad = compare(df, con, oracle[name], clock)
                 n = ""
             else:
                 n, bad = f" rows={df.count()}", []
@@ -42,7 +42,7 @@ def main() -> int:
                 traceback.print_exc()
         failed += bool(bad)
         kind = "ok  " if not bad else "FAIL"
-        print(f"{kind} {name} {time.time() - start:.1f}s{'' if name in oracle else ' (rows only)' + n}", flush=True)
+        print(f"{kind} {name} spark {(clock or [time.time()])[0] - start:.1f}s all {time.time() - start:.1f}s{'' if name in oracle else ' (rows only)' + n}", flush=True)
         for b in bad:
             print("     ", b, flush=True)
     print("failed:", failed)

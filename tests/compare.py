@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from pathlib import Path
 
 import duckdb
@@ -33,9 +34,11 @@ def rows_of(names, rows):
     return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(df, con, sql: str) -> list[str]:
+def compare(df, con, sql: str, clock: list | None = None) -> list[str]:
     """Differences between a DataFrame and a SQL result; empty if equal."""
     spark_rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    if clock is not None:
+        clock.append(time.time())
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     kinds = {d[0]: str(d[1]) for d in cur.description}
