@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, functions as F
 
@@ -16,6 +17,23 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound(n: int):
+    """Decorator: evaluate the first ``n`` Column arguments once per row, so the
+    function may use them inside lambdas whatever expressions it is given."""
+
+    def wrap(fn):
+        @wraps(fn)
+        def call(*args, **kwargs):
+            packed = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(args[:n])])
+            return bind(
+                packed, lambda x: fn(*[x[f"_{i}"] for i in range(n)], *args[n:], **kwargs)
+            )
+
+        return call
+
+    return wrap
+
+
 def index_range(n: Column) -> Column:
     """``[0, 1, .., n-1]``, empty for ``n <= 0``."""
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(

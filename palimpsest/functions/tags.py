@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import rules
-from .collections import bind, index_range
+from .collections import bind, bound, index_range
 
 
 def capitalize(c: Column) -> Column:
@@ -98,6 +98,7 @@ def apply_tag(token: Column, tag: Column) -> Column:
     )
 
 
+@bound(1)
 def realise_merges(tokens: Column) -> Column:
     """Turn merge markers between tokens into a hyphen or nothing."""
     line = F.array_join(tokens, " ")
@@ -107,6 +108,7 @@ def realise_merges(tokens: Column) -> Column:
     return F.when(has_marker, F.filter(F.split(line, r"\s+"), lambda x: x != "")).otherwise(tokens)
 
 
+@bound(2)
 def apply_edits(tokens: Column, labels: Column) -> Column:
     """Tokens after applying per-position op lists.
 
@@ -139,6 +141,7 @@ def apply_edits(tokens: Column, labels: Column) -> Column:
     return realise_merges(F.flatten(F.transform(labels, fragment)))
 
 
+@bound(2)
 def edits_to_labels(edits: Column, n_tokens: Column) -> Column:
     """Dense op lists for positions -1..n-1 from ``(pos, op)`` edits in order.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, sequence, tags, text as tx
-from ..functions.collections import bind
+from ..functions.collections import bind, bound
 
 EDIT_TYPE = "array<struct<pos:int,op:string>>"
 
@@ -80,6 +80,7 @@ def _group_edits(pos: Column, s: Column, group: Column, verb: Column | None) ->
     )
 
 
+@bound(3)
 def ops_to_edits(ops: Column, src: Column, tgt: Column, verb: Column | None = None) -> Column:
     """Refined opcodes (one group per replaced token) to ordered ``(pos, op)`` edits."""
 

@@ -10,7 +10,7 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.collections import argmax, bind, dot
+from ..functions.collections import argmax, bind, bound, dot
 from ..session import cut_lineage
 from .ordering import with_index
 
@@ -46,6 +46,7 @@ def assign(vectors: DataFrame, column: str, model: KMeansModel) -> DataFrame:
     return model.transform(ready).withColumnRenamed("prediction", "cluster").drop("features")
 
 
+@bound(2)
 def nearest_centroid(vector: Column, centroids: Column) -> Column:
     """0-based index of the closest of a short array of centroids (first on a tie)."""
     distances = F.transform(
@@ -59,6 +60,7 @@ def nearest_centroid(vector: Column, centroids: Column) -> Column:
     return bind(distances, lambda d: (F.array_position(d, F.array_min(d)) - 1).cast("int"))
 
 
+@bound(2)
 def gate_route(vector: Column, weights: Column, temperature: float = 1.0) -> Column:
     """Top-1 expert and its probability: ``struct<expert, prob>``."""
     from .records import softmax

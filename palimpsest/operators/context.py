@@ -7,9 +7,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.collections import bind, index_range, prefix_sums
+from ..functions.collections import bind, bound, index_range, prefix_sums
 
 
+@bound(3)
 def sentence_of_token(sents: Column, tokens: Column, token_diff: Column) -> Column:
     """Indices of the sentences holding a changed token longer than one character."""
     at = F.filter(token_diff, lambda d: F.char_length(F.get(tokens, d)) > 1)
@@ -26,6 +27,7 @@ def sentence_of_token(sents: Column, tokens: Column, token_diff: Column) -> Colu
     )
 
 
+@bound(2)
 def context_window(tokens: Column, diff: Column, width: int) -> Column:
     """Tokens within ``width`` of a changed position, flagged 1 = changed, 0 = context.
 
@@ -53,6 +55,7 @@ def context_window(tokens: Column, diff: Column, width: int) -> Column:
     )
 
 
+@bound(3)
 def extend_sentences(
     sents: Column, start: Column, end: Column, max_tokens: int = 200, max_add: int = 2
 ) -> Column:
@@ -94,33 +97,44 @@ def extend_sentences(
     return bind(prefix_sums(sizes), grow)
 
 
+@bound(3)
 def map_context(sents: Column, start_sent: Column, end_sent: Column) -> Column:
     """First sentence containing the start sentence through the first containing
     the end sentence (as joined text): ``struct<start, end, offset>`` or null."""
-    joined = F.transform(sents, lambda s: F.array_join(s, " "))
 
     def first_with(lines: Column, sent: Column) -> Column:
-        hits = F.transform(lines, lambda s: F.contains(s, F.array_join(sent, " ")))
+        hits = F.transform(lines, lambda s: F.contains(s, sent))
         return (F.array_position(hits, True) - 1).cast("int")
 
-    def locate(lines: Column) -> Column:
+    def locate(x: Column) -> Column:
+        span = F.struct(
+            first_with(x["lines"], x["first"]).alias("s"), first_with(x["lines"], x["last"]).alias("e")
+        )
         return bind(
-            F.struct(first_with(lines, start_sent).alias("s"), first_with(lines, end_sent).alias("e")),
-            lambda x: F.when(
-                (x["s"] >= 0) & (x["e"] >= x["s"]),
+            span,
+            lambda y: F.when(
+                (y["s"] >= 0) & (y["e"] >= y["s"]),
                 F.struct(
-                    x["s"].alias("start"),
-                    x["e"].alias("end"),
+                    y["s"].alias("start"),
+                    y["e"].alias("end"),
                     F.aggregate(
-                        F.slice(sents, F.lit(1), x["s"]), F.lit(0), lambda acc, s: acc + F.size(s)
+                        F.slice(sents, F.lit(1), y["s"]), F.lit(0), lambda acc, s: acc + F.size(s)
                     ).alias("offset"),
                 ),
             ),
         )
 
-    return bind(joined, locate)
+    return bind(
+        F.struct(
+            F.transform(sents, lambda s: F.array_join(s, " ")).alias("lines"),
+            F.array_join(start_sent, " ").alias("first"),
+            F.array_join(end_sent, " ").alias("last"),
+        ),
+        locate,
+    )
 
 
+@bound(2)
 def strip_common_context(a: Column, b: Column, max_tokens: int = 200) -> Column:
     """Drop equal sentences in rounds (one at the front, one at the back) while
     either side has more than ``max_tokens`` tokens; an end stops at its first
@@ -191,6 +205,7 @@ def unchanged(n: Column, changed: Column) -> Column:
     return F.array_except(index_range(n), changed)
 
 
+@bound(3)
 def edit_examples(sents: Column, changed: Column, key: Column, k: int = 10, by_hash: bool = False) -> Column:
     """``struct<pos, neg>``: changed sentences and up to ``k`` unchanged ones.
 

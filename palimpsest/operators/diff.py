@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sequence, text as tx
+from ..functions.collections import bound
 
 
+@bound(2)
 def pick(items: Column, positions: Column) -> Column:
     return F.transform(positions, lambda i: F.get(items, i))
 

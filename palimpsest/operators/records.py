@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, tags
-from ..functions.collections import argmax, bind, index_range, run_bounds
+from ..functions.collections import argmax, bind, bound, index_range, run_bounds
 
 ITEM = "array<struct<token:string,mask:int>>"
 
@@ -189,6 +189,7 @@ def delete_runs(ops_first: Column) -> Column:
 # ---- model rows ----------------------------------------------------------------
 
 
+@bound(2)
 def align_labels(word_ids: Column, label_ids: Column, b_to_i: Column | None = None) -> Column:
     """Label per sub-token: special pieces (null word) -100, the first piece of a
     word its label, later pieces -100 or, given ``b_to_i``, the mapped label."""
@@ -205,6 +206,7 @@ def align_labels(word_ids: Column, label_ids: Column, b_to_i: Column | None = No
     return F.transform(word_ids, one)
 
 
+@bound(3)
 def align_slots(piece_ids: Column, word_ids: Column, word_mask: Column, mask_id: int, pad_id: int, slot: int = 4) -> Column:
     """``array<struct<input_id, label, type_id, attention>>`` with fixed-size slots.
 
@@ -326,6 +328,7 @@ def confidence_fallback(logits: Column, keep_id: int, min_prob: float) -> Column
     )
 
 
+@bound(2)
 def fill_slots(tokens: Column, predictions: Column) -> Column:
     """Drop bracketed spans; the k-th remaining mask takes the k-th prediction.
 
@@ -385,6 +388,7 @@ def fill_slots(tokens: Column, predictions: Column) -> Column:
     return bind(bind(tokens, outside), fill)
 
 
+@bound(3)
 def strip_ignored(pred: Column, gold: Column, id2label: Column) -> Column:
     """``struct<pred, gold>`` of ``B-label`` names where gold is not -100."""
     kept = F.filter(F.arrays_zip(pred.alias("p"), gold.alias("g")), lambda x: x["g"] != rules.IGNORE)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, sequence, text as tx
+from ..functions.collections import bound
 from ..functions.bleu import bleu, bleu_above, profile
 from .ordering import halo_blocks, with_index
 
@@ -116,17 +117,15 @@ def overlap_flags(
 
 def with_meaningless_flag(pairs: DataFrame) -> DataFrame:
     """Adds ``meaningless``: the removed source characters are digits and dots only."""
-    src = F.col("src")
-    gone = F.array_join(
-        F.transform(
-            F.filter("_ops", lambda o: o["tag"].isin("delete", "replace")),
-            lambda o: F.substring(src, o["i1"] + 1, o["i2"] - o["i1"]),
-        ),
-        "",
-    )
+
+    @bound(2)
+    def removed(src: Column, ops: Column) -> Column:
+        spans = F.filter(ops, lambda o: o["tag"].isin("delete", "replace"))
+        return F.array_join(F.transform(spans, lambda o: F.substring(src, o["i1"] + 1, o["i2"] - o["i1"])), "")
+
     return (
         pairs.withColumn("_ops", sequence.diff_chars("src", "tgt"))
-        .withColumn("_gone", gone)
+        .withColumn("_gone", removed(F.col("src"), F.col("_ops")))
         .withColumn(
             "meaningless",
             (F.col("_gone") != "") & (tx.strip(F.regexp_replace("_gone", r"[0-9.]+", "")) == ""),
@@ -137,15 +136,15 @@ def with_meaningless_flag(pairs: DataFrame) -> DataFrame:
 
 def with_month_flag(pairs: DataFrame) -> DataFrame:
     """Adds ``month_edit``: the replaced source tokens name a month."""
-    gone = F.array_join(
-        F.flatten(
-            F.transform(
-                F.filter("_ops", lambda o: o["tag"] == "replace"),
-                lambda o: F.slice(F.col("_a"), o["i1"] + 1, o["i2"] - o["i1"]),
-            )
-        ),
-        "",
-    )
+
+    @bound(2)
+    def replaced(tokens: Column, ops: Column) -> Column:
+        spans = F.filter(ops, lambda o: o["tag"] == "replace")
+        return F.array_join(
+            F.flatten(F.transform(spans, lambda o: F.slice(tokens, o["i1"] + 1, o["i2"] - o["i1"]))), ""
+        )
+
+    gone = replaced(F.col("_a"), F.col("_ops"))
     return (
         pairs.withColumn("_a", tx.tokenize(F.col("src")))
         .withColumn("_ops", sequence.diff_ops("_a", tx.tokenize(F.col("tgt"))))

@@ -108,24 +108,34 @@ def c_results_by_index(t: Tables) -> DataFrame:
     return lookups.zip_by_position(inputs, out).select("id", "output")
 
 
-CENTROIDS = [0, 1, 2, 3, 4, 5, 6, 7]
+def _centroids(t: Tables) -> DataFrame:
+    """The mean vector of every label, as one array of arrays in label order."""
+    means = (
+        t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
+        .groupBy("label", "i")
+        .agg(F.avg(F.col("x").cast("double")).alias("m"))
+    )
+    vectors = means.groupBy("label").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c")
+    )
+    return vectors.agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "c"))), lambda s: s["c"]))
 
 
-def _centroids(t: Tables) -> DataFrame:
-    """Eight evenly spread vectors as centroids, in id order, one row."""
-    v8 = t.embeddings.filter(F.col("vec_id").isin([c * 40 for c in CENTROIDS]))
-    return v8.agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]))
+NEAREST_SQL = """SELECT e.vec_id AS id, arg_min(c.label, list_sum(list_transform(list_zip(e.embedding, c.c),
+    lambda z: pow(z[1]::DOUBLE - z[2], 2)))) AS cluster FROM embeddings e CROSS JOIN
+    (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM
+      (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY 1) c GROUP BY 1"""
 
 
-NEAREST_SQL = f"""SELECT e.vec_id AS id, arg_min(c.vec_id // 40, list_sum(list_transform(list_zip(e.embedding, c.embedding),
-    lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS cluster FROM embeddings e
-  JOIN embeddings c ON c.vec_id IN ({', '.join(str(c * 40) for c in CENTROIDS)}) GROUP BY 1"""
+def _nearest(t: Tables) -> DataFrame:
+    near = cluster.nearest_centroid(F.col("embedding"), F.col("_c"))
+    vectors = t.embeddings.withColumn("_c", _centroids(t).scalar())
+    return vectors.select(F.col("vec_id").alias("id"), near.alias("cluster"))
 
 
 @query("j_assign_centroids", NEAREST_SQL)
 def j_assign_centroids(t: Tables) -> DataFrame:
-    near = cluster.nearest_centroid(F.col("embedding"), _centroids(t).scalar())
-    return t.embeddings.select(F.col("vec_id").alias("id"), near.cast("bigint").alias("cluster"))
+    return _nearest(t)
 
 
 @query(
@@ -133,10 +143,8 @@ def j_assign_centroids(t: Tables) -> DataFrame:
     f"WITH a AS ({NEAREST_SQL}) SELECT d.doc_id AS id, md5(d.text) AS digest, a.cluster FROM documents d JOIN a ON d.doc_id = a.id",
 )
 def c_attach_cluster(t: Tables) -> DataFrame:
-    near = cluster.nearest_centroid(F.col("embedding"), _centroids(t).scalar())
-    assigned = t.embeddings.select(F.col("vec_id").alias("id"), near.cast("bigint").alias("cluster"))
     texts = t.documents.select(F.col("doc_id").alias("id"), F.md5("text").alias("digest"))
-    return texts.join(assigned, "id")
+    return texts.join(_nearest(t), "id")
 
 
 LEXICON = """SELECT DISTINCT w AS w1, w || 'ed' AS w2, 'VB' AS t1, 'VBD' AS t2 FROM
