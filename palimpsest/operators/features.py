@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 
@@ -60,33 +62,49 @@ def top_terms(weights: DataFrame, clusters: DataFrame, key: str, k: int = 10) ->
     return labelled.groupBy("cluster").pivot("slot", names).agg(F.first("term"))
 
 
-def fit_svd(vectors: DataFrame, column: str, k: int = 100):
+def fit_svd(vectors: DataFrame, column: str, k: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Truncated SVD without centring: ``(singular values, d x k matrix)``.
 
-    Rows stay distributed; only the d x d Gram work and the k columns (d is the
-    embedding width) reach the driver.
+    Each task adds up the d x d Gram matrix of its rows; the sum, whose size is
+    set by the embedding width alone, is decomposed on the driver.
     """
-    rows = vectors.select(column).rdd.map(lambda r: OldVectors.dense([float(x) for x in r[0]]))
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    return svd.s.toArray(), svd.V.toArray()
-
-
-def project(vectors: DataFrame, column: str, matrix, out: str = "reduced", normalize: bool = False) -> DataFrame:
-    """Rows times a small ``d x k`` matrix, natively, optionally to unit length."""
-    basis = [[float(x) for x in col] for col in matrix.T]
-    v = F.col(column)
-    coords = F.array(
-        *[
-            F.aggregate(
-                F.zip_with(v, F.array(*[F.lit(x) for x in col]), lambda a, b: a.cast("double") * b),
-                F.lit(0.0),
-                lambda acc, x: acc + x,
-            )
-            for col in basis
-        ]
+
+    def gram(batches):
+        total = None
+        for pdf in batches:
+            m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+            total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            yield pd.DataFrame({"g": [total.ravel()]})
+
+    cells = (
+        vectors.select(F.col(column).cast("array<double>").alias("v"))
+        .mapInPandas(gram, "g array<double>")
+        .select(F.posexplode("g").alias("i", "x"))
+        .groupBy("i")
+        .agg(F.sum("x").alias("x"))
+        .orderBy("i")
+        .toPandas()
     )
-    done = vectors.withColumn(out, coords)
-    return unit_length(done, out, out) if normalize else done
+    d = math.isqrt(len(cells))
+    values, basis = np.linalg.eigh(cells["x"].to_numpy().reshape(d, d))
+    order = values.argsort()[::-1][: min(k, d)]
+    return np.sqrt(np.clip(values[order], 0, None)), basis[:, order]
+
+
+def project(vectors: DataFrame, column: str, matrix: np.ndarray, out: str = "reduced", normalize: bool = False) -> DataFrame:
+    """Rows times a small ``d x k`` matrix (a dense product per Arrow batch),
+    optionally scaled to unit length."""
+    basis = np.ascontiguousarray(matrix)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(v: pd.Series) -> pd.Series:
+        rows = np.stack(v.to_numpy()).astype(np.float64) @ basis
+        if normalize:
+            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
+        return pd.Series(list(rows))
+
+    return vectors.withColumn(out, apply(F.col(column)))
 
 
 def unit_length(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -106,8 +124,3 @@ def reduce_vectors(vectors: DataFrame, column: str, k: int = 100, svd: bool = Tr
     _, v = fit_svd(vectors, column, k)
     return project(vectors, column, v, "reduced", norm)
 
-
-__all__ = [
-    "terms", "tfidf", "top_terms", "fit_svd", "project", "unit_length", "reduce_vectors",
-
-]

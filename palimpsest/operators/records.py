@@ -42,7 +42,7 @@ def _appended(ops: Column) -> Column:
 def _merge_end(tokens: Column, firsts: Column, i: Column) -> Column:
     """The joined run that ends at token ``i`` (marked tokens plus this one)."""
     breaks = F.filter(F.sequence(F.lit(0), i), lambda k: (k < i) & ~_is(F.get(firsts, k), "$MERGE_"))
-    start = F.coalesce(F.element_at(breaks, F.when(F.size(breaks) > 0, -1).otherwise(1)) + 1, F.lit(0))
+    start = F.coalesce(F.get(breaks, F.size(breaks) - 1) + 1, F.lit(0))
     run = F.slice(tokens, start + 1, i - start + 1)
     hyphen = _is(F.get(firsts, start), rules.MERGE_HYPHEN)
     return _items((F.when(hyphen, F.array_join(run, "-")).otherwise(F.array_join(run, "")), 0))
@@ -86,7 +86,11 @@ def generation_record(tokens: Column, ops: Column, keep_delete: bool = True) ->
             first = F.get(firsts, i)
             prev, nxt = F.get(firsts, i - 1), F.get(firsts, i + 1)
             extra = _appended(o)
-            prev_open = _is(prev, rules.DELETE) & (F.size(F.get(all_ops, i - 1)) == 1)
+            prev_open = (
+                _is(prev, rules.DELETE)
+                & (F.size(F.get(all_ops, i - 1)) == 1)
+                & ~_is(F.get(firsts, i - 2), "$MERGE_")  # that token went into a merged run
+            )
             next_joins = _is(nxt, rules.DELETE) & (F.size(o) == 1)
             deleted = (
                 F.concat(
@@ -392,7 +396,8 @@ def fill_slots(tokens: Column, predictions: Column) -> Column:
 def strip_ignored(pred: Column, gold: Column, id2label: Column) -> Column:
     """``struct<pred, gold>`` of ``B-label`` names where gold is not -100."""
     kept = F.filter(F.arrays_zip(pred.alias("p"), gold.alias("g")), lambda x: x["g"] != rules.IGNORE)
-    named = [
-        F.transform(kept, lambda x, c=c: F.concat(F.lit("B-"), F.get(id2label, x[c]))) for c in ("p", "g")
-    ]
-    return F.struct(named[0].alias("pred"), named[1].alias("gold"))
+
+    def named(side: str) -> Column:
+        return F.transform(kept, lambda x: F.concat(F.lit("B-"), F.get(id2label, x[side])))
+
+    return F.struct(named("p").alias("pred"), named("g").alias("gold"))
