@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 from .collections import bind, index_range, numbered_copies
@@ -71,14 +69,19 @@ def bleu_of_profiles(ref: Column, hyp: Column) -> Column:
 
 
 def bleu_above(ref: Column, hyp: Column, threshold: float) -> Column:
-    """``bleu > threshold`` for profiles, settled by the lengths alone where it can be.
+    """``bleu > threshold`` for profiles.
 
-    The brevity penalty bounds the score from one side, and unigram matches
-    cannot exceed the shorter text from the other; both bounds are exact.
+    The brevity penalty and the unigram precision both bound the score from
+    above, exactly; higher orders are compared only where the bounds allow a hit.
     """
     r, h = ref["len"].cast("double"), hyp["len"].cast("double")
-    possible = (r <= h * (1.0 - math.log(threshold)) + 1e-6) & (r >= h * threshold**MAX_ORDER - 1e-6)
-    return F.when(possible, bleu_of_profiles(ref, hyp) > threshold).otherwise(F.lit(False))
+    penalty = F.least(F.exp(1.0 - r / h), F.lit(1.0))
+    lengths_allow = (h > 0) & (penalty > threshold - 1e-9)
+    shared = F.size(F.array_intersect(ref["g1"], hyp["g1"])) / h
+    words_allow = penalty * F.pow(shared, F.lit(1.0 / MAX_ORDER)) > threshold - 1e-9
+    return F.when(
+        lengths_allow, F.when(words_allow, bleu_of_profiles(ref, hyp) > threshold).otherwise(F.lit(False))
+    ).otherwise(F.lit(False))
 
 
 def bleu(ref: Column, hyp: Column) -> Column:

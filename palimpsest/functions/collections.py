@@ -63,23 +63,32 @@ def run_bounds(a: Column, same: Callable[[Column, Column], Column]) -> Column:
 
 
 def numbered_copies(a: Column) -> Column:
-    """Tag every element of a string array with its occurrence number.
+    """Turn a string array into a set: first occurrences as they are, further
+    ones tagged with their number.
 
-    The result is a set, so the size of an ``array_intersect`` of two of them
-    is the size of the multiset intersection. Sort plus linear passes.
+    The size of an ``array_intersect`` of two results is the size of the
+    multiset intersection. Sort plus linear passes; only repeated elements are
+    touched one by one.
     """
-    return bind(
-        F.sort_array(a),
-        lambda s: F.flatten(
+
+    def repeated(s: Column) -> Column:
+        at = F.filter(
+            index_range(F.size(s)), lambda i: F.coalesce(F.get(s, i) == F.get(s, i - 1), F.lit(False))
+        )
+        return F.transform(at, lambda i: F.get(s, i))
+
+    def tagged(d: Column) -> Column:
+        return F.flatten(
             F.transform(
-                run_bounds(s, lambda x, y: x == y),
+                run_bounds(d, lambda x, y: x == y),
                 lambda r: F.transform(
                     F.sequence(F.lit(0), r["hi"] - r["lo"]),
-                    lambda k: F.concat(F.get(s, r["lo"]), F.lit("\u0002"), k.cast("string")),
+                    lambda k: F.concat(F.get(d, r["lo"]), F.lit("\u0002"), k.cast("string")),
                 ),
             )
-        ),
-    )
+        )
+
+    return bind(F.sort_array(a), lambda s: F.concat(F.array_distinct(s), bind(repeated(s), tagged)))
 
 
 def prefix_sums(sizes: Column) -> Column:

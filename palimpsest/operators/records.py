@@ -39,13 +39,27 @@ def _appended(ops: Column) -> Column:
     return F.transform(kept, lambda o: _item(F.substring(o, len(rules.APPEND) + 1, 1 << 30), 1))
 
 
-def _merge_end(tokens: Column, firsts: Column, i: Column) -> Column:
+def _merge_starts(firsts: Column) -> Column:
+    """Per token where its run of merge marks starts (an unmarked token: itself)."""
+
+    def both(a: Column, b: Column) -> Column:
+        return _is(a, "$MERGE_") & _is(b, "$MERGE_")
+
+    return F.flatten(
+        F.transform(run_bounds(firsts, both), lambda r: F.array_repeat(r["lo"], r["hi"] - r["lo"] + 1))
+    )
+
+
+def _merge_end(tokens: Column, firsts: Column, starts: Column, i: Column) -> Column:
     """The joined run that ends at token ``i`` (marked tokens plus this one)."""
-    breaks = F.filter(F.sequence(F.lit(0), i), lambda k: (k < i) & ~_is(F.get(firsts, k), "$MERGE_"))
-    start = F.coalesce(F.get(breaks, F.size(breaks) - 1) + 1, F.lit(0))
-    run = F.slice(tokens, start + 1, i - start + 1)
-    hyphen = _is(F.get(firsts, start), rules.MERGE_HYPHEN)
-    return _items((F.when(hyphen, F.array_join(run, "-")).otherwise(F.array_join(run, "")), 0))
+    after_mark = _is(F.get(firsts, i - 1), "$MERGE_")
+    start = F.when(after_mark, F.get(starts, i - 1)).otherwise(F.get(starts, i))
+
+    def join(lo: Column) -> Column:
+        glue = F.when(_is(F.get(firsts, lo), rules.MERGE_HYPHEN), F.lit("-")).otherwise(F.lit(""))
+        return F.call_function("array_join", F.slice(tokens, lo + 1, i - lo + 1), glue)
+
+    return _items((bind(start, join), 0))
 
 
 def has_generation_op(ops: Column, include_verb: bool = False) -> Column:
@@ -79,7 +93,7 @@ def generation_record(tokens: Column, ops: Column, keep_delete: bool = True) ->
     """
 
     def build(x: Column) -> Column:
-        toks, all_ops, firsts = x["t"], x["o"], x["f"]
+        toks, all_ops, firsts, starts = x["t"], x["o"], x["f"], x["m"]
 
         def fragment(o: Column, i: Column) -> Column:
             tok = F.get(toks, i)
@@ -118,7 +132,7 @@ def generation_record(tokens: Column, ops: Column, keep_delete: bool = True) ->
             last_token = i == F.size(toks) - 1
             own = (
                 F.when(merging & ~last_token, _none())
-                .when(merging | ends_merge, _merge_end(toks, firsts, i))
+                .when(merging | ends_merge, _merge_end(toks, firsts, starts, i))
                 .when(first == rules.DELETE, deleted)
                 .when(_is(first, rules.VERB), verb)
                 .when(_is(first, "$TRANSFORM"), _plain(tags.apply_tag(tok, first)))
@@ -130,10 +144,8 @@ def generation_record(tokens: Column, ops: Column, keep_delete: bool = True) ->
         return F.flatten(F.transform(all_ops, fragment))
 
     return bind(
-        F.struct(
-            tokens.alias("t"), ops.alias("o"), F.transform(ops, lambda o: F.get(o, F.lit(0))).alias("f")
-        ),
-        build,
+        F.struct(tokens.alias("t"), ops.alias("o"), F.transform(ops, lambda o: F.get(o, F.lit(0))).alias("f")),
+        lambda x: bind(F.struct(x["t"], x["o"], x["f"], _merge_starts(x["f"]).alias("m")), build),
     )
 
 
@@ -143,7 +155,7 @@ def inference_record(tokens: Column, tags_: Column, slots: int = 4, keep_delete:
     masks = F.array_repeat(_item(F.lit(rules.MASK), 1), slots)
 
     def build(x: Column) -> Column:
-        toks, all_tags = x["t"], x["f"]
+        toks, all_tags, starts = x["t"], x["f"], x["m"]
 
         def fragment(tag: Column, i: Column) -> Column:
             tok = F.get(toks, i)
@@ -154,7 +166,7 @@ def inference_record(tokens: Column, tags_: Column, slots: int = 4, keep_delete:
             merging = _is(tag, "$MERGE_")
             return (
                 F.when(merging & (i < F.size(toks) - 1), _none())
-                .when(merging | _is(prev, "$MERGE_"), _merge_end(toks, all_tags, i))
+                .when(merging | _is(prev, "$MERGE_"), _merge_end(toks, all_tags, starts, i))
                 .when(tag == rules.KEEP, _items((tok, 0)))
                 .when(tag == rules.DELETE, bracket)
                 .when(
@@ -170,7 +182,10 @@ def inference_record(tokens: Column, tags_: Column, slots: int = 4, keep_delete:
         return F.flatten(F.transform(all_tags, fragment))
 
     plain = F.transform(tags_, lambda t: F.regexp_replace(t, "^B-", ""))
-    return bind(F.struct(tokens.alias("t"), plain.alias("f")), build)
+    return bind(
+        F.struct(tokens.alias("t"), plain.alias("f")),
+        lambda x: bind(F.struct(x["t"], x["f"], _merge_starts(x["f"]).alias("m")), build),
+    )
 
 
 def keep_all_record(tokens: Column) -> Column:

@@ -99,8 +99,10 @@ def overlap_flags(
         return profile(tx.tokenize(F.regexp_replace(c, r"[0-9]+", "")))
 
     indexed = with_index(pairs, order, "_idx")
-    # the bulky n-gram profiles are built after the rows have moved
-    placed = halo_blocks(indexed, "_idx", before, after, block=256).repartition("_block")
+    # Profiles are built after the rows have moved: they are bulky and cost far
+    # more than their bytes suggest, so the number of tasks is set, not merged.
+    tasks = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = halo_blocks(indexed, "_idx", before, after, block=64).repartition(tasks, "_block")
     profiled = placed.withColumn("_t", F.struct(digitless("comment").alias("c"), digitless("src").alias("s")))
     w = Window.partitionBy("_block").orderBy("_idx")
     shifts = [-k for k in range(1, before + 1)] + list(range(1, after + 1))

@@ -9,20 +9,26 @@ from ..operators import annotate as an, lookups, records as rec
 from . import views as v
 from .catalog import Tables, query
 
-# words of the English documents, where the engines' case mappings agree
-WORDS = "SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents WHERE lang = 'en'"
-CAP = "upper(left({0}, 1)) || lower(substr({0}, 2))"
-VARIANTS = f"""pairs AS (SELECT w AS s, unnest([w, lower(w), upper(w), {CAP.format('w')}, left(w, 1) || {CAP.format('substr(w, 2)')},
-    upper(left(w, length(w) - 1)) || right(w, 1), w || 's', left(w, length(w) - 1)]) AS t FROM (SELECT * FROM words WHERE length(w) > 1))"""
+WORDS = "SELECT DISTINCT unnest(string_split(text, ' ')) AS w FROM documents"
+
+
+def up(expr: str) -> str:
+    """Upper case with the full mapping of the sharp s, as Spark has it."""
+    return f"upper(replace({expr}, 'ß', 'SS'))"
+
+
+CAP = up("left({0}, 1)") + " || lower(substr({0}, 2))"
+VARIANTS = f"""pairs AS (SELECT w AS s, unnest([w, lower(w), {up('w')}, {CAP.format('w')}, left(w, 1) || {CAP.format('substr(w, 2)')},
+    {up('left(w, length(w) - 1)')} || right(w, 1), w || 's', left(w, length(w) - 1)]) AS t FROM (SELECT * FROM words WHERE length(w) > 1))"""
 CASE_SQL = f"""CASE WHEN lower(s) <> lower(t) THEN NULL WHEN lower(s) = t THEN '$TRANSFORM_CASE_LOWER' WHEN {CAP.format('s')} = t THEN '$TRANSFORM_CASE_CAPITAL'
-    WHEN upper(s) = t THEN '$TRANSFORM_CASE_UPPER'
+    WHEN {up('s')} = t THEN '$TRANSFORM_CASE_UPPER'
     WHEN left(s, 1) = left(t, 1) AND {CAP.format('substr(s, 2)')} = substr(t, 2) THEN '$TRANSFORM_CASE_CAPITAL_1'
-    WHEN right(s, 1) = right(t, 1) AND upper(left(s, length(s) - 1)) = left(t, length(t) - 1) THEN '$TRANSFORM_CASE_UPPER_-1' END"""
+    WHEN right(s, 1) = right(t, 1) AND {up('left(s, length(s) - 1)')} = left(t, length(t) - 1) THEN '$TRANSFORM_CASE_UPPER_-1' END"""
 PLURAL_SQL = "CASE WHEN s = t || 's' THEN '$TRANSFORM_AGREEMENT_SINGULAR' WHEN t = s || 's' THEN '$TRANSFORM_AGREEMENT_PLURAL' END"
 
 
 def _words(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'en'").select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    return t.documents.select(F.explode(F.split("text", " ")).alias("w")).distinct()
 
 
 def _variants(t: Tables) -> DataFrame:
@@ -256,8 +262,8 @@ def k_tagged_line(t: Tables) -> DataFrame:
     "k_reverse_transform",
     f"""WITH words AS ({WORDS}), p AS (SELECT w, unnest(['$TRANSFORM_CASE_LOWER', '$TRANSFORM_CASE_UPPER', '$TRANSFORM_CASE_CAPITAL', '$TRANSFORM_CASE_CAPITAL_1',
       '$TRANSFORM_CASE_UPPER_-1', '$TRANSFORM_VERB-done', '$TRANSFORM_SPLIT_HYPHEN', '$TRANSFORM_AGREEMENT_PLURAL', '$TRANSFORM_AGREEMENT_SINGULAR', '$KEEP']) AS tag FROM words WHERE length(w) > 1)
-    SELECT w, tag, CASE tag WHEN '$TRANSFORM_CASE_LOWER' THEN lower(w) WHEN '$TRANSFORM_CASE_UPPER' THEN upper(w) WHEN '$TRANSFORM_CASE_CAPITAL' THEN {CAP.format('w')}
-      WHEN '$TRANSFORM_CASE_CAPITAL_1' THEN left(w, 1) || {CAP.format('substr(w, 2)')} WHEN '$TRANSFORM_CASE_UPPER_-1' THEN upper(left(w, length(w) - 1)) || right(w, 1)
+    SELECT w, tag, CASE tag WHEN '$TRANSFORM_CASE_LOWER' THEN lower(w) WHEN '$TRANSFORM_CASE_UPPER' THEN {up('w')} WHEN '$TRANSFORM_CASE_CAPITAL' THEN {CAP.format('w')}
+      WHEN '$TRANSFORM_CASE_CAPITAL_1' THEN left(w, 1) || {CAP.format('substr(w, 2)')} WHEN '$TRANSFORM_CASE_UPPER_-1' THEN {up('left(w, length(w) - 1)')} || right(w, 1)
       WHEN '$TRANSFORM_VERB-done' THEN 'done' WHEN '$TRANSFORM_SPLIT_HYPHEN' THEN replace(w || '-end', '-', '|') WHEN '$TRANSFORM_AGREEMENT_PLURAL' THEN w || 's'
       WHEN '$TRANSFORM_AGREEMENT_SINGULAR' THEN left(w, length(w) - 1) ELSE w END AS result FROM p""",
 )

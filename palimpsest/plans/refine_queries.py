@@ -320,12 +320,11 @@ def b_sent_ok(t: Tables) -> DataFrame:
 @query(
     "b_normalize",
     f"""SELECT doc_id, lower({replace_sql("array_to_string(list_filter(t, lambda x, i: i = 1 OR x <> t[i - 1]), ' ')", rules.TOKEN_REWRITES)}) AS line
-    FROM (SELECT doc_id, string_split('It''ve it''ve -- `a` ' || text, ' ') AS t FROM documents WHERE lang = 'en')""",
+    FROM (SELECT doc_id, string_split('It''ve it''ve -- `a` ' || text, ' ') AS t FROM documents)""",
 )
 def b_normalize(t: Tables) -> DataFrame:
-    """English only: the engines' lower-casing agrees there."""
     line = F.concat(F.lit("It've it've -- `a` "), F.col("text"))
-    return t.documents.filter("lang = 'en'").select("doc_id", tx.normalize_line(line).alias("line"))
+    return t.documents.select("doc_id", tx.normalize_line(line).alias("line"))
 
 
 @query(

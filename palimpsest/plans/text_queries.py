@@ -295,13 +295,19 @@ def h_edit_examples(t: Tables) -> DataFrame:
     )
 
 
+# the checking engine counts bytes: give every accented letter of the texts one byte
+ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßàäçèéêíñóöùúü"
+ONE_BYTE = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(ACCENTED)])
+
+
 @query(
     "h_levenshtein",
-    v.with_("edit_pairs") + "SELECT pair_id, CAST(levenshtein(src, tgt) AS INTEGER) AS distance FROM edit_pairs WHERE lang = 'en'",
+    v.with_("edit_pairs")
+    + f"""SELECT pair_id, CAST(levenshtein(translate(src, '{ACCENTED}', {ONE_BYTE}), translate(tgt, '{ACCENTED}', {ONE_BYTE})) AS INTEGER) AS distance
+    FROM edit_pairs""",
 )
 def h_levenshtein(t: Tables) -> DataFrame:
-    """English only: the checking engine counts bytes, not characters."""
-    return v.edit_pairs(t).filter("lang = 'en'").select("pair_id", F.levenshtein("src", "tgt").alias("distance"))
+    return v.edit_pairs(t).select("pair_id", F.levenshtein("src", "tgt").alias("distance"))
 
 
 @query(
