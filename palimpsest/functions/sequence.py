@@ -107,152 +107,234 @@ def _transforms(s: str, t: str, verbs: frozenset) -> bool:
     )
 
 
-_FAR = 1_000_000_000
 GAP = "   "  # fixed value: words of a group are priced joined by three spaces
+_FAR = 1_000_000_000
+_WORD = 64  # longest token that fits one machine word
+_CELLS = 400_000  # (token, group start) pairs advanced together
 
 
 class _Span:
-    """The target words of one span, laid out as a single text."""
+    """One source span against one target span.
 
-    def __init__(self, targets: list[str]):
-        self.targets = targets
+    For distinct token ``n`` and start word ``j`` the exact prices of the groups
+    ``targets[j : j + 1]``, ``targets[j : j + 2]``, .. (``width[n, j]`` of them)
+    lie in ``prices`` from ``slot[n, j]`` on.
+    """
+
+    def __init__(self, source: list[str], targets: list[str], verbs: frozenset):
+        self.source, self.targets, self.verbs = source, targets, verbs
         self.m = len(targets)
         self.text = GAP.join(targets)
         lengths = np.array([len(t) for t in targets], dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(lengths + len(GAP))[:-1]]).astype(np.int64)
         self.ends = self.starts + lengths
-        # text length of targets[j:k]; meaningless for k <= j
-        self.size = np.zeros((self.m + 1, self.m + 1), dtype=np.int64)
-        self.size[: self.m, 1:] = self.ends[None, :] - self.starts[:, None]
-
-    def reach_end(self, reach: int) -> np.ndarray:
-        """Where the text of the longest group within reach of each start ends."""
-        return self.ends[np.minimum(np.arange(self.m) + reach, self.m) - 1]
-
-
-def _scalar_costs(s: str, span: _Span, reach: int, cost: np.ndarray) -> None:
-    stop = span.reach_end(reach)
-    for j in range(span.m):
-        dist = edit_distances(s, span.text[span.starts[j] : stop[j]])
-        for k in range(j + 1, min(j + reach, span.m) + 1):
-            cost[j, k] = dist[span.size[j, k]]
+        self.names = sorted(set(source))
+        self.exact: dict[str, list[int]] = {}
+        self.lower: dict[str, list[int]] = {}
+        for j, w in enumerate(targets):
+            self.exact.setdefault(w, []).append(j)
+            self.lower.setdefault(w.lower(), []).append(j)
+
+    def plan(self, reach: int | None) -> None:
+        """Choose which groups to price: up to ``reach`` words, or (None) all
+        whose price is not plain arithmetic.
+
+        Once the token is a subsequence of the group's text, the price is the
+        difference in length, for this and every longer group.
+        """
+        words_left = self.m - np.arange(self.m)
+        if reach is not None:
+            self.width = np.tile(np.minimum(reach, words_left), (len(self.names), 1))
+        else:
+            following = self._next_char()
+            nowhere = len(self.text) + 1
+            rows = []
+            for s in self.names:
+                at = self.starts
+                for ch in s:
+                    at = following[ch][at] if ch in following else np.full(self.m, nowhere)
+                rows.append(np.searchsorted(self.ends, at, side="left") - np.arange(self.m))
+            self.width = np.clip(np.array(rows), 0, words_left)
+        self.settled = reach is None or reach >= self.m
+        total = np.cumsum(self.width.ravel())
+        self.slot = np.concatenate([[0], total[:-1]]).reshape(self.width.shape)
+        self.prices = np.full(int(total[-1]), _FAR, dtype=np.int64)
+        for n, s in enumerate(self.names):
+            if not 0 < len(s) <= _WORD:
+                for j in np.nonzero(self.width[n])[0]:
+                    w, lo = int(self.width[n, j]), int(self.slot[n, j])
+                    dist = edit_distances(s, self.text[self.starts[j] : self.ends[j + w - 1]])
+                    self.prices[lo : lo + w] = [dist[e] for e in self.ends[j : j + w] - self.starts[j]]
+
+    def _next_char(self) -> dict[str, np.ndarray]:
+        """Per character the position after its next occurrence from each place."""
+        nowhere = len(self.text) + 1
+        letters = np.array(list(self.text))
+        out = {}
+        for ch in set(self.text):
+            at = np.full(nowhere + 1, nowhere, dtype=np.int64)
+            where = np.nonzero(letters == ch)[0]
+            at[where] = where + 1
+            out[ch] = np.minimum.accumulate(at[::-1])[::-1]
+        return out
+
+    def _free_groups(self, s: str):
+        """``(j, k)`` of the groups a transform makes of the token ``s``."""
+        near = set(self.lower.get(s.lower(), ())) | set(self.exact.get(s + "s", ()))
+        if s.endswith("s"):
+            near.update(self.exact.get(s[:-1], ()))
+        if self.verbs:
+            near.update(j for j, w in enumerate(self.targets) if (s, w) in self.verbs)
+        for j in near:
+            if _transforms(s, self.targets[j], self.verbs):
+                yield j, j + 1
+        parts = s.split("-")
+        if len(parts) > 1:
+            for j in self.exact.get(parts[0], ()):
+                if self.targets[j : j + len(parts)] == parts:
+                    yield j, j + len(parts)
+
+    def solve(self) -> tuple[int, list[int]] | None:
+        """Cheapest split, or None if it leans on a group that is not priced yet.
+
+        A longer group counts with its lower bound, the difference in length.
+        If the best split uses exact prices only it is the best split overall,
+        ties included, since no bound got below it.
+        """
+        m, n = self.m, len(self.source)
+        size = np.zeros((m + 1, m + 1), dtype=np.int64)
+        size[:m, 1:] = self.ends[None, :] - self.starts[:, None]
+        size[np.tril_indices(m + 1, -1)] = _FAR
+        row = {s: i for i, s in enumerate(self.names)}
+        best = np.full(m + 1, _FAR, dtype=np.int64)
+        best[0] = 0
+        back = np.zeros((n, m + 1), dtype=np.int64)
+        for i, s in enumerate(self.source):
+            width, slot = self.width[row[s]], self.slot[row[s]]
+            lo, hi = int(slot[0]), int(slot[-1] + width[-1])
+            j_at = np.repeat(np.arange(m), width)
+            cost = np.maximum(size - len(s), 0)
+            cost[j_at, j_at + 1 + np.arange(lo, hi) - slot[j_at]] = self.prices[lo:hi]
+            np.fill_diagonal(cost, 0 if _transforms(s, "", self.verbs) else len(s))
+            for j, k in self._free_groups(s):
+                cost[j, k] = 0
+            total = best[:, None] + cost
+            back[i] = total.argmin(axis=0)
+            best = total.min(axis=0)
+        borders = [m]
+        for i in range(n - 1, -1, -1):
+            borders.append(int(back[i, borders[-1]]))
+        borders.reverse()
+        if not self.settled:
+            for i, s in enumerate(self.source):
+                j, k = borders[i], borders[i + 1]
+                if k > j and k - j > self.width[row[s], j] and s.split("-") != self.targets[j:k]:
+                    return None
+        return int(best[m]), borders
 
 
-def _vector_costs(patterns: list[str], span: _Span, reach: int, costs: np.ndarray) -> None:
-    """The same for several tokens of 1..64 characters at once.
+def _price_together(spans: list[_Span]) -> None:
+    """Fill the prices of several spans in one sweep.
 
-    Every (token, group start) pair is one machine word; all of them advance
-    through their texts together. ``costs`` is ``[token, j, k]``.
+    Bit-parallel Levenshtein distance with one machine word per (token, group
+    start); all of them, across spans, take one text character per step.
     """
-    m, c = span.m, len(patterns)
-    text = span.text
-    token_ending_at = np.full(len(text) + 2, -1)
-    token_ending_at[span.ends] = np.arange(1, m + 1)
-    chars = {ch: i for i, ch in enumerate(sorted(set(text)))}
-    masks = np.zeros((len(chars), c), dtype=np.uint64)
-    for n, pattern in enumerate(patterns):
-        for i, ch in enumerate(pattern):
-            if ch in chars:
-                masks[chars[ch], n] |= np.uint64(1 << i)
-    codes = np.array([chars[ch] for ch in text])
-    sizes = np.array([len(p) for p in patterns])
+    texts = "".join(sp.text + "\n" for sp in spans)
+    letters = {ch: i for i, ch in enumerate(sorted(set(texts)))}
+    codes = np.array([letters[ch] for ch in texts], dtype=np.int64)
+    patterns = sorted({s for sp in spans for s in sp.names if 0 < len(s) <= _WORD})
+    number = {s: i for i, s in enumerate(patterns)}
+    masks = np.zeros((len(letters), len(patterns)), dtype=np.uint64)
+    for n, s in enumerate(patterns):
+        for i, ch in enumerate(s):
+            if ch in letters:
+                masks[letters[ch], n] |= np.uint64(1 << i)
+    word_at = np.full(len(texts) + 1, -1, dtype=np.int64)
+    pat, pos, left, first, slot = [], [], [], [], []
+    base = offset = 0
+    for sp in spans:
+        word_at[offset + sp.ends] = np.arange(1, sp.m + 1)
+        for n, s in enumerate(sp.names):
+            if s in number:
+                js = np.nonzero(sp.width[n])[0]
+                pat.append(np.full(len(js), number[s]))
+                slot.append(base + sp.slot[n, js])
+                pos.append(offset + sp.starts[js])
+                left.append(sp.ends[js + sp.width[n, js] - 1] - sp.starts[js])
+                first.append(js)
+        base += len(sp.prices)
+        offset += len(sp.text) + 1
+    if not pat:
+        return
+    pat, pos, left, first, slot = (np.concatenate(x) for x in (pat, pos, left, first, slot))
+    order = np.argsort(-left, kind="stable")
+    pat, pos, left, first, slot = (x[order] for x in (pat, pos, left, first, slot))
+    length = np.array([len(s) for s in patterns], dtype=np.int64)[pat]
+    shift = (length - 1).astype(np.uint64)
     one = np.uint64(1)
-    shift = (sizes - 1).astype(np.uint64)
-    pv = np.full((m, c), np.uint64(0xFFFFFFFFFFFFFFFF))
-    mv = np.zeros((m, c), dtype=np.uint64)
-    score = np.tile(sizes.astype(np.int64), (m, 1))
-    first = np.arange(m)
-    live = m
-    for step in range(int((span.reach_end(reach) - span.starts).max())):
-        while live and span.starts[live - 1] + step >= len(text):
-            live -= 1
-        at = span.starts[:live] + step
+    pv = np.full(len(pat), np.uint64(0xFFFFFFFFFFFFFFFF))
+    mv = np.zeros(len(pat), dtype=np.uint64)
+    score = length.copy()
+    out = np.full(base, -1, dtype=np.int64)
+    for step in range(int(left.max())):
+        live = int(np.searchsorted(-left, -step, side="left"))
+        at = pos[:live] + step
         p, q = pv[:live], mv[:live]
-        eq = masks[codes[at]]
+        eq = masks[codes[at], pat[:live]]
         xv = eq | q
         xh = (((eq & p) + p) ^ p) | eq
         ph = q | ~(xh | p)
         mh = p & xh
-        score[:live] += ((ph >> shift) & one).astype(np.int64)
-        score[:live] -= ((mh >> shift) & one).astype(np.int64)
+        sh = shift[:live]
+        score[:live] += ((ph >> sh) & one).astype(np.int64) - ((mh >> sh) & one).astype(np.int64)
         ph = (ph << one) | one
         pv[:live] = (mh << one) | ~(xv | ph)
         mv[:live] = ph & xv
-        done = token_ending_at[at + 1]
-        hit = np.nonzero((done > first[:live]) & (done - first[:live] <= reach))[0]
-        if len(hit):
-            costs[:, hit, done[hit]] = score[hit].T
-
-
-def group_costs(source: list[str], targets: list[str], verbs: frozenset = frozenset(), reach: int | None = None):
-    """Yield, per source token, ``cost[j, k]`` of turning it into ``targets[j:k]``.
-
-    Exact for groups of up to ``reach`` words; longer ones get a lower bound,
-    the difference in length.
+        done = word_at[at + 1]
+        hit = np.nonzero(done > first[:live])[0]
+        out[slot[hit] + done[hit] - first[hit] - 1] = score[hit]
+    base = 0
+    for sp in spans:
+        new = out[base : base + len(sp.prices)]
+        np.copyto(sp.prices, new, where=new >= 0)
+        base += len(sp.prices)
+
+
+def align_spans(
+    pairs: list[tuple[list[str], list[str]]], verbs: frozenset = frozenset(), reach: int = 5
+) -> list[tuple[int, list[int]]]:
+    """Cheapest split of each target span into one group per source token.
+
+    Returns cost and group borders (``len(source) + 1`` numbers) per pair. Among
+    equally cheap splits the one whose last groups start earliest wins. Groups
+    of up to ``reach`` words are priced first; the few spans whose best split
+    needs longer ones go into a second round.
     """
-    span = _Span(targets)
-    m = span.m
-    reach = m if reach is None else min(reach, m)
-    chunk = max(1, 8_000_000 // ((m + 1) * (m + 1)))
-    for lo in range(0, len(source), chunk):
-        part = source[lo : lo + chunk]
-        names = sorted(set(part), key=lambda s: not 0 < len(s) <= 64)
-        costs = np.empty((len(names), m + 1, m + 1), dtype=np.int64)
-        for n, s in enumerate(names):
-            np.maximum(span.size - len(s), 0, out=costs[n])
-        n_wide = sum(0 < len(s) <= 64 for s in names)
-        if n_wide * m < 60:
-            n_wide = 0
-        if n_wide:
-            _vector_costs(names[:n_wide], span, reach, costs[:n_wide])
-        for n in range(n_wide, len(names)):
-            _scalar_costs(names[n], span, reach, costs[n])
-        for n, s in enumerate(names):
-            cost = costs[n]
-            cost[np.tril_indices(m + 1, -1)] = _FAR
-            np.fill_diagonal(cost, 0 if _transforms(s, "", verbs) else len(s))
-            parts = s.split("-")
-            for j, word in enumerate(targets):
-                if _transforms(s, word, verbs):
-                    cost[j, j + 1] = 0
-                if len(parts) > 1 and targets[j : j + len(parts)] == parts:
-                    cost[j, j + len(parts)] = 0
-        row = {s: n for n, s in enumerate(names)}
-        yield from (costs[row[s]] for s in part)
-
-
-def align_span(source: list[str], targets: list[str], verbs: frozenset = frozenset()) -> tuple[int, list[int]]:
-    """Cheapest split of ``targets`` into one group per source token.
-
-    Returns the cost and the group borders (``len(source) + 1`` numbers). Among
-    equally cheap splits the one whose last groups start earliest wins.
-
-    Long groups are first priced by their lower bound. If the best split uses
-    only exactly priced groups it is the best split overall, ties included
-    (no bounded alternative got below it); otherwise the reach doubles.
-    """
-    n, m = len(source), len(targets)
-    if n == 1:  # one token takes every word
-        s = source[0]
-        if (m < 2 and _transforms(s, "".join(targets), verbs)) or (m > 1 and s.split("-") == targets):
-            return 0, [0, m]
-        return edit_distances(s, GAP.join(targets))[-1], [0, m]
-    reach = 4
-    while True:
-        best = np.full(m + 1, _FAR, dtype=np.int64)
-        best[0] = 0
-        back = np.zeros((n, m + 1), dtype=np.int64)
-        for i, cost in enumerate(group_costs(source, targets, verbs, reach)):
-            total = best[:, None] + cost
-            back[i] = total.argmin(axis=0)
-            best = total.min(axis=0)
-        borders = [m]
-        for i in range(n - 1, -1, -1):
-            borders.append(int(back[i, borders[-1]]))
-        borders.reverse()
-        if reach >= m or max(np.diff(borders)) <= reach:
-            return int(best[m]), borders
-        reach *= 2
+    found: list = [None] * len(pairs)
+    waiting = []
+    for i, (source, targets) in enumerate(pairs):
+        if len(source) == 1:  # one token takes every word
+            s, m = source[0], len(targets)
+            free = (m < 2 and _transforms(s, "".join(targets), verbs)) or (m > 1 and s.split("-") == targets)
+            found[i] = (0 if free else edit_distances(s, GAP.join(targets))[-1], [0, m])
+        else:
+            waiting.append((i, _Span(source, targets, verbs)))
+    for width in (reach, None):
+        again, part, cells = [], [], 0
+        for k, (i, span) in enumerate(waiting):
+            span.plan(width)
+            part.append((i, span))
+            cells += len(span.names) * span.m
+            if cells >= _CELLS or k == len(waiting) - 1:
+                _price_together([x for _, x in part])
+                for n, x in part:
+                    found[n] = x.solve()
+                    if found[n] is None:
+                        again.append((n, x))
+                    x.prices = None
+                part, cells = [], 0
+        waiting = again
+    return found
 
 
 def align_ops(verbs: frozenset = frozenset()):
@@ -262,31 +344,34 @@ def align_ops(verbs: frozenset = frozenset()):
     @_once
     @F.pandas_udf(OPS_TYPE)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        seen: dict[tuple, list[int]] = {}
-
-        def refine(src: list[str], tgt: list[str]) -> list[dict]:
+        rows = [None if x is None or y is None else (list(x), list(y)) for x, y in zip(a, b)]
+        plans = [None if r is None else opcodes(*r) for r in rows]
+        spans: dict[tuple, int] = {}
+        for row, plan in zip(rows, plans):
+            for tag, i1, i2, j1, j2 in plan or ():
+                if tag == "replace" and i2 - i1 > 1:
+                    spans.setdefault((tuple(row[0][i1:i2]), tuple(row[1][j1:j2])), len(spans))
+        aligned = align_spans([(list(s), list(t)) for s, t in spans], verbs)
+
+        def refine(src: list[str], tgt: list[str], plan: list[tuple]) -> list[dict]:
             out = []
-            for tag, i1, i2, j1, j2 in opcodes(src, tgt):
-                if tag == "replace":
-                    left, right = src[i1:i2], tgt[j1:j2]
-                    if len(left) > 1 and len(right) == 1 and "-".join(left) == right[0]:
-                        out.append({"tag": "merge", "i1": i1, "i2": i2, "j1": j1, "j2": j2})
-                        continue
-                    key = (tuple(left), tuple(right))
-                    if key not in seen:
-                        seen[key] = align_span(left, right, verbs)[1]
-                    cut = seen[key]
-                    for k in range(len(left)):
-                        out.append(
-                            {"tag": "replace", "i1": i1 + k, "i2": i1 + k + 1, "j1": j1 + cut[k], "j2": j1 + cut[k + 1]}
-                        )
-                elif tag != "equal":
-                    out.append({"tag": tag, "i1": i1, "i2": i2, "j1": j1, "j2": j2})
+
+            def add(tag: str, i1: int, i2: int, j1: int, j2: int) -> None:
+                out.append({"tag": tag, "i1": i1, "i2": i2, "j1": j1, "j2": j2})
+
+            for tag, i1, i2, j1, j2 in plan:
+                if tag != "replace" or i2 - i1 == 1:
+                    if tag != "equal":
+                        add(tag, i1, i2, j1, j2)
+                elif j2 - j1 == 1 and "-".join(src[i1:i2]) == tgt[j1]:
+                    add("merge", i1, i2, j1, j2)
+                else:
+                    cut = aligned[spans[tuple(src[i1:i2]), tuple(tgt[j1:j2])]][1]
+                    for k in range(i2 - i1):
+                        add("replace", i1 + k, i1 + k + 1, j1 + cut[k], j1 + cut[k + 1])
             return out
 
-        return pd.Series(
-            [None if x is None or y is None else refine(list(x), list(y)) for x, y in zip(a, b)]
-        )
+        return pd.Series([None if r is None else refine(*r, p) for r, p in zip(rows, plans)])
 
     return run
 
@@ -297,7 +382,7 @@ def span_cost(verbs: frozenset = frozenset()):
     @_once
     @F.pandas_udf(SPAN_TYPE)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [align_span(list(x), list(y), verbs) for x, y in zip(a, b)]
+        found = align_spans([(list(x), list(y)) for x, y in zip(a, b)], verbs)
         return pd.DataFrame({"cost": [c for c, _ in found], "borders": [k for _, k in found]})
 
     return run

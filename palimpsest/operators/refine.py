@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, sequence, text as tx
-from ..functions.collections import bound
+from ..functions.collections import bind, bound
 from ..functions.bleu import bleu, bleu_above, profile
 from .ordering import halo_blocks, with_index
 
@@ -35,8 +35,7 @@ def length_ok(
 
 
 def bleu_ok(src: Column, tgt: Column, low: float = -100, high: float = 100) -> Column:
-    score = bleu(tx.tokenize(tgt), tx.tokenize(src))
-    return (score > low) & (score < high)
+    return bind(bleu(tx.tokenize(tgt), tx.tokenize(src)), lambda score: (score > low) & (score < high))
 
 
 def refine_pairs(

@@ -26,7 +26,17 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Deal a table of fewer splits than cores over all of them.
+
+        Text work costs far more than its bytes; a large table has enough
+        splits and is read as it is.
+        """
+        if self.tasks == 1 or df.rdd.getNumPartitions() >= self.tasks:
+            return df
+        return df.repartition(self.tasks)
 
     @cached_property
     def tasks(self) -> int:
