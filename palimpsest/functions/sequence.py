@@ -110,7 +110,7 @@ def _transforms(s: str, t: str, verbs: frozenset) -> bool:
 GAP = "   "  # fixed value: words of a group are priced joined by three spaces
 _FAR = 1_000_000_000
 _WORD = 64  # longest token that fits one machine word
-_CELLS = 400_000  # (token, group start) pairs advanced together
+_CELLS = 40_000  # (token, group start) pairs advanced together
 
 
 class _Span:

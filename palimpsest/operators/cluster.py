@@ -167,14 +167,14 @@ def _per_block_pair(blocks: DataFrame, eps: float, work, schema: str) -> DataFra
     return _block_pairs(blocks, eps).mapInPandas(run, schema)
 
 
-def eps_pairs(vectors: DataFrame, key: str, column: str, eps: float) -> DataFrame:
+def eps_pairs(vectors: DataFrame, key: str, column: str, eps: float, block: int = BLOCK) -> DataFrame:
     """``a, b, distance`` of distinct vectors within cosine distance ``eps``.
 
     Copies stand behind their smallest id. The output is what is asked for, so
     its size is the number of such pairs; the density clustering below never
     builds it.
     """
-    blocks = pack_blocks(collapse_copies(vectors, key, column), column)
+    blocks = pack_blocks(collapse_copies(vectors, key, column), column, block)
 
     def pairs(row, hit):
         if row.a == row.b:
@@ -300,7 +300,9 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("components did not settle; raise the number of rounds")
 
 
-def dbscan(vectors: DataFrame, key: str, column: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
+def dbscan(
+    vectors: DataFrame, key: str, column: str, eps: float = 0.5, min_samples: int = 5, block: int = BLOCK
+) -> DataFrame:
     """``key, cluster``: smallest core id of the cluster, or -1 for noise.
 
     A point is core with at least ``min_samples`` neighbours within ``eps``
@@ -309,7 +311,7 @@ def dbscan(vectors: DataFrame, key: str, column: str, eps: float = 0.5, min_samp
     counts, spanning edges and border links, each linear in the points.
     """
     points = cut_lineage(collapse_copies(vectors, key, column))
-    blocks = pack_blocks(points, column)
+    blocks = pack_blocks(points, column, block)
     core = cut_lineage(_neighbour_counts(blocks, eps).filter(F.col("n") >= min_samples).select("id"))
     flagged = cut_lineage(_with_flags(blocks, core.withColumn("flag", F.lit(1))))
     edges = _core_edges(flagged, eps).union(core.select(F.col("id").alias("src"), F.col("id").alias("dst")))
