@@ -172,8 +172,12 @@ def hash_order(key: Column, seed: int = 0) -> Column:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n`` rows, chosen by key hash (a distributed top-n)."""
-    return df.orderBy(hash_order(F.col(key), seed), F.col(key)).limit(n)
+    """Exactly ``n`` rows, chosen by the hash of their unique key.
+
+    Only keys are ranked (each task keeps its best ``n``); whole rows stay put.
+    """
+    picked = df.select(key).orderBy(hash_order(F.col(key), seed), F.col(key)).limit(n)
+    return df.join(picked, key, "left_semi")
 
 
 def split_train_valid(
