@@ -94,9 +94,8 @@ def revision_rejected(comment: Column, diff_size: Column, max_size: int) -> Colu
 
 
 def comment_blacklisted(comment: Column) -> Column:
-    return contains_any(F.lower(comment), rules.COMMENT_BLACKLIST) | contains_any(
-        comment, rules.COMMENT_MARKERS
-    )
+    lowered = bind(F.lower(comment), lambda c: contains_any(c, rules.COMMENT_BLACKLIST))
+    return lowered | contains_any(comment, rules.COMMENT_MARKERS)
 
 
 def modify_markup(c: Column) -> Column:

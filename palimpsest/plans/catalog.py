@@ -36,7 +36,7 @@ class Tables:
         """
         if self.tasks == 1 or df.rdd.getNumPartitions() >= self.tasks:
             return df
-        return df.repartition(self.tasks)
+        return df.repartition(self.tasks * 4)  # small pieces even out long texts
 
     @cached_property
     def tasks(self) -> int:
