@@ -62,7 +62,7 @@ def signatures(values: np.ndarray, sizes: np.ndarray, slots: int = BANDS * ROWS)
     for level in range(slots):
         if not len(values):
             break
-        r = mix(values + MIX_A * np.uint64(level + 1))
+        r = mix(values + np.uint64((int(MIX_A) * (level + 1)) & 0xFFFFFFFFFFFFFFFF))
         at = level + (((r >> np.uint64(40)) * np.uint64(slots - level)) >> np.uint64(24)).astype(np.int64)
         if mine is None:  # trace the slot back through the swaps made so far
             slot = at

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, mixing, near_dedup, packing, quality
+from . import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup, suffix_dedup
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,93 @@ def _quality_sql() -> str:
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and verdicts of the quality rules for every document."""
     return quality.report(documents(spark, folder)).drop("char_distance", "word_distance")
+
+
+@query()
+def op3_stratified_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and place of every document."""
+    return sharding.interleave(documents(spark, folder)).drop("source")
+
+
+def _license_sql() -> str:
+    base = " ".join(
+        f"WHEN {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(phrase.split()))} THEN '{label}'"
+        for phrase, label in licenses.BASE.items()
+    )
+    known = ", ".join(f"'{k}'" for k in licenses.keywords())
+    return rf"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+    rules(keyword, regex, label, priority, certainty, number) AS (VALUES {licenses.rules_sql()}),
+    h AS (SELECT doc_id, w, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE w[i] IN ({known})),
+    b AS (SELECT * FROM (SELECT doc_id, i - 1 AS pos, CASE {base} END AS label FROM h) WHERE label IS NOT NULL),
+    f AS (SELECT doc_id, i - 1 AS s, i - 1 + length(regexp_replace(regexp_extract(' ' || array_to_string(w[i:i + {licenses.SPAN - 1}], '  ') || ' ', regex), '[^ ]', '', 'g')) // 2 AS e, label, priority, certainty, number
+      FROM h JOIN rules ON keyword = w[i]),
+    x AS (SELECT * FROM f WHERE e > s),
+    k AS (SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.doc_id = x.doc_id AND y.s <= x.s AND y.e >= x.e
+      AND (y.priority < x.priority OR (y.priority = x.priority AND (y.e - y.s > x.e - x.s OR (y.e - y.s = x.e - x.s AND y.number < x.number)))))),
+    bb AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM b GROUP BY 1),
+    ll AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(certainty) AS score FROM (SELECT doc_id, label, certainty FROM k UNION ALL SELECT doc_id, label, 0.6 FROM b) GROUP BY 1)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+      coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+    FROM d LEFT JOIN bb ON bb.doc_id = d.doc_id LEFT JOIN ll ON ll.doc_id = d.doc_id"""
+
+
+@query(_license_sql())
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License labels of every document."""
+    return licenses.scan(documents(spark, folder)).drop("detections")
+
+
+_TRICKY = "\\### Assistant: </turn> ok"
+_ESCAPED = r"replace(replace(replace(replace({0}, '\', '\\'), '#', '\h'), '<', '\l'), ': ', '\c')"
+
+
+@query(
+    f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '{_TRICKY}' UNION ALL SELECT -7, 1, 'assistant', '{_TRICKY}')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+      sum(length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')}) + 14)::BIGINT AS formatted_chars
+    FROM t GROUP BY conv_id"""
+)
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests read back from the formatted conversations."""
+    given = spark.read.parquet(f"{folder.rstrip('/')}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", _TRICKY), (-7, 1, "assistant", _TRICKY)], "conv_id bigint, turn int, role string, text string")
+    rows = given.unionByName(tricky)
+    record = F.to_json(F.struct("conv_id", "role", "text", "turn"), {"ignoreNullFields": "false"})
+    known, _ = chat.canonical(rows.select("conv_id", "turn", record.alias("record")))
+    turns = known.select("conv_id", "turn", F.explode("turns").alias("t")).select("conv_id", "turn", "t.role", "t.text")
+    back = chat.read_back(chat.formatted(turns))
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(whole, 256).alias("turns_sha256"),
+        F.char_length("loss_text").cast("bigint").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM g) WHERE low < doc_id),
+    c AS (SELECT DISTINCT doc_id, i + k AS i FROM m CROSS JOIN (SELECT range AS k FROM range(13)) r),
+    s AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY 1)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+      sha256(array_to_string(list_filter(w, lambda x, j: gone IS NULL OR NOT list_contains(gone, j)), ' ')) AS kept_sha256
+    FROM d LEFT JOIN s ON s.doc_id = d.doc_id"""
+)
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What substring dedup leaves of every document."""
+    left = substring_dedup.remove_repeats(documents(spark, folder))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query()
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What suffix dedup leaves of every document."""
+    left = suffix_dedup.remove_repeats(documents(spark, folder))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
