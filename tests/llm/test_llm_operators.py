@@ -309,8 +309,7 @@ def test_quality_odd_rows(odd, none):
 
 
 def test_quality_tells_prose_from_noise(spark):
-    prose = "The people of the town came to the river in the morning, and that is how it was for a long time. " * 1
-    prose += " ".join(f"The end of chapter {chr(97 + i)} is in the hands of the reader and a friend to that house." for i in range(8))
+    prose = " ".join(f"the river{chr(97 + i)} near old walls of town{chr(97 + i)} ran deep and many birds{chr(97 + i)} came there late in may{chr(97 + i)}." for i in range(20))
     shout = " ".join(f"BUY{chr(65 + i % 26)}{chr(65 + i // 26)} NOW!!" for i in range(80))
     marks = " ".join(f"of{chr(97 + i % 26)}{chr(97 + i // 26)}### the&&&" for i in range(80))
     docs = spark.createDataFrame([(1, prose), (2, shout), (3, marks)], "doc_id bigint, text string")
@@ -331,10 +330,10 @@ def test_license_scan(spark, odd, none):
     assert (rows[1]["base_labels"], rows[1]["n_base"], rows[1]["first_word"], rows[1]["score"]) == ("apache", 1, 3, 0.9)
     assert (rows[2]["labels"], rows[2]["n_base"], rows[2]["score"]) == ("gpl", 0, 1.0)
     assert rows[3]["labels"] == "lgpl"  # the longer name holds the shorter one
-    assert (rows[4]["base_labels"], rows[4]["n_base"], rows[4]["first_word"], rows[4]["last_word"]) == ("cc-by,gpl,mit", 4, 0, 10)
+    assert (rows[4]["base_labels"], rows[4]["n_base"], rows[4]["first_word"], rows[4]["last_word"]) == ("cc-by,gpl,mit", 4, 0, 11)
     assert (rows[5]["labels"], rows[5]["first_word"]) == ("cc-by", 4)
     assert (rows[6]["labels"], rows[6]["first_word"], rows[6]["score"]) == ("", None, 0.0)
-    assert rows[7]["labels"] == "mpl" and rows[7]["score"] == 0.6
+    assert rows[7]["labels"] == "mpl" and rows[7]["score"] == 0.8
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(none).count() == 0
     assert {r["doc_id"]: r["base_labels"] for r in licenses.scan(odd).collect()}[11] == "apache,mit"
 
