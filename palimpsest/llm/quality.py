@@ -139,5 +139,10 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that pass."""
-    return measured(docs, text_col).filter("_q.kept").drop("_q")
+    """The documents that pass.
+
+    The row number keeps the optimizer from moving the filter below the
+    measuring steps, where every count would be computed once per use.
+    """
+    judged = measured(docs, text_col).withColumn("_at", F.monotonically_increasing_id())
+    return judged.filter("_q.kept and _at >= 0").drop("_q", "_at")
