@@ -43,7 +43,7 @@ class WordIds(dict):
     text's ids are those of its chunks; a test holds this against whole texts.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -59,13 +59,29 @@ class WordIds(dict):
             self[chunk] = ids[start:end].tobytes()
             start = end
 
+    def _split_learn(self, chunks: set[str]) -> None:
+        """ASCII words are encoded once for all their forms: letters and what
+        follows them are separate words to the tokenizer, in lower case."""
+        forms: dict[str, tuple[str, str]] = {}
+        new: set[str] = set()
+        for chunk in chunks:
+            letters = chunk.rstrip(".,;:!?")
+            if letters.isascii() and letters.isalpha():
+                parts = forms[chunk] = (letters.lower(), chunk[len(letters) :])
+                new.update(parts)
+            else:
+                new.add(chunk)
+        self._learn(list(new.difference(self)))
+        for chunk, (letters, after) in forms.items():
+            self[chunk] = self[letters] + self[after]
+
     def of(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").split(" ") for t in texts]
         new = set().union(*split).difference(self)
         if len(self) + len(new) > self.most:
             self.clear()
             new = set().union(*split)
-        self._learn(list(new))
+        self._split_learn(new)
         end = END.to_bytes(4, "little")
         return [b"".join(map(self.__getitem__, words)) + end for words in split]
 
