@@ -88,6 +88,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     every = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
     step = docs.select(every, text.alias("_t"), words.alias("_w"))
 
+    longest = max(len(w.encode()) for w in LISTED)  # a cheap test before the list
     forms = sorted({f for w in LISTED for f in (w, w.capitalize(), w.upper())})
     five = lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WINDOW)])
     lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, blank, "")) > 0)
@@ -97,7 +98,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("_w").cast("bigint").alias("n_words"),
         F.transform(index_range(F.size("_w") - (WINDOW - 1)), five).alias("_h"),
         lines.alias("_l"),
-        F.split(F.lower(F.array_join(F.filter("_w", lambda w: w.isin(forms)), " ")), " ").alias("_c"),
+        F.split(F.lower(F.array_join(F.filter("_w", lambda w: (F.octet_length(w) <= longest) & w.isin(forms)), " ")), " ").alias("_c"),
         F.char_length("_t").cast("bigint").alias("_n"),
         *[(F.char_length("_t") - F.char_length(F.translate("_t", chars, ""))).cast("bigint").alias(f"_{name}") for name, chars in CLASSES.items()],
         (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
@@ -112,15 +113,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(once, F.lit(0).cast("bigint")).otherwise(_repeat_words(F.col("_h"))).alias("n_repeat_words"),
         "_n",
         *[f"_{name}" for name in CLASSES],
-        *[(F.size("_c") - F.size(F.array_remove("_c", w))).alias(f"_w_{w}") for w in LISTED],
+        bind(F.col("_c"), lambda c: F.transform(F.array(*[F.lit(w) for w in LISTED]), lambda w: F.size(F.filter(c, lambda x: x == w)))).alias("_common"),
     )
     shares = [F.col(f"_{name}") / F.col("_n") for name in CLASSES]
     rest = (F.col("_n") - sum((F.col(f"_{name}") for name in CLASSES), F.lit(0))) / F.col("_n")
     char_distance = F.when(F.col("_n") >= JUDGED_CHARS, divergence([*shares, rest], list(PROSE.values()))).otherwise(0.0)
 
     def to(language: dict[str, float]) -> Column:
-        p = [F.col(f"_w_{w}") / F.col("n_words") for w in language]
-        others = (F.col("n_words") - sum((F.col(f"_w_{w}") for w in language), F.lit(0))) / F.col("n_words")
+        counts = [F.get("_common", F.lit(LISTED.index(w))) for w in language]
+        p = [n / F.col("n_words") for n in counts]
+        others = (F.col("n_words") - sum(counts, F.lit(0))) / F.col("n_words")
         return divergence([*p, others], [*language.values(), 1 - sum(language.values())])
 
     nearest = F.least(*[to(language) for language in COMMON.values()])
