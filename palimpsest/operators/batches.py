@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .ordering import group_rank, with_index
 
@@ -23,17 +23,30 @@ def numbered_batches(rows: DataFrame, group: list[str], order: str, batch: int)
     return ranked.withColumn("batch_no", F.floor(F.col("_rank") / batch).cast("bigint")).drop("_rank")
 
 
-def round_robin(groups: DataFrame, heads: int, tasks: int, steps: int) -> DataFrame:
+def round_robin(groups: DataFrame, heads: int, steps: int | None = None) -> DataFrame:
     """Step plan from ``head, task, n_batches``: step s trains head ``s % heads``
-    and task ``(s / heads) % tasks``; a task that runs out starts over."""
+    and the next of that head's own tasks in turn; a task that runs out starts
+    over. Without ``steps`` the plan has one step per batch of all groups."""
+    if steps is None:
+        steps = groups.agg(F.coalesce(F.sum("n_batches"), F.lit(0))).first()[0]
+    own = Window.partitionBy("head")  # one row per task
+    ranked = groups.withColumns(
+        {"_turn": F.row_number().over(own.orderBy("task")) - 1, "_tasks": F.count("*").over(own)}
+    )
     plan = groups.sparkSession.range(steps).select(
         F.col("id").alias("step"),
         F.pmod("id", F.lit(heads)).cast("int").alias("head"),
-        F.pmod(F.floor(F.col("id") / heads), F.lit(tasks)).cast("int").alias("task"),
-        F.floor(F.col("id") / (heads * tasks)).alias("occurrence"),
+        F.floor(F.col("id") / heads).alias("_round"),
     )
-    return plan.join(groups, ["head", "task"]).select(
-        "step", "head", "task", F.pmod("occurrence", F.col("n_batches")).cast("bigint").alias("batch_no")
+    return (
+        plan.join(ranked, "head")
+        .filter(F.pmod("_round", F.col("_tasks")) == F.col("_turn"))
+        .select(
+            "step",
+            "head",
+            "task",
+            F.pmod(F.floor(F.col("_round") / F.col("_tasks")), F.col("n_batches")).cast("bigint").alias("batch_no"),
+        )
     )
 
 

@@ -452,9 +452,10 @@ def _task_batches(t: Tables) -> DataFrame:
       SELECT 1, ascii(role) % 2, conv_id * {v.ROOM} + turn FROM conversations),
     b AS (SELECT head, task, id, (row_number() OVER (PARTITION BY head, task ORDER BY id) - 1) // 16 AS batch_no FROM x),
     g AS (SELECT head, task, max(batch_no) + 1 AS n FROM b GROUP BY 1, 2),
-    st AS (SELECT range AS step, range % 2 AS head, (range // 2) % 2 AS task, range // 4 AS occ FROM range(200))
+    h AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY task) - 1 AS k, count(*) OVER (PARTITION BY head) AS m FROM g),
+    st AS (SELECT step, step % 2 AS head, step // 2 AS turn FROM (SELECT unnest(range(n)) AS step FROM (SELECT CAST(sum(n) AS BIGINT) AS n FROM g)))
     SELECT st.step, CAST(b.head AS INTEGER) AS head, CAST(b.task AS INTEGER) AS task, b.batch_no, count(*) AS rows, min(b.id) AS first_id
-    FROM st JOIN g ON g.head = st.head AND g.task = st.task JOIN b ON b.head = st.head AND b.task = st.task AND b.batch_no = st.occ % g.n GROUP BY 1, 2, 3, 4""",
+    FROM st JOIN h ON h.head = st.head AND h.k = st.turn % h.m JOIN b ON b.head = h.head AND b.task = h.task AND b.batch_no = (st.turn // h.m) % h.n GROUP BY 1, 2, 3, 4""",
 )
 def e_round_robin(t: Tables) -> DataFrame:
     numbered = _task_batches(t)
@@ -462,7 +463,7 @@ def e_round_robin(t: Tables) -> DataFrame:
         F.count("*").alias("rows"), F.min("id").alias("first_id")
     )
     groups = per_batch.groupBy("head", "task").agg((F.max("batch_no") + 1).alias("n_batches"))
-    plan = batches.round_robin(groups, heads=2, tasks=2, steps=200)
+    plan = batches.round_robin(groups, heads=2)
     return plan.join(per_batch, ["head", "task", "batch_no"])
 
 
