@@ -53,14 +53,18 @@ def pair_with_parent(
     return kept.join(parent, F.col("parent_id") == F.col("_pid")).drop("_pid")
 
 
-def sections_of_pairs(pairs: DataFrame, max_chars: int = 1_000_000, compat: bool = False) -> DataFrame:
+def sections_of_pairs(pairs: DataFrame, max_chars: int | None = None, compat: bool = False) -> DataFrame:
     """Cut the commented section on both sides and strip its markup; pairs with
-    an empty or over-long side are left out (the reference's size guard)."""
+    an empty side are left out, and only on request those with a side of
+    ``max_chars`` or more."""
     cut = pairs.withColumn(
         "src_text", tx.strip_markup(tx.section_text(F.col("parent_text"), F.col("title"), compat))
     ).withColumn("tgt_text", tx.strip_markup(tx.section_text(F.col("text"), F.col("title"), compat)))
-    ok = [F.char_length(c).between(1, max_chars - 1) for c in ("src_text", "tgt_text")]
-    return cut.filter(ok[0] & ok[1])
+    for c in ("src_text", "tgt_text"):
+        cut = cut.filter(F.char_length(c) > 0)
+        if max_chars is not None:
+            cut = cut.filter(F.char_length(c) < max_chars)
+    return cut
 
 
 def with_diff_url(pairs: DataFrame, host: str = HOST) -> DataFrame:

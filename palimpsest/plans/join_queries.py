@@ -19,12 +19,11 @@ from .catalog import Tables, query
     "c_revision_pairs",
     v.with_("kept")
     + """SELECT c.page_id, c.rev_id, c.parent_id, md5(p.text) AS parent_digest FROM kept c JOIN kept p ON c.parent_id = p.rev_id
-    WHERE length(c.text) BETWEEN 1 AND 999999 AND length(p.text) BETWEEN 1 AND 999999""",
+    WHERE length(c.text) > 0 AND length(p.text) > 0""",
 )
 def c_revision_pairs(t: Tables) -> DataFrame:
     pairs = pairing.pair_with_parent(pairing.gate_comments(v.revisions(t)))
-    guard = [F.char_length(c).between(1, 999_999) for c in ("text", "parent_text")]
-    return pairs.filter(guard[0] & guard[1]).select(
+    return pairs.filter((F.char_length("text") > 0) & (F.char_length("parent_text") > 0)).select(
         "page_id", "rev_id", "parent_id", F.md5("parent_text").alias("parent_digest")
     )
 
