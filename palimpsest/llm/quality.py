@@ -17,12 +17,14 @@ gives an empty result; other columns pass through ``keep`` whatever their names.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.collections import bind, index_range
 
 WINDOW = 5
+BLANK = r"\x20\x09-\x0D"
 MIN_WORDS = 10
 MAX_REPEAT = 20  # per cent of words in repeated windows
 JUDGED_CHARS = 200
@@ -83,15 +85,18 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds a struct ``_q`` with the counts, the two distances and the verdicts."""
     names = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    blank = CLASSES["space"]
-    words = F.array_remove(F.split(F.translate(text, blank[1:], " " * (len(blank) - 1)), " "), "")
+    # one pass leaves the characters of the listed classes, a few of which are counted again
+    listed = "[^" + re.escape("".join(CLASSES.values())) + "]+"
+    words = F.array_remove(F.split(text, f"[{BLANK}]"), "")
     every = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    step = docs.select(every, text.alias("_t"), words.alias("_w"))
+    step = docs.select(every, text.alias("_t"), words.alias("_w"), F.regexp_replace(text, listed, "").alias("_k"))
+    step = step.select("_row", "_t", "_w", F.char_length("_k").alias("_listed"), F.regexp_replace("_k", f"[{BLANK}]+", "").alias("_k"))
 
     longest = max(len(w.encode()) for w in LISTED)  # a cheap test before the list
     forms = sorted({f for w in LISTED for f in (w, w.capitalize(), w.upper())})
     five = lambda i: F.xxhash64(*[F.get(F.col("_w"), i + k) for k in range(WINDOW)])
-    lines = F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, blank, "")) > 0)
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
+    among = lambda chars: (F.char_length("_k") - F.char_length(F.translate("_k", chars, ""))).cast("bigint")
     step = step.select(
         "_row",
         "_t",
@@ -100,8 +105,8 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lines.alias("_l"),
         F.split(F.lower(F.array_join(F.filter("_w", lambda w: (F.octet_length(w) <= longest) & w.isin(forms)), " ")), " ").alias("_c"),
         F.char_length("_t").cast("bigint").alias("_n"),
-        *[(F.char_length("_t") - F.char_length(F.translate("_t", chars, ""))).cast("bigint").alias(f"_{name}") for name, chars in CLASSES.items()],
-        (F.char_length("_t") - F.char_length(F.translate("_t", "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
+        *[((F.col("_listed") - F.char_length("_k")).cast("bigint") if name == "space" else among(chars)).alias(f"_{name}") for name, chars in CLASSES.items()],
+        among("#*$%&|<>").alias("n_symbols"),
     )
     once = F.size(F.array_distinct("_h")) == F.size("_h")
     step = step.select(
