@@ -91,13 +91,31 @@ def numbered_copies(a: Column) -> Column:
     return bind(F.sort_array(a), lambda s: F.concat(F.array_distinct(s), bind(repeated(s), tagged)))
 
 
-def prefix_sums(sizes: Column) -> Column:
-    """Exclusive prefix sums, one longer than the input (last = total)."""
-    return F.aggregate(
-        sizes,
-        F.array(F.lit(0)),
-        lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)),
-    )
+def prefix_sums(sizes: Column, block: int = 256) -> Column:
+    """Exclusive prefix sums, one longer than the input (last = total).
+
+    Sums run inside blocks and over block totals, so that no growing array is
+    copied once per element.
+    """
+
+    def running(a: Column, start: Column) -> Column:
+        return F.aggregate(a, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    def inside(a: Column) -> Column:
+        starts = F.filter(index_range(F.size(a)), lambda i: i % block == 0)
+        return F.transform(starts, lambda i: running(F.slice(a, i + 1, F.lit(block)), F.lit(0)))
+
+    def joined(parts: Column) -> Column:
+        bases = running(F.transform(parts, lambda p: F.element_at(p, -1)), F.lit(0))
+        moved = bind(
+            bases,
+            lambda b: F.transform(
+                parts, lambda p, k: F.transform(F.slice(p, F.lit(2), F.size(p) - 1), lambda x: x + F.get(b, k))
+            ),
+        )
+        return F.concat(F.array(F.lit(0)), F.flatten(moved))
+
+    return bind(sizes, lambda a: bind(inside(a), joined))
 
 
 def argmax(a: Column) -> Column:

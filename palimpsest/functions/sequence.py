@@ -337,13 +337,16 @@ def align_spans(
     return found
 
 
-def align_ops(verbs: frozenset = frozenset()):
+def align_ops():
     """UDF: opcodes of two token arrays with every replace span cut into one
-    group per source token; merge spans are kept whole (tag ``merge``)."""
+    group per source token; merge spans are kept whole (tag ``merge``). The third
+    column holds the verb pairs ``"w1 w2"`` between the row's tokens."""
 
     @_once
     @F.pandas_udf(OPS_TYPE)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+    def run(a: pd.Series, b: pd.Series, v: pd.Series) -> pd.Series:
+        # pairs of other rows are in the lexicon too, so the batch may share them
+        verbs = frozenset(tuple(x.split(" ")) for own in v if own is not None for x in own)
         rows = [None if x is None or y is None else (list(x), list(y)) for x, y in zip(a, b)]
         plans = [None if r is None else opcodes(*r) for r in rows]
         spans: dict[tuple, int] = {}

@@ -117,9 +117,27 @@ def is_talk(comment: Column) -> Column:
 # ---- wiki text -----------------------------------------------------------------
 
 
+def numeric_references(c: Column) -> Column:
+    """``&#233;`` and ``&#xE9;`` as characters; numbers that are no character
+    become U+FFFD. An ampersand stays ``&amp;``, for the entities come next."""
+    reference = r"(?s)^(\d{1,7}|[xX][0-9a-fA-F]{1,6});(.*)$"
+
+    def char(ref: Column) -> Column:
+        hexadecimal = F.conv(F.substring(ref, 2, 6), 16, 10)
+        n = F.when(F.lower(F.left(ref, F.lit(1))) == "x", hexadecimal).otherwise(ref).cast("int")
+        valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        return F.when(n == 38, "&amp;").when(valid, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+
+    def part(p: Column, i: Column) -> Column:
+        decoded = F.concat(char(F.regexp_extract(p, reference, 1)), F.regexp_extract(p, reference, 2))
+        return F.when(i == 0, p).when(p.rlike(reference), decoded).otherwise(F.concat(F.lit("&#"), p))
+
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(F.split(c, "&#"), part), "")).otherwise(c)
+
+
 def unescape(c: Column) -> Column:
-    """The common entities, natively."""
-    return replace_all(c, rules.ENTITIES)
+    """Numeric references and the common entities, natively."""
+    return replace_all(numeric_references(c), rules.ENTITIES)
 
 
 @F.pandas_udf(T.StringType())

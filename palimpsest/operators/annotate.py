@@ -6,18 +6,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, sequence, tags, text as tx
 from ..functions.collections import bind, bound
+from . import lookups
 
 EDIT_TYPE = "array<struct<pos:int,op:string>>"
 
 
-def lexicon_pairs(lexicon: DataFrame | None, limit: int = 1_000_000) -> frozenset:
-    """The verb lexicon as a set the alignment helper can hold (size checked)."""
-    if lexicon is None:
-        return frozenset()
-    rows = lexicon.select("w1", "w2").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"a verb lexicon of more than {limit} pairs does not fit a task")
-    return frozenset((r.w1, r.w2) for r in rows)
+def with_verbs(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Adds ``_verbs``: the lexicon pairs (``"w1 w2"``) between a row's own source
+    and target tokens. Where rows are numbered, later ones of a decode key do not
+    count (see ``lookups.encode_lexicon``).
+
+    Both sides are exploded word by word and meet in joins, so neither the
+    lexicon nor the product of a row's sides is held anywhere.
+    """
+    first = lookups.encode_lexicon(lexicon) if "row_no" in lexicon.columns else lexicon
+    known = first.select("w1", "w2").distinct()
+    keyed = tokens.withColumn("_k", F.sha2(F.to_json(F.struct("src", "tgt")), 256))
+    changed = keyed.filter(F.col("src_tokens") != F.col("tgt_tokens"))
+    sources = changed.select("_k", F.explode(F.array_distinct("src_tokens")).alias("w1"))
+    targets = changed.select("_k", F.explode(F.array_distinct("tgt_tokens")).alias("w2"))
+    hits = sources.join(known, "w1").join(targets, ["_k", "w2"], "left_semi")
+    own = hits.groupBy("_k").agg(F.collect_set(F.concat("w1", F.lit(" "), "w2")).alias("_verbs"))
+    return keyed.join(own, "_k", "left").withColumn("_verbs", F.coalesce("_verbs", F.array().cast("array<string>"))).drop("_k")
 
 
 def _edit(pos: Column, op: Column) -> Column:
@@ -116,10 +126,9 @@ def annotate(
     Pairs that hold a format delimiter are left out (see ``delimiter_rejects``).
     Equal pairs never reach Python: their opcodes are the empty list. The
     alignment costs far more than moving a pair, so pairs are dealt evenly
-    over ``parallelism`` tasks when that is given.
+    over ``parallelism`` tasks when that is given. A verb ``lexicon`` has
+    ``w1, w2, t1, t2, row_no``; without ``row_no`` all its pairs count.
     """
-    verbs = lexicon_pairs(lexicon)
-    verb = F.array(*[F.lit(f"{a} {b}") for a, b in sorted(verbs)]) if verbs else None
     ok = pairs.filter(tx.sentence_ok(F.col("src")) & tx.sentence_ok(F.col("tgt")))
     tokens = ok.withColumns(
         {
@@ -127,18 +136,22 @@ def annotate(
             "tgt_tokens": tx.tokenize(F.col("tgt"), mode),
         }
     )
+    verb = None
+    if lexicon is not None:
+        tokens, verb = with_verbs(tokens, lexicon), F.col("_verbs")
     if parallelism:
         tokens = tokens.repartition(parallelism)
     # a null side returns at once, so equal pairs cost no alignment
+    none = F.array().cast("array<string>")
     differs = F.when(F.col("src_tokens") != F.col("tgt_tokens"), F.col("src_tokens"))
-    refined = tokens.withColumn("_ops", sequence.align_ops(verbs)(differs, F.col("tgt_tokens")))
+    refined = tokens.withColumn("_ops", sequence.align_ops()(differs, F.col("tgt_tokens"), none if verb is None else verb))
     edits = F.coalesce(
         ops_to_edits(F.col("_ops"), F.col("src_tokens"), F.col("tgt_tokens"), verb),
         F.array().cast(EDIT_TYPE),
     )
     return (
         refined.withColumn("edits", edits)
-        .drop("_ops")
+        .drop("_ops", "_verbs")
         .withColumn("labels", tags.edits_to_labels(F.col("edits"), F.size("src_tokens")))
     )
 

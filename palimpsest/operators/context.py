@@ -12,47 +12,50 @@ from ..functions.collections import bind, bound, index_range, prefix_sums
 
 @bound(3)
 def sentence_of_token(sents: Column, tokens: Column, token_diff: Column) -> Column:
-    """Indices of the sentences holding a changed token longer than one character."""
-    at = F.filter(token_diff, lambda d: F.char_length(F.get(tokens, d)) > 1)
-    return bind(
-        F.struct(
-            prefix_sums(F.transform(sents, lambda s: F.size(s))).alias("p"), at.alias("at")
-        ),
-        lambda b: F.filter(
-            index_range(F.size(sents)),
-            lambda i: F.exists(
-                b["at"], lambda d: (d >= F.get(b["p"], i)) & (d < F.get(b["p"], i + 1))
-            ),
-        ),
-    )
+    """Indices of the sentences holding a changed token longer than one character.
+
+    Sentence starts and changed positions are sorted together: a sentence is hit
+    if a position follows its start before the next start does.
+    """
+
+    def places(p: Column) -> Column:
+        starts = F.transform(p, lambda at, i: F.struct(at.alias("at"), i.alias("sentence"), F.lit(False).alias("hit")))
+        long = F.filter(token_diff, lambda d: F.char_length(F.get(tokens, d)) > 1)
+        none = F.lit(2_147_483_647)  # behind all starts at the same place
+        return F.sort_array(F.concat(starts, F.transform(long, lambda d: F.struct(d.cast("int").alias("at"), none.alias("sentence"), F.lit(True).alias("hit")))))
+
+    def hit(s: Column) -> Column:
+        at = F.filter(
+            index_range(F.size(s)),
+            lambda k: ~F.get(s, k)["hit"] & F.coalesce(F.get(s, k + 1)["hit"], F.lit(False)) & (F.get(s, k)["sentence"] < F.size(sents)),
+        )
+        return F.transform(at, lambda k: F.get(s, k)["sentence"])
+
+    return bind(bind(prefix_sums(F.transform(sents, lambda s: F.size(s))), places), hit)
 
 
 @bound(2)
 def context_window(tokens: Column, diff: Column, width: int) -> Column:
     """Tokens within ``width`` of a changed position, flagged 1 = changed, 0 = context.
 
-    Work grows with changed positions times the window, not with their square.
+    Each changed position lists its neighbours; sorted, the last entry of a
+    position tells whether it changed. Work grows with positions times the window.
     """
-    near = F.array_sort(
-        F.array_distinct(
-            F.flatten(
-                F.transform(
-                    diff,
-                    lambda d: F.filter(
-                        F.sequence(d - width, d + width), lambda i: (i >= 0) & (i < F.size(tokens))
-                    ),
-                )
-            )
+    near = F.flatten(
+        F.transform(
+            diff,
+            lambda d: F.transform(
+                F.filter(F.sequence(d - width, d + width), lambda i: (i >= 0) & (i < F.size(tokens))),
+                lambda i: F.struct(i.alias("pos"), (i == d).cast("int").alias("action")),
+            ),
         )
     )
-    return F.transform(
-        near,
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.get(tokens, i).alias("token"),
-            F.array_contains(diff, i).cast("int").alias("action"),
-        ),
-    )
+
+    def last(s: Column) -> Column:
+        ends = F.filter(s, lambda x, k: ~F.coalesce(F.get(s, k + 1)["pos"] == x["pos"], F.lit(False)))
+        return F.transform(ends, lambda x: F.struct(x["pos"].alias("pos"), F.get(tokens, x["pos"]).alias("token"), x["action"].alias("action")))
+
+    return bind(F.sort_array(near), last)
 
 
 @bound(3)

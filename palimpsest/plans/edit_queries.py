@@ -19,7 +19,7 @@ def up(expr: str) -> str:
 
 CAP = up("left({0}, 1)") + " || lower(substr({0}, 2))"
 VARIANTS = f"""pairs AS (SELECT w AS s, unnest([w, lower(w), {up('w')}, {CAP.format('w')}, left(w, 1) || {CAP.format('substr(w, 2)')},
-    {up('left(w, length(w) - 1)')} || right(w, 1), w || 's', left(w, length(w) - 1)]) AS t FROM (SELECT * FROM words WHERE length(w) > 1))"""
+    {up('left(w, length(w) - 1)')} || right(w, 1), w || 's', left(w, length(w) - 1)]) AS t FROM (SELECT * FROM words WHERE length(w) > 0))"""
 CASE_SQL = f"""CASE WHEN lower(s) <> lower(t) THEN NULL WHEN lower(s) = t THEN '$TRANSFORM_CASE_LOWER' WHEN {CAP.format('s')} = t THEN '$TRANSFORM_CASE_CAPITAL'
     WHEN {up('s')} = t THEN '$TRANSFORM_CASE_UPPER'
     WHEN left(s, 1) = left(t, 1) AND {CAP.format('substr(s, 2)')} = substr(t, 2) THEN '$TRANSFORM_CASE_CAPITAL_1'
@@ -45,7 +45,7 @@ def _variants(t: Tables) -> DataFrame:
         F.concat(w, F.lit("s")),
         butlast,
     )
-    return _words(t).filter(F.char_length(w) > 1).select(w.alias("s"), F.explode(forms).alias("t"))
+    return _words(t).filter(F.char_length(w) > 0).select(w.alias("s"), F.explode(forms).alias("t"))
 
 
 @query("k_case_tag", f"WITH words AS ({WORDS}), {VARIANTS} SELECT s, t, {CASE_SQL} AS tag FROM pairs")
@@ -166,6 +166,22 @@ def k_annotate(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "k_annotate_verbs",
+    f"""WITH words AS ({WORDS}), v AS (SELECT w FROM words WHERE regexp_full_match(w, '[a-z]{{4}}'))
+    SELECT w, unnest(['ed', 't']) AS form, unnest(['$TRANSFORM_VERB-' || w || 'ed,$REPLACE_qq', '$REPLACE_' || w || 't,$REPLACE_qq']) AS ops FROM v""",
+)
+def k_annotate_verbs(t: Tables) -> DataFrame:
+    """Verb tags from a lexicon of all four-letter words, where the first row of a key wins."""
+    w = F.col("w")
+    verbs = _words(t).filter(w.rlike(r"\A[a-z]{4}\z"))
+    forms = F.explode(F.arrays_zip(F.array(F.lit("ed"), F.lit("t")).alias("form"), F.array(F.lit(1), F.lit(2)).alias("row_no")))
+    spelt = verbs.select("w", forms.alias("f")).select("w", "f.form", "f.row_no", F.concat("w", "f.form").alias("w2"))
+    lexicon = spelt.select(w.alias("w1"), "w2", F.lit("VB").alias("t1"), F.lit("VBD").alias("t2"), "row_no")
+    pairs = spelt.select("w", "form", F.concat("w", F.lit(" zz")).alias("src"), F.concat("w2", F.lit(" qq")).alias("tgt"))
+    return an.annotate(pairs, lexicon=lexicon).select("w", "form", F.array_join("edits.op", ",").alias("ops"))
+
+
 # ---- tokens with ops chosen by word length -------------------------------------
 
 SPLIT_SQL = r"list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')"
@@ -261,7 +277,7 @@ def k_tagged_line(t: Tables) -> DataFrame:
 @query(
     "k_reverse_transform",
     f"""WITH words AS ({WORDS}), p AS (SELECT w, unnest(['$TRANSFORM_CASE_LOWER', '$TRANSFORM_CASE_UPPER', '$TRANSFORM_CASE_CAPITAL', '$TRANSFORM_CASE_CAPITAL_1',
-      '$TRANSFORM_CASE_UPPER_-1', '$TRANSFORM_VERB-done', '$TRANSFORM_SPLIT_HYPHEN', '$TRANSFORM_AGREEMENT_PLURAL', '$TRANSFORM_AGREEMENT_SINGULAR', '$KEEP']) AS tag FROM words WHERE length(w) > 1)
+      '$TRANSFORM_CASE_UPPER_-1', '$TRANSFORM_VERB-done', '$TRANSFORM_SPLIT_HYPHEN', '$TRANSFORM_AGREEMENT_PLURAL', '$TRANSFORM_AGREEMENT_SINGULAR', '$KEEP']) AS tag FROM words WHERE length(w) > 0)
     SELECT w, tag, CASE tag WHEN '$TRANSFORM_CASE_LOWER' THEN lower(w) WHEN '$TRANSFORM_CASE_UPPER' THEN {up('w')} WHEN '$TRANSFORM_CASE_CAPITAL' THEN {CAP.format('w')}
       WHEN '$TRANSFORM_CASE_CAPITAL_1' THEN left(w, 1) || {CAP.format('substr(w, 2)')} WHEN '$TRANSFORM_CASE_UPPER_-1' THEN {up('left(w, length(w) - 1)')} || right(w, 1)
       WHEN '$TRANSFORM_VERB-done' THEN 'done' WHEN '$TRANSFORM_SPLIT_HYPHEN' THEN replace(w || '-end', '-', '|') WHEN '$TRANSFORM_AGREEMENT_PLURAL' THEN w || 's'
@@ -272,7 +288,7 @@ def k_reverse_transform(t: Tables) -> DataFrame:
         rules.CASE_LOWER, rules.CASE_UPPER, rules.CASE_CAPITAL, rules.CASE_CAPITAL_1, rules.CASE_UPPER_1,
         "$TRANSFORM_VERB-done", rules.SPLIT_HYPHEN, rules.PLURAL, rules.SINGULAR, rules.KEEP,
     ]
-    pairs = _words(t).filter(F.char_length("w") > 1).select(
+    pairs = _words(t).filter(F.char_length("w") > 0).select(
         "w", F.explode(F.array(*[F.lit(x) for x in all_tags])).alias("tag")
     )
     token = F.when(F.col("tag") == rules.SPLIT_HYPHEN, F.concat("w", F.lit("-end"))).otherwise(F.col("w"))

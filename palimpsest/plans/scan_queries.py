@@ -128,14 +128,21 @@ def a_count_revisions(t: Tables) -> DataFrame:
     FROM documents WHERE text <> ''
     UNION ALL SELECT '$START ' || replace(text, chr(10), ' '),
       CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER)
-    FROM conversations WHERE text <> ''""",
+    FROM conversations WHERE text <> ''
+    UNION ALL SELECT '$START ' || line, CAST(len(list_filter(string_split(line, ' '), lambda x: x <> '')) AS INTEGER)
+    FROM (SELECT unnest(['{"text":"cut" "x' || doc_id || '"}', '{ plain braces ' || doc_id || ' }']) AS line FROM documents)""",
 )
 def a_jsonl_records(t: Tables) -> DataFrame:
-    """Compressed JSON lines and plain text lines, read as one corpus."""
+    """Compressed JSON lines, plain text lines and lines in braces that are no JSON, read as one corpus."""
     objects, plain = scratch_path(t.spark, "jsonl"), scratch_path(t.spark, "lines")
     t.documents.select("doc_id", "text").write.option("compression", "gzip").json(objects)
     writers.write_lines(t.conversations.select(writers.one_line(F.col("text")).alias("line")), "line", plain)
-    return readers.read_jsonl(t.spark, [objects, plain], bos="$START ").select("text", "token_count")
+    faulty = F.explode(
+        F.array(F.concat(F.lit('{"text":"cut" "x'), "doc_id", F.lit('"}')), F.concat(F.lit("{ plain braces "), "doc_id", F.lit(" }")))
+    )
+    broken = scratch_path(t.spark, "broken")
+    writers.write_lines(t.documents.select(faulty.alias("line")), "line", broken)
+    return readers.read_jsonl(t.spark, [objects, plain, broken], bos="$START ").select("text", "token_count")
 
 
 @query("a_sample_files")
@@ -201,9 +208,8 @@ def a_tag_lines(t: Tables) -> DataFrame:
 
 @query(
     "a_task_union",
-    """SELECT CAST(CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER) AS task,
-    count(*) AS n, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS n_tokens FROM documents
-    WHERE lang IN ('de', 'en', 'es', 'fr') GROUP BY 1""",
+    """SELECT CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS task, n, n_tokens FROM (SELECT lang,
+    count(*) AS n, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS n_tokens FROM documents WHERE lang IS NOT NULL GROUP BY 1)""",
 )
 def a_task_union(t: Tables) -> DataFrame:
     """One JSON folder per task, joined into one table."""
@@ -212,7 +218,7 @@ def a_task_union(t: Tables) -> DataFrame:
     t.documents.select("lang", words.alias("tokens"), words.alias("action_tags")).write.partitionBy("lang").json(path)
     frames = [
         t.spark.read.schema("tokens array<string>, action_tags array<string>").json(f"{path}/lang={lang}")
-        for lang in ("de", "en", "es", "fr")
+        for lang in sorted(r.lang for r in t.documents.select("lang").distinct().dropna().collect())  # one folder each
     ]
     return (
         readers.load_tasks(frames, "action")

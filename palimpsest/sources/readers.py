@@ -162,29 +162,38 @@ def read_long_pages(spark: SparkSession, path: str) -> DataFrame:
 # ---- JSON Lines and text -------------------------------------------------------
 
 
-def line_index(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds ``line_no`` (0-based over the files in path order) and ``line_in_file``
-    to rows that carry ``file, block`` and an in-task order ``_m``.
+def part_order(file: Column) -> Column:
+    """File names in written order: ``part-100000`` follows ``part-99999``."""
+    name = r"^(.*/part-)(\d+)([^/]*)$"
+    numbered = F.concat(F.regexp_extract(file, name, 1), F.lpad(F.regexp_extract(file, name, 2), 20, "0"), F.regexp_extract(file, name, 3))
+    return F.when(file.rlike(name), numbered).otherwise(file)
 
-    Lines are numbered inside their input block; only per-block totals are
-    accumulated, so neither a file nor the corpus goes through one task.
+
+def line_index(df: DataFrame) -> DataFrame:
+    """Adds ``line_no`` (0-based over the files in written order) and
+    ``line_in_file`` to all rows of a scan, with ``file, block`` and the
+    ``monotonically_increasing_id`` of the scan as ``_m``.
+
+    A block is read by one task in order, so a row's number in it is the distance
+    to the block's first ``_m``. Only the table of blocks, one row per input
+    split, is sorted and broadcast; no text moves.
     """
-    per_block = df.groupBy("file", "block").agg(F.count("*").alias("_n"))
-    over_all = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    per_block = df.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    over_all = Window.orderBy(part_order(F.col("file")), "block").rowsBetween(Window.unboundedPreceding, -1)
     in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_block.select(
         "file",
         "block",
+        "_first",
         F.coalesce(F.sum("_n").over(over_all), F.lit(0)).alias("_all"),
         F.coalesce(F.sum("_n").over(in_file), F.lit(0)).alias("_file"),
     )
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("_m")) - 1
+    inside = F.col("_m") - F.col("_first")
     return (
-        df.withColumn("_k", inside)
-        .join(bases, ["file", "block"])
-        .withColumn("line_no", (F.col("_all") + F.col("_k")).cast("bigint"))
-        .withColumn("line_in_file", (F.col("_file") + F.col("_k")).cast("bigint"))
-        .drop("_k", "_all", "_file", "_m", "block")
+        df.join(F.broadcast(bases), ["file", "block"])
+        .withColumn("line_no", (F.col("_all") + inside).cast("bigint"))
+        .withColumn("line_in_file", (F.col("_file") + inside).cast("bigint"))
+        .drop("_first", "_all", "_file", "_m", "block")
     )
 
 
@@ -199,13 +208,24 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return line_index(raw)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], text_field: str = "text", bos: str = "") -> DataFrame:
-    """``file, id, text, token_count``; a line that is no JSON object is its own
-    text; rows without text drop out after numbering."""
+def read_jsonl(
+    spark: SparkSession, path: str | list[str], text_field: str = "text", bos: str = "", json: bool | None = None
+) -> DataFrame:
+    """``file, id, text, token_count``; rows without text drop out after numbering.
+
+    ``json=True``: a line that is no JSON object is an error. ``json=False``: each
+    line is its own text. By default lines that parse as objects are read as
+    such and all others, braces or not, are their own text.
+    """
     lines = read_lines(spark, path)
+    line = F.col("value")
     parsed = F.get_json_object("value", f"$.{text_field}")
-    is_object = F.col("value").rlike(r"^\s*\{.*\}\s*$")
-    text = F.when(is_object, parsed).otherwise(F.col("value"))
+    is_object = line.rlike(r"^\s*\{") & F.get_json_object("value", "$").isNotNull()
+    if json:
+        fault = F.concat(F.lit("no JSON object in "), F.col("file"), F.lit(", line "), F.col("line_in_file").cast("string"))
+        text = F.when(is_object, parsed).when(F.trim(line) != "", F.raise_error(fault).cast("string"))
+    else:
+        text = line if json is False else F.when(is_object, parsed).otherwise(line)
     return (
         lines.withColumn("text", text)
         .filter(F.col("text").isNotNull() & (F.col("text") != ""))
