@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import pieces_of, written
 
 HOT = 5000
-_SLICE = 1 << 19
+_SLICE = 1 << 16
 _SEEN = 400_000
 
 
@@ -39,66 +39,83 @@ _SEEN = 400_000
 class Windows:
     """How texts become windows.
 
-    ``symbols``: text -> array of 64-bit symbols; ``hashes``: symbols, k -> hash
-    of every k neighbours; ``within``: whether an earlier place in the same
-    document counts. ``stretch(text, symbols, windows, first, count)`` gives what is shipped for
-    ``count`` neighbouring windows and ``keys(stretch)`` the comparable windows in it.
+    ``symbols``: texts -> their 64-bit symbols in one array, and where each text
+    begins in it (with the end); ``hashes``: symbols, k -> hash of every k
+    neighbours; ``within``: whether an earlier place in the same document counts;
+    ``compact``: whether window hashes are shipped. ``stretch(text, windows, first,
+    count)`` gives what is shipped for ``count`` neighbouring windows (``windows``
+    are their hashes, where needed) and ``keys(stretch)`` the comparable windows in it.
     """
 
     length: int
     k: int
     within: bool
+    compact: bool
     symbols: Callable
     hashes: Callable
     stretch: Callable
     keys: Callable
 
 
+_PLACE = np.uint64((1 << 20) - 1)
+
+
 def smallest(g: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost smallest value in every ``width`` neighbours."""
-    v, at, span = g, np.arange(len(g)), 1
+    """Place of the leftmost smallest value (by its upper 44 bits) in every
+    ``width`` neighbours of at most 2**20 values: value and place in one number."""
+    v, span = (g & ~_PLACE) | np.arange(len(g), dtype=np.uint64), 1
     while span < width:
         step = min(span, width - span)
-        right = v[step:] < v[:-step]
-        at = np.where(right, at[step:], at[:-step])
-        v = np.where(right, v[step:], v[:-step])
+        v = np.minimum(v[:-step], v[step:])
         span += step
-    return at
+    return (v & _PLACE).astype(np.int64)
 
 
-def anchors(a: np.ndarray, spec: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per slice of a symbol array: its start, and the hash and place of each
-    anchor, its first window and number of windows (all places absolute)."""
-    n = len(a) - spec.length + 1
-    for start in range(0, max(n, 0), _SLICE):
+def anchors(a: np.ndarray, offsets: np.ndarray, spec: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice of the symbols of several texts: its start, and the hash and
+    place of each anchor, its first window and number of windows (all places
+    absolute). Windows that cross the end of their text are left out."""
+    edges = offsets[1:-1]
+    for start in range(0, max(len(a) - spec.length + 1, 0), _SLICE):
         part = a[start : start + _SLICE + spec.length - 1]
         g = spec.hashes(part, spec.k)
         at = smallest(g, spec.length - spec.k + 1)
+        near = edges[np.searchsorted(edges, start, "right") : np.searchsorted(edges, start + len(part), "left")] - start
+        change = np.zeros(len(at) + 1, np.int32)
+        np.add.at(change, np.clip(near - spec.length + 1, 0, len(at)), 1)
+        np.add.at(change, np.clip(near, 0, len(at)), -1)
+        inside = np.flatnonzero(np.cumsum(change[:-1]) == 0)
+        if not len(inside):
+            continue
+        at = at[inside]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        yield start, g[at[first]], at[first] + start, first + start, np.diff(np.r_[first, len(at)])
+        yield start, g[at[first]], at[first] + start, inside[first] + start, np.diff(np.r_[first, len(at)])
 
 
 def _rows(spec: Windows, places: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, 2, 1 << 20):
-                found, place, count = [], [], []
-                for text in batch.column(2).to_pylist():
-                    parts = [(h, p) for _, h, p, _, _ in anchors(spec.symbols(text), spec)]
-                    found += [h for h, _ in parts]
-                    place += [p for _, p in parts]
-                    count.append(sum(len(h) for h, _ in parts))
-                doc = np.repeat(batch.column(0).to_numpy(), count)
-                flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                out = {"anchor": pa.array(flat), "doc": pa.array(doc)}
-                if places:
-                    out["tag"] = pa.array(np.repeat(batch.column(1).to_numpy(), count))
-                    out["pos"] = pa.array(np.concatenate(place) if place else np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_pydict(out)
+                a, offsets = spec.symbols(batch.column(2).to_pylist())
+                for _, found, place, _, _ in anchors(a, offsets, spec):
+                    row = np.searchsorted(offsets, place, "right") - 1
+                    out = {"anchor": pa.array(found.view(np.int64)), "doc": batch.column(0).take(pa.array(row))}
+                    if places:
+                        out |= {"tag": batch.column(1).take(pa.array(row)), "pos": pa.array(place - offsets[row])}
+                    yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
+def _known(seeds: pa.ListArray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Absolute places of the repeated anchors of a batch, sorted, and their counts."""
+    ends = seeds.offsets.to_numpy()
+    flat = seeds.values.slice(ends[0], ends[-1] - ends[0])
+    place = flat.field("pos").to_numpy() + np.repeat(offsets[:-1], np.diff(ends))
+    order = np.argsort(place)
+    return place[order], flat.field("n").to_numpy()[order]
+
+
 def _shipped(spec: Windows) -> Callable:
     """Rows ``doc, tag, text, seeds`` -> stretches to compare, and (``salt`` -1)
     runs of windows flagged on the spot."""
@@ -118,41 +135,43 @@ def _shipped(spec: Windows) -> Callable:
 
         for whole in batches:
             for batch in pieces_of(whole, 2, 1 << 20):
-                rows: list[tuple] = []
-                seeds = batch.column(3)
-                for i, (doc, tag, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
-                    known = dict(zip(seeds[i].values.field("pos").to_pylist(), seeds[i].values.field("n").to_pylist()))
-                    a = spec.symbols(text)
-                    for start, _, place, first, count in anchors(a, spec):
+                docs, tags, texts = (batch.column(c).to_pylist() for c in range(3))
+                a, offsets = spec.symbols(texts)
+                known, times = _known(batch.column(3), offsets)
+                for start, found, place, first, count in anchors(a, offsets, spec):
+                    at = np.minimum(np.searchsorted(known, place), len(known) - 1)
+                    hit = np.flatnonzero(known[at] == place)
+                    n = times[at[hit]]
+                    windows = None
+                    if spec.compact or (n > HOT).any():
                         windows = spec.hashes(a[start : start + _SLICE + spec.length - 1], spec.length)
-                        for p, s, c in zip(place.tolist(), first.tolist(), count.tolist()):
-                            n = known.get(p)
-                            if n is None:
-                                continue
+                    row = np.searchsorted(offsets, place[hit], "right") - 1
+                    rows: list[tuple] = []
+                    columns = found[hit].view(np.int64), row, offsets[row], first[hit], count[hit], n
+                    for anchor, i, base, s, c, often in zip(*(x.tolist() for x in columns)):
+                        doc, tag, text, own = docs[i], tags[i], texts[i], None
+                        if windows is not None:
                             own = windows[s - start : s - start + c]
-                            if n <= HOT:
-                                payload = spec.stretch(text, own, s, c)
-                                if earlier(payload, doc, s):
-                                    rows.append((doc, -1, doc, tag, s, c, b""))
-                                else:
-                                    rows.append((_key(a, p, spec), 0, doc, tag, s, c, payload))
-                                continue
-                            salts = -(-n // HOT)
-                            for j, w in enumerate(own.tolist()):
-                                payload = spec.stretch(text, own[j : j + 1], s + j, 1)
-                                if earlier(payload, doc, s + j):
-                                    rows.append((doc, -1, doc, tag, s + j, 1, b""))
-                                else:
-                                    rows.append((_key(a, p, spec), 1 + w % salts, doc, tag, s + j, 1, payload))
-                yield _batch(rows)
+                        s -= base
+                        if often <= HOT:
+                            payload = spec.stretch(text, own, s, c)
+                            if earlier(payload, doc, s):
+                                rows.append((doc, -1, doc, tag, s, c, b""))
+                            else:
+                                rows.append((anchor, 0, doc, tag, s, c, payload))
+                            continue
+                        salts = -(-often // HOT)
+                        for j, w in enumerate(own.tolist()):
+                            payload = spec.stretch(text, own[j : j + 1], s + j, 1)
+                            if earlier(payload, doc, s + j):
+                                rows.append((doc, -1, doc, tag, s + j, 1, b""))
+                            else:
+                                rows.append((anchor, 1 + w % salts, doc, tag, s + j, 1, payload))
+                    yield _batch(rows)
 
     return run
 
 
-def _key(a: np.ndarray, place: int, spec: Windows) -> int:
-    return int(spec.hashes(a[place : place + spec.k], spec.k).view(np.int64)[0])
-
-
 _KINDS = [("anchor", pa.int64()), ("salt", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("count", pa.int32()), ("payload", pa.binary())]
 _SHIPPED = "anchor bigint, salt bigint, doc bigint, tag bigint, start bigint, count int, payload binary"
 _RUNS = "doc bigint, tag bigint, lo bigint, hi bigint"

@@ -20,19 +20,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHashes, grams, pieces_of
+from .common import grams, hashed_words, pieces_of
 from .repeats import Windows, covered, runs
 
 LENGTH, SEED = 13, 5
 
 
 def word_windows(length: int = LENGTH, seed: int = SEED) -> Windows:
-    hashes = WordHashes()
     return Windows(
         length=length,
         k=seed,
         within=False,
-        symbols=lambda text: hashes.of((text or b"").split()),
+        compact=True,
+        symbols=hashed_words,
         hashes=grams,
         stretch=lambda text, windows, first, count: windows.tobytes(),
         keys=lambda payload: np.frombuffer(payload, np.uint64).tolist(),

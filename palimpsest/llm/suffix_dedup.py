@@ -27,14 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX_A, mix, pieces_of
+from .common import BYTE_VALUES, MIX_A, mix, pieces_of
 from .repeats import Windows, covered, runs
 
 LENGTH, SAMPLE = 100, 32
 
-#: A random-looking 64-bit value per byte.
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * MIX_A)
-
 
 def rolling(a: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` neighbours, joined from hashes of powers of two."""
@@ -54,12 +51,17 @@ def rolling(a: np.ndarray, k: int) -> np.ndarray:
         size *= 2
 
 
+def _bytes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.cumsum([0, *map(len, texts)])
+
+
 def byte_windows(length: int = LENGTH, sample: int = SAMPLE) -> Windows:
     return Windows(
         length=length,
         k=sample,
         within=True,
-        symbols=lambda text: _TABLE[np.frombuffer(text or b"", np.uint8)],
+        compact=False,
+        symbols=_bytes_of,
         hashes=rolling,
         stretch=lambda text, windows, first, count: text[first : first + count + length - 1],
         keys=lambda payload: (payload[i : i + length] for i in range(len(payload) - length + 1)),
