@@ -7,6 +7,11 @@ characters, and its most common function words against all other words. A
 document is close if one language is close; documents below a minimum length
 are not judged by distance, since short histograms say little.
 
+Only English, French, German and Spanish have references. A text in which none of
+them is recognised (few of its words listed, or only one or two forms) is judged
+by its characters alone. Texts with a symbol in every fifth word, such as tables
+of made-up words, still have to meet the word distance.
+
 Every number comes from the row itself: one scan, no shuffle, no Python.
 
 Defined results: null and empty texts have no words and fail the base rule;
@@ -31,6 +36,10 @@ JUDGED_CHARS = 200
 JUDGED_WORDS = 60
 MAX_CHAR_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.30
+LISTED_SHARE = 50  # one listed word among so many, or the language is not recognised
+LISTED_FORMS = 3  # fewer forms, as Hungarian "a", are no sign of a language either,
+LONE_SHARE = 5  # unless they are one word among so many
+SYMBOL_SHARE = 5  # one symbol for so many words: not prose of an unlisted language
 
 #: Characters of the classes; all other characters are one class more.
 CLASSES = {
@@ -130,11 +139,21 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         others = (F.col("n_words") - sum(counts, F.lit(0))) / F.col("n_words")
         return divergence([*p, others], [*language.values(), 1 - sum(language.values())])
 
+    def absent(language: dict[str, float]) -> Column:
+        counts = [F.get("_common", F.lit(LISTED.index(w))) for w in language]
+        hits = sum(counts, F.lit(0))
+        forms = sum(((n > 0).cast("int") for n in counts), F.lit(0))
+        lone = (forms < LISTED_FORMS) & (LONE_SHARE * hits < F.col("n_words"))
+        return (LISTED_SHARE * hits < F.col("n_words")) | lone
+
+    unlisted = SYMBOL_SHARE * F.col("_symbol") < F.col("n_words")
+    for language in COMMON.values():
+        unlisted = unlisted & absent(language)
     nearest = F.least(*[to(language) for language in COMMON.values()])
     word_distance = F.when(F.col("n_words") >= JUDGED_WORDS, nearest).otherwise(0.0)
     step = step.withColumns({"char_distance": char_distance, "word_distance": word_distance})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    close = (F.col("char_distance") <= MAX_CHAR_DISTANCE) & (F.col("word_distance") <= MAX_WORD_DISTANCE)
+    close = (F.col("char_distance") <= MAX_CHAR_DISTANCE) & ((F.col("word_distance") <= MAX_WORD_DISTANCE) | unlisted)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
     verdict = F.struct(*counts, failed.alias("base_failed"), (~failed & close).alias("kept"))
     return step.select(*[F.col("_row").getField(c).alias(c) for c in names], verdict.alias("_q"))
