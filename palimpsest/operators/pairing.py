@@ -78,12 +78,22 @@ def previous_kept(kept: DataFrame, carry: Iterable[str] = ("rev_id",)) -> DataFr
     return previous_in_group(kept, ["page_id"], ["rev_ord"], list(carry))
 
 
+def comment_rows(kept: DataFrame, min_tokens: int = 3) -> DataFrame:
+    """Every valid comment of each page with its number: ``page_id, rev_id,
+    comment_no, comment``.
+
+    The running list of a revision is the rows of its page up to its own number.
+    """
+    valid = kept.filter(tx.comment_ok(F.col("comment"), min_tokens))
+    ranked = group_rank(valid.select("page_id", "rev_ord", "rev_id", "comment"), ["page_id"], ["rev_ord"], "_rank")
+    return ranked.select("page_id", "rev_id", (F.col("_rank") + 1).alias("comment_no"), "comment")
+
+
 def page_comments(kept: DataFrame, min_tokens: int = 3, last: int = 10) -> DataFrame:
     """Running valid comments of each page: their number so far and the last
     ``last`` of them (newest last).
 
-    A page's full running list grows with the square of its history; number and
-    window carry the same information for a consumer that samples from it.
+    Older comments are not in the window; ``comment_rows`` keeps them all.
     """
     valid = kept.filter(tx.comment_ok(F.col("comment"), min_tokens))
     ranked = group_rank(valid.select("page_id", "rev_ord", "rev_id", "comment"), ["page_id"], ["rev_ord"], "comment_no")
@@ -106,10 +116,32 @@ def page_comments(kept: DataFrame, min_tokens: int = 3, last: int = 10) -> DataF
     )
 
 
-def negative_comments(kept: DataFrame, min_tokens: int = 3, k: int = 10) -> DataFrame:
-    """Up to ``k`` other comments of the same page: the nearest earlier ones."""
+def earlier_comments(kept: DataFrame, min_tokens: int = 3, k: int = 10) -> DataFrame:
+    """The ``k`` valid comments before each one; the first of a page has none."""
     return page_comments(kept, min_tokens, k + 1).select(
         "page_id",
         "rev_id",
         F.slice("recent", 1, F.size("recent") - 1).alias("negatives"),
     )
+
+
+def negative_comments(kept: DataFrame, min_tokens: int = 3, k: int = 10) -> DataFrame:
+    """Up to ``k`` other comments of the same page, earlier and later ones: the
+    nearest by number (the earlier of two), in page order. A page with more than
+    ``k`` valid comments gives each of them ``k``, any other page all others."""
+    valid = kept.filter(tx.comment_ok(F.col("comment"), min_tokens))
+    indexed = with_index(valid.select("page_id", "rev_ord", "rev_id", "comment"), ["page_id", "rev_ord"], "_idx")
+    w = Window.partitionBy("_block").orderBy("_idx").rowsBetween(-k, k)
+    page, own = F.col("page_id"), F.col("_idx")
+    others = F.filter("_near", lambda s: (s["page_id"] == page) & (s["at"] != own))
+    by_distance = F.transform(
+        others, lambda s: F.struct(F.abs(s["at"] - own).alias("d"), s["at"].alias("at"), s["comment"].alias("comment"))
+    )
+    picked = F.slice(F.sort_array(by_distance), 1, k)
+    in_order = F.sort_array(F.transform(picked, lambda s: F.struct(s["at"].alias("at"), s["comment"].alias("comment"))))
+    return (
+        halo_blocks(indexed, "_idx", k, k)
+        .withColumn("_near", F.collect_list(F.struct("page_id", F.col("_idx").alias("at"), "comment")).over(w))
+        .filter("_own")
+        .select("page_id", "rev_id", F.transform(in_order, lambda s: s["comment"]).alias("negatives"))
+    )

@@ -371,6 +371,7 @@ COMMENT_SQL = v.with_(
     array_to_string(list(comment) OVER (PARTITION BY page_id ORDER BY rev_ord ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), '|') AS recent FROM valid""",
 )
 def e_page_comments(t: Tables) -> DataFrame:
+    """Number and last three; ``e_comment_rows`` keeps the whole list."""
     out = pairing.page_comments(pairing.gate_comments(v.revisions(t)), last=3)
     return out.withColumn("recent", F.array_join("recent", "|"))
 
@@ -382,7 +383,31 @@ def e_page_comments(t: Tables) -> DataFrame:
     ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), '|'), '') AS negatives FROM valid""",
 )
 def h_negative_comments(t: Tables) -> DataFrame:
-    out = pairing.negative_comments(pairing.gate_comments(v.revisions(t)), k=2)
+    """The two comments before; ``h_page_negatives`` takes all sides of the page."""
+    out = pairing.earlier_comments(pairing.gate_comments(v.revisions(t)), k=2)
+    return out.withColumn("negatives", F.array_join("negatives", "|"))
+
+
+@query(
+    "e_comment_rows",
+    COMMENT_SQL
+    + "SELECT page_id, rev_id, row_number() OVER (PARTITION BY page_id ORDER BY rev_ord) AS comment_no, comment FROM valid",
+)
+def e_comment_rows(t: Tables) -> DataFrame:
+    return pairing.comment_rows(pairing.gate_comments(v.revisions(t)))
+
+
+@query(
+    "h_page_negatives",
+    COMMENT_SQL
+    + """, n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rev_ord) AS no FROM valid),
+    o AS (SELECT a.page_id, a.no, b.no AS other, b.comment,
+      row_number() OVER (PARTITION BY a.page_id, a.no ORDER BY abs(b.no - a.no), b.no) AS place FROM n a JOIN n b ON a.page_id = b.page_id AND a.no <> b.no)
+    SELECT n.page_id, n.rev_id, coalesce(string_agg(o.comment, '|' ORDER BY o.other), '') AS negatives
+    FROM n LEFT JOIN o ON o.page_id = n.page_id AND o.no = n.no AND o.place <= 10 GROUP BY n.page_id, n.no, n.rev_id""",
+)
+def h_page_negatives(t: Tables) -> DataFrame:
+    out = pairing.negative_comments(pairing.gate_comments(v.revisions(t)))
     return out.withColumn("negatives", F.array_join("negatives", "|"))
 
 
