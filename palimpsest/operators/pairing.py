@@ -37,20 +37,30 @@ def sampled(key: Column, ratio: float, seed: int = 0) -> Column:
 
 
 def pair_with_parent(
-    kept: DataFrame, carry: Iterable[str] = ("title", "text"), ratio: float = 1.0, seed: int = 0
+    kept: DataFrame,
+    carry: Iterable[str] = ("title", "text"),
+    ratio: float = 1.0,
+    seed: int = 0,
+    within: Iterable[str] = (),
 ) -> DataFrame:
     """Each kept revision next to its parent, if the parent was kept (and sampled).
 
-    An equi-join on the unique revision id; both sides are narrowed to the
-    columns asked for before the shuffle.
+    An equi-join on the revision id, and on the columns ``within`` (the page)
+    where ids are unique inside those only; both sides are narrowed to the columns
+    asked for before the shuffle.
     """
-    carry = [c for c in carry]
+    carry, within = list(carry), list(within)
     parent = kept.select(
-        F.col("rev_id").alias("_pid"), *[F.col(c).alias(f"parent_{c}") for c in carry]
+        F.col("rev_id").alias("_pid"),
+        *[F.col(c).alias(f"_in_{c}") for c in within],
+        *[F.col(c).alias(f"parent_{c}") for c in carry],
     )
     if ratio < 1.0:
         parent = parent.filter(sampled(F.col("_pid"), ratio, seed))
-    return kept.join(parent, F.col("parent_id") == F.col("_pid")).drop("_pid")
+    on = F.col("parent_id") == F.col("_pid")
+    for c in within:
+        on = on & (F.col(c) == F.col(f"_in_{c}"))
+    return kept.join(parent, on).drop("_pid", *[f"_in_{c}" for c in within])
 
 
 def sections_of_pairs(pairs: DataFrame, max_chars: int | None = None, compat: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from .catalog import Tables, query
     WHERE length(c.text) > 0 AND length(p.text) > 0""",
 )
 def c_revision_pairs(t: Tables) -> DataFrame:
-    pairs = pairing.pair_with_parent(pairing.gate_comments(v.revisions(t)))
+    pairs = pairing.pair_with_parent(pairing.gate_comments(v.revisions(t)), within=v.PAGE)
     return pairs.filter((F.char_length("text") > 0) & (F.char_length("parent_text") > 0)).select(
         "page_id", "rev_id", "parent_id", F.md5("parent_text").alias("parent_digest")
     )
@@ -60,10 +60,10 @@ def c_zip_cluster(t: Tables) -> DataFrame:
 )
 def c_comment_lookup(t: Tables) -> DataFrame:
     kept = pairing.gate_comments(v.revisions(t)).select(
-        "rev_id", "parent_id", tx.tokenize(F.col("comment")).alias("tokens")
+        "page_id", "rev_id", "parent_id", tx.tokenize(F.col("comment")).alias("tokens")
     )
-    dim = kept.select(F.col("rev_id").alias("parent_id"), F.array_join("tokens", " ").alias("parent_comment"))
-    return kept.join(dim, "parent_id", "left").select(
+    dim = kept.select("page_id", F.col("rev_id").alias("parent_id"), F.array_join("tokens", " ").alias("parent_comment"))
+    return kept.join(dim, [*v.PAGE, "parent_id"], "left").select(
         "rev_id", F.size("tokens").cast("bigint").alias("n_tokens"), "parent_comment"
     )
 

@@ -95,5 +95,5 @@ def s_pairs(t: Tables) -> DataFrame:
         .option("maxFilesPerTrigger", 2)
         .parquet(folder)
     )
-    ingest.drain(ingest.stream_pairs(stream), sink, marks)
+    ingest.drain(ingest.stream_pairs(stream, within=v.PAGE), sink, marks)
     return t.spark.read.parquet(sink)

@@ -260,5 +260,5 @@ def flagship_edit_kinds(t: Tables) -> DataFrame:
     from ..operators import annotate as an, diff
 
     kept = pairing.gate_comments(v.revisions(t))
-    pairs = diff.two_stage_diff(pairing.sections_of_pairs(pairing.pair_with_parent(kept)))
+    pairs = diff.two_stage_diff(pairing.sections_of_pairs(pairing.pair_with_parent(kept, within=v.PAGE)))
     return an.edit_histogram(an.annotate(pairs.select("rev_id", "src", "tgt"), parallelism=t.tasks * 4))

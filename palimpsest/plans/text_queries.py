@@ -117,7 +117,7 @@ def h_changed_positions(t: Tables) -> DataFrame:
 )
 def h_two_stage_diff(t: Tables) -> DataFrame:
     """Every changed sentence is found in the text it was cut from."""
-    pairs = pairing.sections_of_pairs(pairing.pair_with_parent(pairing.gate_comments(v.revisions(t))))
+    pairs = pairing.sections_of_pairs(pairing.pair_with_parent(pairing.gate_comments(v.revisions(t)), within=v.PAGE))
     changed = diff.two_stage_diff(pairs)
 
     def squeeze(c):

@@ -12,7 +12,8 @@ from ..functions import text as tx
 from ..operators.ordering import previous_in_group
 from .catalog import Tables
 
-ROOM = 1000  # turns per conversation in a revision id
+ROOM = 1000  # turns per conversation in a revision id; from there on ids repeat on other pages
+PAGE = ["page_id"]  # hence a revision's key is its page and its id
 
 CTE = {
     "revisions": f"""SELECT conv_id AS page_id, 'Page ' || CAST(conv_id AS VARCHAR) AS page_title,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -41,17 +41,21 @@ def incremental_ingest(
     return spark.read.parquet(sink)
 
 
-def stream_pairs(kept: DataFrame, horizon: str | None = None) -> DataFrame:
+def stream_pairs(kept: DataFrame, horizon: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Parent pairing on a stream of kept revisions, in whatever order they come.
 
-    A stream-stream join on the unique revision id: state is spread by id, not
+    A stream-stream join on the revision id (and on the columns ``within``, the
+    page, where ids are unique inside those only): state is spread by id, not
     by page, so one page with a third of all revisions is no hot spot. With a
     ``horizon`` (for example ``"90 days"``) a watermark on ``timestamp`` drops
     parents older than that from the state; without one nothing is dropped.
     """
     child = kept.select("page_id", "rev_id", "parent_id", *(["timestamp"] if horizon else []))
-    parent = kept.select(F.col("rev_id").alias("_pid"), *([F.col("timestamp").alias("_pts")] if horizon else []))
+    inside = [F.col(c).alias(f"_in_{c}") for c in within]
+    parent = kept.select(F.col("rev_id").alias("_pid"), *inside, *([F.col("timestamp").alias("_pts")] if horizon else []))
     on = F.col("parent_id") == F.col("_pid")
+    for c in within:
+        on = on & (F.col(c) == F.col(f"_in_{c}"))
     if horizon:
         child = child.withWatermark("timestamp", horizon)
         parent = parent.withWatermark("_pts", horizon)
