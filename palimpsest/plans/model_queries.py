@@ -11,6 +11,9 @@ from . import views as v
 from .catalog import Tables, query
 from .join_queries import _centroids
 
+# the reference's SVD components (all 64 of the given vectors), restarts and iterations
+DIMS, STARTS, STEPS = 100, 16, 300
+
 
 @query(
     "j_svd",
@@ -26,13 +29,13 @@ def j_svd(t: Tables) -> DataFrame:
 
 @query("j_vectors")
 def j_vectors(t: Tables) -> DataFrame:
-    return features.reduce_vectors(t.embeddings, "embedding", k=16).select("vec_id", F.size("reduced").alias("dims"))
+    return features.reduce_vectors(t.embeddings, "embedding", k=DIMS).select("vec_id", F.size("reduced").alias("dims"))
 
 
 @query("j_kmeans")
 def j_kmeans(t: Tables) -> DataFrame:
-    reduced = features.reduce_vectors(t.embeddings, "embedding", k=16).select("vec_id", "reduced").persist()
-    model = cluster.fit_kmeans(reduced, "reduced", k=10, n_init=2, max_iter=20)
+    reduced = features.reduce_vectors(t.embeddings, "embedding", k=DIMS).select("vec_id", "reduced")
+    model = cluster.fit_kmeans(reduced, "reduced", k=10, n_init=STARTS, max_iter=STEPS)
     return cluster.assign(reduced, "reduced", model).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
@@ -42,7 +45,7 @@ def j_kmeans_predict(t: Tables) -> DataFrame:
     from pyspark.ml.clustering import KMeansModel
 
     path = scratch_path(t.spark, "kmeans")
-    cluster.fit_kmeans(t.embeddings, "embedding", k=10, max_iter=20).write().overwrite().save(path)
+    cluster.fit_kmeans(t.embeddings, "embedding", k=10, n_init=STARTS, max_iter=STEPS).write().overwrite().save(path)
     return cluster.assign(t.embeddings, "embedding", KMeansModel.load(path)).select("vec_id", "cluster")
 
 
