@@ -1,10 +1,9 @@
-"""Substring dedup over words: seed and extend.
+"""Substring dedup over words: windows around shared seeds.
 
 Documents are joined on winnowed anchors (five-word seeds, the smallest hash of
-every window), matches are extended to both sides of the seed word by word up to
-the length threshold, and what is kept as a repeat is the union of all windows
-of ``LENGTH`` words that start in a document with a smaller id. Hashes only find
-seeds and compare windows by 64 bits of window and 64 bits of seed together.
+every window), the windows around the seed are compared whole by hash (no word by
+word extension), and what is kept as a repeat is the union of all windows of
+``LENGTH`` words that start in a document with a smaller id. Hashes only find seeds and compare windows by 64 bits of window and 64 bits of seed together.
 
 Defined results: null and empty texts have no words; a document shorter than the
 threshold loses nothing; null ids neither remove nor are removed; rows that

@@ -1,17 +1,15 @@
-"""Suffix-array dedup over bytes: sampled, induced suffix sorting.
+"""Substring dedup over bytes by grouped anchors, as in op4: no suffix array.
 
 Removes every byte covered by a ``LENGTH``-byte string that also starts earlier
-(smaller id, or the same document and an earlier start). Only the first
-``LENGTH`` bytes of a suffix matter, so suffix tuples are truncated there:
-
-* sample suffixes start at content-defined places (smallest hash of every
-  window), they are named by their first ``SAMPLE`` bytes, and those with a name
-  of their own are discarded, since they share no long prefix with any other;
-* the rest are sorted externally by name, document and start (Spark's spilling
-  sort is the disk-backed queue), each tuple with its stretch of text;
-* all other suffixes are induced from the sample inside their window: bytes up
-  to the sample, then the sample's own order; equal ones share ``LENGTH`` bytes,
-  and all but the first are repeats.
+(smaller id, or the same document and an earlier start). No suffix is ordered by
+its bytes; there are no name ranks, common-prefix values, induction or queues:
+
+* anchors are ``SAMPLE`` bytes at content-defined places (smallest hash of every
+  window); those whose hash occurs once are discarded;
+* the rest are shuffled by hash and sorted by document and start, each with its
+  stretch of text;
+* inside an anchor's group whole windows are looked up, and all but the first of
+  equal ones are repeats.
 
 Windows are compared byte by byte. Defined results: null and empty texts have no
 bytes; texts shorter than ``LENGTH`` lose nothing; bytes of a cut character may
