@@ -26,7 +26,9 @@ def numbered_batches(rows: DataFrame, group: list[str], order: str, batch: int)
 def round_robin(groups: DataFrame, heads: int, steps: int | None = None) -> DataFrame:
     """Step plan from ``head, task, n_batches``: step s trains head ``s % heads``
     and the next of that head's own tasks in turn; a task that runs out starts
-    over. Without ``steps`` the plan has one step per batch of all groups."""
+    over. Without ``steps`` the plan has as many steps as all groups have batches;
+    heads and tasks alternate evenly, so of an uneven large group it need not reach
+    every batch. ``covering_steps`` gives the length that does."""
     if steps is None:
         steps = groups.agg(F.coalesce(F.sum("n_batches"), F.lit(0))).first()[0]
     own = Window.partitionBy("head")  # one row per task
@@ -50,6 +52,12 @@ def round_robin(groups: DataFrame, heads: int, steps: int | None = None) -> Data
     )
 
 
+def covering_steps(groups: DataFrame, heads: int) -> int:
+    """Steps in which ``round_robin`` reaches every batch of every group."""
+    per_head = groups.groupBy("head").agg((F.count("*") * F.max("n_batches")).alias("_rounds"))
+    return heads * (per_head.agg(F.max("_rounds")).first()[0] or 0)
+
+
 def stride_shards(df: DataFrame, order: list[str], shards: int, fill: dict) -> DataFrame:
     """Row ``i`` goes to shard ``i % shards``; short shards end with fill rows."""
     indexed = with_index(df, order, "_idx").select(
