@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, licenses, mixing, near_dedup, packing, quality, sharding, substring_dedup, suffix_dedup
-from .common import documents
+from . import chat, exact_dedup, fill_middle, licenses, mixing, near_dedup, packing, periodic, privacy, quality, sharding, substring_dedup, suffix_dedup
+from .common import WORD, documents, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -220,3 +220,140 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What suffix dedup leaves of every document."""
     left = suffix_dedup.remove_repeats(documents(spark, folder))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: crc32 of the decimal id in SQL: the table by its rule, then one step a digit.
+_CRC = """t AS (SELECT list_transform(range(256), lambda c: list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+    c AS (SELECT doc_id, text, xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+      lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM documents, t)"""
+
+
+@query(
+    rf"""WITH {_CRC},
+    o AS (SELECT doc_id, h, coalesce({_WORDS}, []) AS w FROM c),
+    v AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM o),
+    p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM v),
+    d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END) END AS w FROM p),
+    g AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, n - 5)) AS i FROM d)),
+    e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+    f AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+    s AS (SELECT doc_id, q, min(i) AS s, max(i) - min(i) + 6 + q AS len FROM f GROUP BY doc_id, q, island HAVING max(i) - min(i) + 6 >= q AND max(i) - min(i) + 6 + q >= 12),
+    r AS (SELECT doc_id, s, len, min(q) AS q FROM s GROUP BY doc_id, s, len),
+    m AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'s': s, 'len': len, 'q': q}}, (len, -s, -q)) AS best,
+      string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+    x AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(s + q, s + len)) AS i FROM r) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.len::BIGINT AS length, best.q::BIGINT AS period,
+      (1000 * best.len // best.q)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,
+      sha256(array_to_string(list_filter(w, lambda y, k: gone IS NULL OR NOT list_contains(gone, k - 1)), ' ')) AS collapsed_sha256
+    FROM d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id"""
+)
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, a tenth of which are made periodic first."""
+    given = documents(spark, folder).select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    chosen = (F.col("h") % 10 == 0) & (word_count(F.col("text")) > 0)
+    words = given.select("doc_id", "text", "h", F.when(chosen, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    n, g = F.size("w"), F.floor(F.col("h") / 10)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice("w", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), a), F.slice(turns, F.lit(1), n - a)), " ")
+    runs = periodic.find_runs(words.select("doc_id", F.when(F.col("w").isNotNull(), changed).otherwise(F.col("text")).alias("text")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    digests = runs.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, start, period = (F.col(f"best.{name}") for name in ("length", "start", "period"))
+    return digests.select(
+        "doc_id",
+        "n_runs",
+        (-start).alias("start"),
+        length.alias("length"),
+        (-period).alias("period"),
+        F.floor(1000 * length / -period).cast("bigint").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def _private_sql() -> str:
+    """Spans and disclosures in SQL. Places of matches: marks are put around them,
+    the text is split at the marks, and the lengths of the pieces are summed up."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def places(source: str, pattern: str) -> str:
+        return rf"""(SELECT doc_id, string_split(piece, chr(2))[1] AS m, first + length(string_split(piece, chr(2))[1]) AS last, first FROM (
+          SELECT doc_id, k, piece, (sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - (k - 2))::BIGINT AS first FROM (
+          SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (
+          SELECT doc_id, string_split(regexp_replace(t, '({pattern})', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM {source}))) WHERE k > 1)"""
+
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda x, k: CASE WHEN k % 2 = 1 THEN x::INT WHEN x::INT > 4 THEN x::INT * 2 - 9 ELSE x::INT * 2 END)) % 10 = 0"
+    keep = {
+        "email": ("lower(m)", "true"),
+        "ip": ("m", "list_bool_and(list_transform(string_split(m, '.'), lambda x: x::HUGEINT <= 255))"),
+        "card": (digits, f"length({digits}) BETWEEN 13 AND 19 AND {luhn}"),
+        "phone": (digits, f"length({digits}) BETWEEN 9 AND 15"),
+    }
+    base = " UNION ALL ".join(
+        f"SELECT doc_id, {k} AS rank, '{kind}' AS kind, first, last, '{kind}:' || {keep[kind][0]} AS entity FROM {places('d', patterns[kind])} WHERE {keep[kind][1]}"
+        for k, kind in enumerate(privacy.KINDS)
+    )
+    lowered = "translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}') AS n_{kind}" for kind in privacy.KINDS)
+    shown = ", ".join(f"coalesce(n_{kind}, 0)::BIGINT AS n_{kind}" for kind in privacy.KINDS)
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+    b AS MATERIALIZED ({base}),
+    bd AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM b)),
+    w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS i FROM {places('bd', privacy.TERM)} x
+      WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = x.doc_id AND b.first < x.last AND b.last > x.first)),
+    k AS (SELECT b.doc_id, entity, b.first, count(w.i) AS k FROM b LEFT JOIN w ON w.doc_id = b.doc_id AND w.first < b.first GROUP BY ALL),
+    near AS MATERIALIZED (SELECT DISTINCT w.doc_id, entity, {lowered.replace('(t,', '(m,')} AS term, w.first, w.last FROM k JOIN w ON w.doc_id = k.doc_id AND i >= k - {privacy.WINDOW} AND i < k + {privacy.WINDOW}),
+    pairs AS (SELECT entity, term, count(DISTINCT near.doc_id) AS n_both FROM near JOIN d ON d.doc_id = near.doc_id GROUP BY entity, term HAVING count(DISTINCT t) >= {privacy.TEXTS}),
+    ent AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM b GROUP BY entity),
+    tc AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(regexp_extract_all({lowered}, '{privacy.TERM}'))) AS term FROM d) GROUP BY term),
+    n AS (SELECT ln(count(*)) AS n FROM d),
+    dis AS (SELECT entity, term FROM pairs JOIN ent USING (entity) JOIN tc USING (term), n WHERE n > ln(n_entity) AND (n + ln(n_both) - ln(n_entity) - ln(n_term)) / (n - ln(n_entity)) >= {privacy.GENERALISE}),
+    terms AS (SELECT doc_id, string_agg('term:' || first || ':' || last, ',' ORDER BY first) AS listed FROM (SELECT DISTINCT doc_id, first, last FROM near SEMI JOIN dis USING (entity, term)) GROUP BY doc_id),
+    per AS (SELECT doc_id, {counts}, string_agg(kind || ':' || first || ':' || last, ',' ORDER BY rank, first) AS listed FROM b GROUP BY doc_id)
+    SELECT d.doc_id, {shown}, sha256(coalesce(per.listed, '')) AS base_sha256, concat_ws(',', per.listed, terms.listed) AS spans
+    FROM d LEFT JOIN per ON per.doc_id = d.doc_id LEFT JOIN terms ON terms.doc_id = d.doc_id"""
+
+
+@query(_private_sql())
+def op12_private_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document: identifiers, and the terms that disclose them."""
+    found = privacy.spans(documents(spark, folder))
+    rank = F.create_map(*(F.lit(x) for k, kind in enumerate(privacy.KINDS) for x in (kind, k)))
+    ordered = F.array_sort(F.transform("base", lambda s: F.struct(rank[s["kind"]].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    base = F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"], s["end"]))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = (F.size(F.filter(kinds, lambda k: k == F.lit(kind))).cast("bigint").alias(f"n_{kind}") for kind in privacy.KINDS)  # noqa: B023
+    listed = found.select("doc_id", *counts, base.alias("base"), terms.alias("terms"))
+    return listed.select(
+        "doc_id",
+        *(f"n_{kind}" for kind in privacy.KINDS),
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.array_join(F.concat("base", "terms"), ",").alias("spans"),
+    )
+
+
+@query(
+    r"""WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS d FROM documents),
+    l AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2,
+      ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM h),
+    c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+    p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM c)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM p"""
+)
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document rearranged for filling in its middle, and restored."""
+    return fill_middle.restore(fill_middle.transform(documents(spark, folder)), digest_only=True)
