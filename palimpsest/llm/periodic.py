@@ -149,6 +149,8 @@ def maximal_pairs(codes: np.ndarray, shortest: int) -> Iterator[tuple[int, int,
 def runs_of(codes: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
     """``(start, length, period)`` of every run of a sequence, by start and period."""
     best: dict[tuple[int, int], int] = {}
+    if len(codes) < least:
+        return []
     for i, j, length in maximal_pairs(codes, -(-least // 2)):
         key = i, j - i + length
         if key[1] >= least and best.get(key, j) >= j - i:
