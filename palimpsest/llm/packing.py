@@ -20,6 +20,7 @@ gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -36,54 +37,94 @@ END = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-class WordIds(dict):
-    """Ids of each space-separated chunk as little-endian 32-bit numbers.
+#: Chunks, one a line, of letters whose case and composed form are plain (lower
+#: case by one step, one code point each), and the stops after them.
+_FORMS = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)$", re.MULTILINE)
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies:
+    itself where it is printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(others)) for b in range(256)}
+
+
+class WordIds:
+    """Ids of each chunk between spaces or line feeds as little-endian 32-bit numbers.
 
     The tokenizer treats all white space alike and never joins across it, so a
-    text's ids are those of its chunks; a test holds this against whole texts.
+    text's ids are those of its chunks; a test holds this against whole texts. Most
+    chunks are letters and a stop. Their letters are one word to the tokenizer, so
+    the vocabulary's merges are run on them alone, many words in one string: the
+    last id of a word is one that ends words.
     """
 
     def __init__(self, path: str, most: int = 900_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
+        #: A plain dictionary: ``set.difference`` looks up each element in one, but
+        #: walks through all of a subclass.
+        self.known: dict[str, bytes] = {}
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.letters = byte_letters()
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks in one call; it tells each id's chunk."""
         known = self.tokenizer.encode(chunks, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(known.ids, "<u4")
         ends = np.searchsorted(np.array(known.word_ids, np.int64), np.arange(len(chunks)), "right")
-        start = 0
-        for chunk, end in zip(chunks, ends.tolist()):
-            self[chunk] = ids[start:end].tobytes()
+        self._store(chunks, ids, ends)
+
+    def _store(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        packed, start = ids.tobytes(), 0
+        for chunk, end in zip(chunks, (4 * ends).tolist()):
+            self.known[chunk] = packed[start:end]
             start = end
 
+    def _learn_letters(self, words: list[str]) -> None:
+        """The same for words of lower-case letters."""
+        line = " ".join(words)
+        if not line.isascii():
+            line = line.encode().decode("latin-1").translate(self.letters | {32: " "})
+        ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) == len(words):
+            self._store(words, ids, ends)
+        else:  # a vocabulary that does not mark the ends of words
+            self._learn(words)
+
     def _split_learn(self, chunks: set[str]) -> None:
-        """ASCII words are encoded once for all their forms: letters and what
+        """Words of letters are encoded once for all their forms: letters and what
         follows them are separate words to the tokenizer, in lower case."""
-        forms: dict[str, tuple[str, str]] = {}
-        new: set[str] = set()
-        for chunk in chunks:
-            letters = chunk.rstrip(".,;:!?")
-            if letters.isascii() and letters.isalpha():
-                parts = forms[chunk] = (letters.lower(), chunk[len(letters) :])
-                new.update(parts)
-            else:
-                new.add(chunk)
-        self._learn(list(new.difference(self)))
-        for chunk, (letters, after) in forms.items():
-            self[chunk] = self[letters] + self[after]
+        forms = _FORMS.findall("\n".join(chunks))
+        letters, after = zip(*forms) if forms else ((), ())
+        whole = list(map(str.__add__, letters, after))
+        lower = "\n".join(letters).lower().split("\n") if letters else []
+        words = list(set(lower).difference(self.known))
+        if words:
+            self._learn_letters(words)
+        others = list(chunks.difference(whole).union(after).difference(self.known))
+        if others:
+            self._learn(others)
+        ids = map(bytes.__add__, map(self.known.__getitem__, lower), map(self.known.__getitem__, after))
+        self.known.update(zip(whole, ids))
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").split(" ") for t in texts]
-        new = set().union(*split).difference(self)
-        if len(self) + len(new) > self.most:
-            self.clear()
+        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
             new = set().union(*split)
         self._split_learn(new)
         end = END.to_bytes(4, "little")
-        return [b"".join(map(self.__getitem__, words)) + end for words in split]
+        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
