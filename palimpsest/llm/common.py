@@ -18,12 +18,46 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
 
 
+#: Spark's switch for dropping the shuffle files of an execution that has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, and the
-    optimizer knows the table's real size (so it broadcasts small ones only)."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: lineage ends here, the optimizer
+    knows the table's real size (so it broadcasts small ones only), and the
+    shuffle files behind it go, since nothing reads them any more."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_name(base: str, *tables: DataFrame) -> str:
+    """A column name like ``base`` that none of the tables has (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    name = base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as one identifier, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def word_count(text: Column) -> Column:
@@ -96,37 +130,14 @@ def grams(a: np.ndarray, k: int, base: np.uint64 = MIX_A) -> np.ndarray:
 #: A random-looking 64-bit value per byte.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MIX_A)
 
-_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
-_BLOCK = 1 << 16
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
 
-_UP, _DOWN = _powers(int(MIX_B), _BLOCK), _powers(pow(int(MIX_B), -1, 1 << 64), _BLOCK)
+#: The words met by this worker process.
+_KNOWN = WordHashes()
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of several texts, in one array, and where each
-    text's words begin in it (with the end). A word is a sum of byte values times
-    powers, taken from running sums over blocks of whole words."""
-    body = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
-    space = _SPACE[body]
-    turns = np.flatnonzero(np.diff(space, prepend=True))
-    start, end = turns[::2], turns[1::2]
-    out = np.empty(len(start), np.uint64)
-    i = 0
-    while i < len(start):
-        lo = start[i]
-        j = max(i + 1, int(np.searchsorted(end, lo + _BLOCK, "right")))
-        n = int(end[j - 1] - lo)
-        up, down = (_UP[:n], _DOWN) if n <= _BLOCK else (_powers(int(MIX_B), n), _DOWN)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[body[lo : lo + n]] * up, out=sums[1:])
-        s, e = start[i:j] - lo, end[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
-        i = j
-    return mix(out), np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+    text's words begin in it (with the end)."""
+    words = [t.split() for t in texts]
+    flat = _KNOWN.of([w for own in words for w in own])
+    return flat, np.cumsum([0, *map(len, words)])

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces_of, written
+from .common import discard, pieces_of, written
 
 HOT = 5000
 _SLICE = 1 << 16
@@ -41,18 +41,18 @@ class Windows:
 
     ``symbols``: texts -> their 64-bit symbols in one array, and where each text
     begins in it (with the end); ``hashes``: symbols, k -> hash of every k
-    neighbours; ``within``: whether an earlier place in the same document counts;
-    ``compact``: whether window hashes are shipped. ``stretch(text, windows, first,
-    count)`` gives what is shipped for ``count`` neighbouring windows (``windows``
-    are their hashes, where needed) and ``keys(stretch)`` the comparable windows in it.
+    neighbours; ``within``: whether an earlier place in the same document counts.
+    ``units(text)`` is what ``stretch(units, first, count)`` takes the bytes from that
+    are shipped for ``count`` neighbouring windows; ``keys(stretch)`` are the windows
+    in it, whole, so that hashes find them but never decide.
     """
 
     length: int
     k: int
     within: bool
-    compact: bool
     symbols: Callable
     hashes: Callable
+    units: Callable
     stretch: Callable
     keys: Callable
 
@@ -137,32 +137,31 @@ def _shipped(spec: Windows) -> Callable:
             for batch in pieces_of(whole, 2, 1 << 20):
                 docs, tags, texts = (batch.column(c).to_pylist() for c in range(3))
                 a, offsets = spec.symbols(texts)
+                texts = [spec.units(t) for t in texts]
                 known, times = _known(batch.column(3), offsets)
                 for start, found, place, first, count in anchors(a, offsets, spec):
-                    at = np.minimum(np.searchsorted(known, place), len(known) - 1)
-                    hit = np.flatnonzero(known[at] == place)
-                    n = times[at[hit]]
+                    near = np.minimum(np.searchsorted(known, place), len(known) - 1)
+                    hit = np.flatnonzero(known[near] == place)
+                    n = times[near[hit]]
                     windows = None
-                    if spec.compact or (n > HOT).any():
+                    if (n > HOT).any():
                         windows = spec.hashes(a[start : start + _SLICE + spec.length - 1], spec.length)
                     row = np.searchsorted(offsets, place[hit], "right") - 1
                     rows: list[tuple] = []
                     columns = found[hit].view(np.int64), row, offsets[row], first[hit], count[hit], n
                     for anchor, i, base, s, c, often in zip(*(x.tolist() for x in columns)):
-                        doc, tag, text, own = docs[i], tags[i], texts[i], None
-                        if windows is not None:
-                            own = windows[s - start : s - start + c]
+                        doc, tag, text, at = docs[i], tags[i], texts[i], s - start
                         s -= base
                         if often <= HOT:
-                            payload = spec.stretch(text, own, s, c)
+                            payload = spec.stretch(text, s, c)
                             if earlier(payload, doc, s):
                                 rows.append((doc, -1, doc, tag, s, c, b""))
                             else:
                                 rows.append((anchor, 0, doc, tag, s, c, payload))
                             continue
                         salts = -(-often // HOT)
-                        for j, w in enumerate(own.tolist()):
-                            payload = spec.stretch(text, own[j : j + 1], s + j, 1)
+                        for j, w in enumerate(windows[at : at + c].tolist()):
+                            payload = spec.stretch(text, s + j, 1)
                             if earlier(payload, doc, s + j):
                                 rows.append((doc, -1, doc, tag, s + j, 1, b""))
                             else:
@@ -219,12 +218,15 @@ def runs(texts: DataFrame, spec: Windows) -> DataFrame:
     many = F.count("*") > 1 if spec.within else F.min("doc") < F.max("doc")
     counted = given.mapInArrow(_rows(spec, False), "anchor bigint, doc bigint").groupBy("anchor").agg(F.count("*").alias("n"), many.alias("many"))
     repeated = written(counted.filter("many").select("anchor", "n"), "anchors")
+    # rows that repeat an id and a text have the same places: the set stays one document's
     places = given.mapInArrow(_rows(spec, True), "anchor bigint, doc bigint, tag bigint, pos bigint").join(repeated, "anchor")
-    seeds = written(places.groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("seeds")), "seeds")
+    seeds = written(places.groupBy("doc", "tag").agg(F.collect_set(F.struct("pos", "n")).alias("seeds")), "seeds")
     shipped = given.join(seeds, ["doc", "tag"]).select("doc", "tag", "text", "seeds").mapInArrow(_shipped(spec), _SHIPPED)
     placed = shipped.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc", "start")
     flagged = placed.mapInArrow(_compare(spec), _RUNS)
-    return written(flagged.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "runs")
+    found = written(flagged.groupBy("doc", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")), "runs")
+    discard(repeated, seeds)
+    return found
 
 
 def covered(n: int, runs: list[dict] | None, length: int) -> np.ndarray:

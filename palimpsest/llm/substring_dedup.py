@@ -1,9 +1,10 @@
 """Substring dedup over words: windows around shared seeds.
 
 Documents are joined on winnowed anchors (five-word seeds, the smallest hash of
-every window), the windows around the seed are compared whole by hash (no word by
-word extension), and what is kept as a repeat is the union of all windows of
-``LENGTH`` words that start in a document with a smaller id. Hashes only find seeds and compare windows by 64 bits of window and 64 bits of seed together.
+every window), the windows around the seed are compared whole, word for word (no
+extension of pairs of documents), and what is kept as a repeat is the union of all
+windows of ``LENGTH`` words that start in a document with a smaller id. Hashes find
+seeds, words decide.
 
 Defined results: null and empty texts have no words; a document shorter than the
 threshold loses nothing; null ids neither remove nor are removed; rows that
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,16 +25,26 @@ from .repeats import Windows, covered, runs
 LENGTH, SEED = 13, 5
 
 
+def _windows(stretch: bytes, length: int) -> Iterator[bytes]:
+    """Every ``length`` words of a stretch, as one string with a space between."""
+    starts, at = [0], stretch.find(b" ")
+    while at >= 0:
+        starts.append(at + 1)
+        at = stretch.find(b" ", at + 1)
+    starts.append(len(stretch) + 1)
+    return (stretch[a : b - 1] for a, b in zip(starts, starts[length:]))
+
+
 def word_windows(length: int = LENGTH, seed: int = SEED) -> Windows:
     return Windows(
         length=length,
         k=seed,
         within=False,
-        compact=True,
         symbols=hashed_words,
         hashes=grams,
-        stretch=lambda text, windows, first, count: windows.tobytes(),
-        keys=lambda payload: np.frombuffer(payload, np.uint64).tolist(),
+        units=bytes.split,
+        stretch=lambda words, first, count: b" ".join(words[first : first + count + length - 1]),
+        keys=lambda stretch: _windows(stretch, length),
     )
 
 

@@ -58,10 +58,10 @@ def byte_windows(length: int = LENGTH, sample: int = SAMPLE) -> Windows:
         length=length,
         k=sample,
         within=True,
-        compact=False,
         symbols=_bytes_of,
         hashes=rolling,
-        stretch=lambda text, windows, first, count: text[first : first + count + length - 1],
+        units=lambda text: text,
+        stretch=lambda text, first, count: text[first : first + count + length - 1],
         keys=lambda payload: (payload[i : i + length] for i in range(len(payload) - length + 1)),
     )
 
