@@ -26,6 +26,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import free_name
+
 BUDGET = 48 << 20
 _OUT_BYTES = 4 << 20
 
@@ -120,7 +122,7 @@ def owners(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_
     from pyspark.sql.pandas.types import to_arrow_schema
 
     others = [c for c in docs.columns if c not in (id_col, text_col)] if payload else []
-    row = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias("_present"))
+    row = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(True).alias(free_name("_present", docs)))
     given = docs.select(
         F.lit(0).cast("bigint").alias("length"),
         F.lit(0).cast("bigint").alias("hash"),

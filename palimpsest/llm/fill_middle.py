@@ -30,7 +30,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces_of
+from .common import pieces_of, quoted
 
 #: The sentinels, and the order of the parts of each arrangement
 #: (0 prefix, 1 middle, 2 suffix).
@@ -171,9 +171,6 @@ def restore(arranged: DataFrame, output_col: str = "output", form_col: str = "fo
                     columns.append(pa.array([t.text() for t in tables], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(2 + i) for i in range(len(others))), *columns], names=others + added)
 
-    def quoted(name: str) -> str:
-        return "`" + name.replace("`", "``") + "`"
-
     given = arranged.select(F.col(quoted(output_col)).cast("binary").alias("_text"), F.col(quoted(form_col)).alias("_form"), *(F.col(quoted(c)) for c in others))
     schema = ", ".join(f"{quoted(c)} {kinds[c]}" for c in others) + (", " if others else "") + "restored_sha256 string"
     out = given.mapInArrow(run, schema if digest_only else schema + ", restored binary")

@@ -4,8 +4,11 @@ Tokens are summed per source, each source gets a target and hence a repetition
 rate, and a document is emitted ``floor(rate)`` times plus once more with the
 rate's fraction as probability. The draw is a hash of seed and document id, so
 reruns and retried tasks agree. Each source takes, of ``SEEDS`` seeds, the one
-whose draw comes nearest to its target; every seed gives each document the same
-probability, and all of them are summed in one pass.
+whose draw comes nearest to its target; all of them are summed in one pass. So the
+draw is a selected one: under each single seed a document's chance is the fraction,
+but the choice favours draws near the target, and in a source of few documents the
+chance of one of them can be far from it (a lone document whose fraction is below a
+half is hardly ever taken once more). ``SEEDS = 1`` draws without the choice.
 
 Defined results: a null source is a source of its own (last in order); null or
 empty texts have size 0; rows that repeat a doc_id share one draw; a null
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import word_count, written
+from .common import free_name, quoted, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -85,25 +88,29 @@ def _extra(seed: Column, doc_id: Column, rate: Column) -> Column:
     return draw(seed, doc_id) < (rate - F.floor(rate)) * F.lit(float(1 << _BITS))
 
 
-def with_source(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Join a (small) table of sources to documents; null sources match."""
-    renamed = sources.select(*[F.col(c).alias(f"_mix_{c}") for c in sources.columns])
-    joined = docs.join(renamed, F.col("source").eqNullSafe(F.col("_mix_source"))).drop("_mix_source")
-    return joined.withColumnsRenamed({f"_mix_{c}": c for c in sources.columns if c not in docs.columns})
+def with_source(docs: DataFrame, sources: DataFrame, source_col: str = "source") -> DataFrame:
+    """Join a (small) table of sources to documents; null sources match. Columns
+    that both have stay the documents'."""
+    new = [c for c in sources.columns if c.lower() not in {d.lower() for d in docs.columns}]
+    given, other = docs.alias("given"), sources.alias("other")
+    joined = given.join(other, F.col(f"given.{quoted(source_col)}").eqNullSafe(F.col("other.source")))
+    return joined.select("given.*", *(F.col(f"other.{quoted(c)}") for c in new))
 
 
-def copies(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Adds ``_copies``: how often the mix takes each document."""
-    joined = with_source(docs, sources.select("source", F.col("rate").alias("_rate"), F.col("seed").alias("_seed")))
-    n = F.floor("_rate") + F.when(_extra(F.col("_seed"), F.col("doc_id"), F.col("_rate")), 1).otherwise(0)
-    return joined.withColumn("_copies", n.cast("int")).drop("_rate", "_seed")
+def copies(docs: DataFrame, sources: DataFrame, name: str = "_copies") -> DataFrame:
+    """Adds ``name``: how often the mix takes each document. The row travels as one
+    struct beside the source's figures, so that no column of it can clash."""
+    row = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col("source"), F.col("doc_id"))
+    joined = with_source(row, sources.select("source", "rate", "seed"))
+    n = F.floor("rate") + F.when(_extra(F.col("seed"), F.col("doc_id"), F.col("rate")), 1).otherwise(0)
+    return joined.select("row.*", n.cast("int").alias(name))
 
 
 def emit(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """The mixed table: every document as often as the mix takes it."""
-    counted = copies(docs, sources)
-    repeats = F.explode(F.sequence(F.lit(1), F.col("_copies")))
-    return counted.filter("_copies > 0").withColumn("_copies", repeats).drop("_copies")
+    name = free_name("_copies", docs)
+    counted = copies(docs, sources, name).filter(F.col(name) > 0)
+    return counted.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).drop(name)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MIX_A, MIX_B, WordHashes, grams, lists, mix, pieces_of, written
+from .common import MIX_A, MIX_B, WordHashes, free_name, grams, lists, mix, pieces_of, written
 from .components import components
 
 WORDS = 5
@@ -262,5 +262,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table without the documents whose group holds a smaller id."""
-    gone = written(groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_copies")
-    return docs.join(gone, F.col(id_col).cast("bigint") == F.col("_gone"), "left_anti")
+    name = free_name("_gone", docs)
+    gone = written(groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), "near_copies")
+    return docs.join(gone, F.col(id_col).cast("bigint") == F.col(name), "left_anti")

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import pieces_of, written
+from .common import discard, pieces_of, quoted, written
 
 #: The patterns of the contract.
 KINDS = ("email", "ip", "card", "phone")
@@ -242,7 +242,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
     several do) covers the others that start inside it."""
     marks = spans(docs, id_col, text_col, **options).dropDuplicates(list(KEY)).filter((F.size("base") > 0) | (F.size("terms") > 0))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.char_length(text).cast("bigint").alias("c"), F.col(text_col).alias("t"))
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("h"), F.char_length(text).cast("bigint").alias("c"), F.col(text_col).alias("t"))
     joined = rows.join(marks, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("tag")) & (F.col("c") == F.col("chars")), "left")
 
     @F.pandas_udf("string")
@@ -264,4 +264,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", re
         return pd.Series(out, dtype=object)
 
     clean = F.when(F.col("base").isNotNull(), cut("t", "base", "terms")).otherwise(F.col("t"))
-    return joined.withColumn("t", clean).select(F.col("row").withField("`" + text_col.replace("`", "``") + "`", F.col("t")).alias("row")).select("row.*")
+    return joined.withColumn("t", clean).select(F.col("row").withField(quoted(text_col), F.col("t")).alias("row")).select("row.*")

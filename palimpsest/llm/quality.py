@@ -27,6 +27,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.collections import bind, index_range
+from .common import free_name
 
 WINDOW = 5
 BLANK = r"\x20\x09-\x0D"
@@ -90,8 +91,8 @@ def _repeat_words(h: Column) -> Column:
     return bind(bind(numbered, positions), covered)
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds a struct ``_q`` with the counts, the two distances and the verdicts."""
+def measured(docs: DataFrame, text_col: str = "text", name: str = "_q") -> DataFrame:
+    """Adds a struct ``name`` with the counts, the two distances and the verdicts."""
     names = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # one pass leaves the characters of the listed classes, a few of which are counted again
@@ -156,7 +157,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     close = (F.col("char_distance") <= MAX_CHAR_DISTANCE) & ((F.col("word_distance") <= MAX_WORD_DISTANCE) | unlisted)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_distance", "word_distance"]
     verdict = F.struct(*counts, failed.alias("base_failed"), (~failed & close).alias("kept"))
-    return step.select(*[F.col("_row").getField(c).alias(c) for c in names], verdict.alias("_q"))
+    return step.select(*[F.col("_row").getField(c).alias(c) for c in names], verdict.alias(name))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,5 +171,6 @@ def keep(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The row number keeps the optimizer from moving the filter below the
     measuring steps, where every count would be computed once per use.
     """
-    judged = measured(docs, text_col).withColumn("_at", F.monotonically_increasing_id())
-    return judged.filter("_q.kept and _at >= 0").drop("_q", "_at")
+    verdict, at = free_name("_q", docs), free_name("_at", docs)
+    judged = measured(docs, text_col, verdict).withColumn(at, F.monotonically_increasing_id())
+    return judged.filter(F.col(verdict)["kept"] & (F.col(at) >= 0)).drop(verdict, at)
