@@ -93,20 +93,27 @@ def _write_dump(t: Tables, compression: str) -> str:
     return path
 
 
-REVISION_COLUMNS = ["page_title", "rev_id", "parent_id", "user_name", "comment", "text"]
 REVISION_SQL = v.with_("revisions") + (
-    "SELECT page_title, rev_id, parent_id, user_name, comment, text FROM revisions"
+    "SELECT page_id, page_title, rev_id, parent_id, CAST(rev_ord % 100 AS BIGINT) AS rev_ord, rev_id AS seconds, user_name, comment, text FROM revisions"
 )
 
 
+def _revisions_read(t: Tables, compression: str) -> DataFrame:
+    found = readers.read_revisions(t.spark, _write_dump(t, compression), spread=t.tasks)
+    seconds = F.unix_seconds("timestamp").alias("seconds")
+    return found.select("page_id", "page_title", "rev_id", "parent_id", "rev_ord", seconds, "user_name", "comment", "text")
+
+
 @query("a_revisions", REVISION_SQL)
 def a_revisions(t: Tables) -> DataFrame:
-    return readers.read_revisions(t.spark, _write_dump(t, "bzip2"), spread=t.tasks).select(REVISION_COLUMNS)
+    """A bzip2 dump, whose splits lie anywhere in it."""
+    return _revisions_read(t, "bzip2")
 
 
 @query("a_revision_fields", REVISION_SQL)
 def a_revision_fields(t: Tables) -> DataFrame:
-    return readers.read_long_pages(t.spark, _write_dump(t, "none")).select(REVISION_COLUMNS)
+    """The same of a plain dump."""
+    return _revisions_read(t, "none")
 
 
 @query(

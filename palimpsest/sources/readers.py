@@ -10,13 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as tx
 from ..operators.ordering import with_index
+from .dumps import read_revisions, revision_fields
 
 MANIFEST_SCHEMA = "jobs map<string, struct<files: map<string, struct<url:string, md5:string, size:bigint>>>>"
-PAGE_SCHEMA = (
-    "title string, id bigint, revision array<struct<id:bigint, parentid:bigint, timestamp:timestamp, "
-    "contributor:struct<username:string,id:bigint,ip:string>, comment:string, "
-    "text:struct<_VALUE:string,_bytes:bigint>>>"
-)
 
 
 # ---- manifests -----------------------------------------------------------------
@@ -79,86 +75,6 @@ def checksum_listing(spark: SparkSession, path: str, chunk: int = 40_960_000) ->
     )
 
 
-# ---- revisions -----------------------------------------------------------------
-
-
-def read_revisions(spark: SparkSession, path: str, spread: int | None = None) -> DataFrame:
-    """Revisions of (compressed) XML dumps, one row each, with their page title.
-
-    Dump files differ widely in size and compressed ones may not split, so
-    ``spread`` deals the parsed revisions evenly over that many tasks.
-    """
-    pages = spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA).load(path)
-    flat = pages.select(F.col("id").alias("page_id"), F.col("title").alias("page_title"), F.posexplode("revision").alias("rev_ord", "r")).select(
-        "page_id",
-        "page_title",
-        F.col("r.id").alias("rev_id"),
-        F.col("r.parentid").alias("parent_id"),
-        "rev_ord",
-        F.col("r.timestamp").alias("timestamp"),
-        F.col("r.contributor.username").alias("user_name"),
-        F.col("r.contributor.id").alias("user_id"),
-        F.col("r.contributor.ip").alias("user_ip"),
-        F.col("r.comment").alias("comment"),
-        F.col("r.text._VALUE").alias("text"),
-    )
-    return flat.repartition(spread) if spread else flat
-
-
-def revision_fields(xml: Column) -> Column:
-    """Fields of one ``<revision>`` element held as text (for pages too long for
-    one row); absent fields are null, entities are decoded once."""
-
-    def field(pattern: str) -> Column:
-        return F.when(xml.rlike(f"(?s){pattern}"), tx.unescape(F.regexp_extract(xml, f"(?s){pattern}", 1)))
-
-    contributor = r"<contributor[^>]*>.*?"
-    return F.struct(
-        field(r"^.*?<id>(\d+)</id>").cast("bigint").alias("rev_id"),
-        field(r"<parentid>(\d+)</parentid>").cast("bigint").alias("parent_id"),
-        field(r"<timestamp>([^<]*)</timestamp>").alias("timestamp"),
-        field(contributor + r"<username>([^<]*)</username>").alias("user_name"),
-        field(contributor + r"<id>(\d+)</id>.*?</contributor>").cast("bigint").alias("user_id"),
-        field(contributor + r"<ip>([^<]*)</ip>").alias("user_ip"),
-        field(r"<comment[^>]*>([^<]*)</comment>").alias("comment"),
-        field(r"<text[^>]*>([^<]*)</text>").alias("text"),
-    )
-
-
-def read_long_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Revisions cut at ``</revision>`` so that no page has to fit in one row.
-
-    The title is taken from the piece that opens the page and carried forward
-    inside the file. Pieces are numbered per input block and the carry runs in
-    overlapping blocks of constant size plus one row per block, never per file.
-    """
-    raw = spark.read.option("lineSep", "</revision>").text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("_m"),
-    )
-    titled = raw.withColumn(
-        "_title", F.when(F.contains("value", F.lit("<title>")), F.regexp_extract("value", r"<title>([^<]*)</title>", 1))
-    )
-    indexed = with_index(titled, ["file", "block", "_m"], "_idx").withColumn("_b", F.floor(F.col("_idx") / 4096))
-    ends = indexed.groupBy("_b", "file").agg(
-        F.max("_idx").alias("_hi"), F.max_by("_title", F.when(F.col("_title").isNotNull(), F.col("_idx"))).alias("_t")
-    )
-    earlier = Window.partitionBy("file").orderBy("_hi").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("_b", "file", F.last("_t", ignorenulls=True).over(earlier).alias("_before"))
-    inside = Window.partitionBy("_b", "file").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        indexed.withColumn("_title", F.last("_title", ignorenulls=True).over(inside))
-        .join(carried, ["_b", "file"])
-        .withColumn("page_title", tx.unescape(F.coalesce("_title", "_before")))
-        .filter(F.contains("value", F.lit("<revision>")))
-        .withColumn("xml", F.concat(F.regexp_extract("value", r"(?s)(<revision>.*)$", 1), F.lit("</revision>")))
-        .select("page_title", revision_fields(F.col("xml")).alias("r"))
-        .select("page_title", "r.*")
-    )
-
-
 # ---- JSON Lines and text -------------------------------------------------------
 
 
@@ -283,6 +199,6 @@ def load_tasks(
 
 __all__ = [
     "read_manifest", "slice_manifest", "audit_files", "checksum_listing", "read_revisions",
-    "revision_fields", "read_long_pages", "read_lines", "read_jsonl", "read_parallel",
-    "read_tag_lines", "sample_files", "load_tasks", "line_index", "MANIFEST_SCHEMA", "PAGE_SCHEMA",
+    "revision_fields", "read_lines", "read_jsonl", "read_parallel",
+    "read_tag_lines", "sample_files", "load_tasks", "line_index", "MANIFEST_SCHEMA",
 ]

@@ -141,17 +141,6 @@ def test_sample_files():
     assert len(readers.sample_files(names, 20, 1, replace=True)) == 20
 
 
-def test_long_pages_carry_titles(spark, tmp_path):
-    revs = "".join(
-        f"<revision><id>{i}</id><contributor><ip>1.2.3.4</ip></contributor><comment>c &amp; d</comment><text bytes=\"1\">t{i}</text></revision>"
-        for i in range(5)
-    )
-    (tmp_path / "d.xml").write_text(f"<mediawiki><page><title>A &amp; B</title>{revs}</page><page><title>C</title>{revs}</page></mediawiki>")
-    rows = readers.read_long_pages(spark, str(tmp_path / "d.xml")).collect()
-    assert Counter(r.page_title for r in rows) == {"A & B": 5, "C": 5}
-    assert {(r.user_id, r.user_ip, r.comment) for r in rows} == {(None, "1.2.3.4", "c & d")}
-
-
 def test_cluster_folders(spark, tmp_path):
     df = spark.range(10).select("id", (F.col("id") % 3).cast("int").alias("cluster"))
     writers.write_by_cluster(df, str(tmp_path / "out"))
