@@ -6,44 +6,20 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.collections import argmax, bind, bound, dot
 from ..session import cut_lineage
+from .kmeans import Centres, assign, fit_kmeans
 from .ordering import with_index
 
-
-# ---- k-means -------------------------------------------------------------------
+__all__ = [
+    "Centres", "assign", "fit_kmeans", "nearest_centroid", "gate_route", "collapse_copies",
+    "pack_blocks", "eps_pairs", "components", "dbscan",
+]
 
 
-def fit_kmeans(
-    vectors: DataFrame,
-    column: str,
-    k: int = 10,
-    n_init: int = 1,
-    max_iter: int = 300,
-    init_steps: int = 2,
-    seed: int = 0,
-) -> KMeansModel:
-    """k-means||; of ``n_init`` seeds the model with the least cost."""
-    data = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("features")).persist()
-    best = None
-    for i in range(n_init):
-        model = KMeans(
-            k=k, initMode="k-means||", initSteps=init_steps, maxIter=max_iter, seed=seed + i
-        ).fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    data.unpersist()
-    return best
-
-
-def assign(vectors: DataFrame, column: str, model: KMeansModel) -> DataFrame:
-    """Adds ``cluster``; every other column, the key included, travels along."""
-    ready = vectors.withColumn("features", array_to_vector(F.col(column).cast("array<double>")))
-    return model.transform(ready).withColumnRenamed("prediction", "cluster").drop("features")
+# ---- k-means -------------------------------------------------------------------
 
 
 @bound(2)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import cluster, features, pairing
+from ..operators import cluster, features, kmeans, pairing
 from ..session import scratch_path
 from ..streaming import ingest
 from . import views as v
@@ -42,11 +43,43 @@ def j_kmeans(t: Tables) -> DataFrame:
 @query("j_kmeans_predict")
 def j_kmeans_predict(t: Tables) -> DataFrame:
     """A saved model, loaded again, scores the rows."""
-    from pyspark.ml.clustering import KMeansModel
-
     path = scratch_path(t.spark, "kmeans")
-    cluster.fit_kmeans(t.embeddings, "embedding", k=10, n_init=STARTS, max_iter=STEPS).write().overwrite().save(path)
-    return cluster.assign(t.embeddings, "embedding", KMeansModel.load(path)).select("vec_id", "cluster")
+    cluster.fit_kmeans(t.embeddings, "embedding", k=10, n_init=STARTS, max_iter=STEPS).save(t.spark, path)
+    return cluster.assign(t.embeddings, "embedding", cluster.Centres.load(t.spark, path)).select("vec_id", "cluster")
+
+
+# given starts, so that SQL can follow every round: restart r begins with rows r * 5 .. r * 5 + 4
+ROUNDS, RESTARTS, K = 4, 3, 5
+
+
+def _rounds_sql() -> str:
+    parts = [
+        "e AS (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)",
+        f"c0 AS (SELECT vec_id // {K} AS r, vec_id % {K} AS c, i, x FROM e WHERE vec_id < {RESTARTS * K})",
+    ]
+    for n in range(ROUNDS + 1):
+        parts.append(
+            f"""a{n} AS MATERIALIZED (SELECT r, vec_id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, vec_id, c, sum((e.x - c{n}.x) * (e.x - c{n}.x)) AS d
+            FROM e JOIN c{n} USING (i) GROUP BY r, vec_id, c) GROUP BY r, vec_id)"""
+        )
+        if n < ROUNDS:
+            parts.append(
+                f"""c{n + 1} AS MATERIALIZED (SELECT r, c, i, coalesce(m, x) AS x FROM c{n} LEFT JOIN
+                (SELECT r, c, i, avg(x) AS m FROM a{n} JOIN e USING (vec_id) GROUP BY r, c, i) USING (r, c, i))"""
+            )
+    return f"""WITH {", ".join(parts)}, k AS (SELECT DISTINCT r, c FROM c0)
+    SELECT r::INT AS restart, c::INT AS cluster, (SELECT count(*) FROM a{ROUNDS} a WHERE a.r = k.r AND a.c = k.c) AS n,
+      round((SELECT sum(d) FROM a{ROUNDS} a WHERE a.r = k.r), 4) AS cost FROM k"""
+
+
+@query("j_kmeans_rounds", _rounds_sql())
+def j_kmeans_rounds(t: Tables) -> DataFrame:
+    """Rows per centre and cost after four rounds of three restarts at once."""
+    given = t.embeddings.filter(F.col("vec_id") < RESTARTS * K).orderBy("vec_id").select("embedding").collect()  # 15 rows
+    starts = np.array([r["embedding"] for r in given], np.float64).reshape(RESTARTS, K, -1)
+    _, counts, costs = kmeans.lloyd(kmeans.pack(t.embeddings, "embedding"), starts, max_iter=ROUNDS, tol=0.0)
+    rows = [(r, c, int(counts[r, c]), round(float(costs[r]), 4)) for r in range(RESTARTS) for c in range(K)]
+    return t.spark.createDataFrame(rows, "restart int, cluster int, n bigint, cost double")
 
 
 @query(
