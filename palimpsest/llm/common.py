@@ -131,13 +131,38 @@ def grams(a: np.ndarray, k: int, base: np.uint64 = MIX_A) -> np.ndarray:
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * MIX_A)
 
 
-#: The words met by this worker process.
-_KNOWN = WordHashes()
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BLOCK = 1 << 16
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(int(MIX_B), _BLOCK), _powers(pow(int(MIX_B), -1, 1 << 64), _BLOCK)
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word of several texts, in one array, and where each
-    text's words begin in it (with the end)."""
-    words = [t.split() for t in texts]
-    flat = _KNOWN.of([w for own in words for w in own])
-    return flat, np.cumsum([0, *map(len, words)])
+    text's words begin in it (with the end). A word is a sum of byte values times
+    powers, taken from running sums over blocks of whole words. Different words can
+    share a hash: it finds candidates, which have to be compared as words."""
+    body = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
+    space = _SPACE[body]
+    turns = np.flatnonzero(np.diff(space, prepend=True))
+    start, end = turns[::2], turns[1::2]
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        lo = start[i]
+        j = max(i + 1, int(np.searchsorted(end, lo + _BLOCK, "right")))
+        n = int(end[j - 1] - lo)
+        up, down = (_UP[:n], _DOWN) if n <= _BLOCK else (_powers(int(MIX_B), n), _DOWN)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(BYTE_VALUES[body[lo : lo + n]] * up, out=sums[1:])
+        s, e = start[i:j] - lo, end[i:j] - lo
+        out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out), np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)]))
