@@ -1,12 +1,14 @@
 """Context around edits: windows, sentence spans, common-context stripping.
 
-All functions are Column expressions over arrays of one record.
+All functions but ``context_records`` are Column expressions over arrays of one
+record.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as tx
 from ..functions.collections import bind, bound, index_range, prefix_sums
 
 
@@ -223,3 +225,44 @@ def edit_examples(sents: Column, changed: Column, key: Column, k: int = 10, by_h
         F.transform(changed, lambda i: F.get(sents, i)).alias("pos"),
         F.transform(F.slice(rest, 1, k), lambda i: F.get(sents, i)).alias("neg"),
     )
+
+
+def bottom_k(indices: Column, key: Column, k: int, seed: int = 0) -> Column:
+    """``k`` of some indices, in order: those whose hash with seed and key is
+    smallest. The same choice on every run and in every partitioning."""
+    hashed = F.transform(indices, lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), i.cast("string"))).alias("h"), i.alias("i")))
+    return F.sort_array(F.transform(F.slice(F.array_sort(hashed), 1, k), lambda x: x["i"]))
+
+
+def context_records(pairs: DataFrame, negatives: DataFrame, window: int = 2, k: int = 10, seed: int = 0) -> DataFrame:
+    """One training record per revision pair with a change.
+
+    ``pairs``: ``page_id, rev_id, parent_id, comment``, and per side (``src``,
+    ``tgt``) ``_sents`` (sentences), ``_tokens`` (their tokens) and ``_diff`` (changed
+    positions over all tokens). ``negatives``: ``page_id, rev_id, negatives`` (other
+    comments of the page), joined by revision; it has one row per commented revision.
+
+    Out: ``page_id, rev_id, parent_id, comment`` (tokens), per side ``_token`` and
+    ``_action`` (the tokens within ``window`` of a change; 1 = changed), ``pos_edits``
+    (changed target sentences), ``neg_edits`` (up to ``k`` others, a seeded sample)
+    and ``neg_comments`` (tokens each; none where the page has no other comment).
+    """
+    flat = pairs.withColumns({f"{side}_flat": F.flatten(f"{side}_tokens") for side in ("src", "tgt")})
+    changed = flat.filter((F.size("src_diff") > 0) | (F.size("tgt_diff") > 0))
+    windows = {f"{side}_window": context_window(F.col(f"{side}_flat"), F.col(f"{side}_diff"), window) for side in ("src", "tgt")}
+    hit = sentence_of_token(F.col("tgt_tokens"), F.col("tgt_flat"), F.col("tgt_diff"))
+    marked = changed.withColumns({**windows, "hit": hit})
+    rest = bottom_k(unchanged(F.size("tgt_sents"), F.col("hit")), F.col("rev_id"), k, seed)
+    of = lambda places: F.transform(places, lambda i: F.get("tgt_sents", i))
+    record = marked.select(
+        "page_id",
+        "rev_id",
+        "parent_id",
+        tx.tokenize(F.col("comment")).alias("comment"),
+        *(F.transform(f"{side}_window", lambda x: x[part]).alias(f"{side}_{part}") for side in ("src", "tgt") for part in ("token", "action")),  # noqa: B023
+        of(F.col("hit")).alias("pos_edits"),
+        of(rest).alias("neg_edits"),
+    )
+    other = negatives.select("page_id", "rev_id", F.transform("negatives", lambda c: tx.tokenize(c)).alias("neg_comments"))
+    none = F.array().cast("array<array<string>>")
+    return record.join(other, ["page_id", "rev_id"], "left").withColumn("neg_comments", F.coalesce("neg_comments", none))

@@ -6,8 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Transformer
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
@@ -124,3 +129,29 @@ def reduce_vectors(vectors: DataFrame, column: str, k: int = 100, svd: bool = Tr
     _, v = fit_svd(vectors, column, k)
     return project(vectors, column, v, "reduced", norm)
 
+
+
+class VectorReducer(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted reduction as a pipeline stage: rows times a ``width x k`` matrix,
+    optionally scaled to unit length. ``save`` and ``load`` keep the matrix (whose
+    size is set by the vectors' width and ``k``, not by rows) with the parameters."""
+
+    matrix = Param(Params._dummy(), "matrix", "the columns to project on, row by row", TypeConverters.toList)
+    normalize = Param(Params._dummy(), "normalize", "scale the result to unit length", TypeConverters.toBoolean)
+
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None, matrix: list | None = None, normalize: bool = True):
+        super().__init__()
+        self._setDefault(outputCol="reduced", normalize=True)
+        given = {k: v for k, v in self._input_kwargs.items() if v is not None}
+        self._set(**given)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        matrix = np.array(self.getOrDefault(self.matrix), np.float64)
+        return project(dataset, self.getInputCol(), matrix, self.getOutputCol(), self.getOrDefault(self.normalize))
+
+
+def fit_reducer(vectors: DataFrame, column: str, k: int = 100, out: str = "reduced", normalize: bool = True) -> VectorReducer:
+    """The truncated SVD of a column as a stage that can be saved."""
+    _, basis = fit_svd(vectors, column, k)
+    return VectorReducer(inputCol=column, outputCol=out, matrix=[[float(x) for x in row] for row in basis], normalize=normalize)

@@ -33,6 +33,24 @@ def j_vectors(t: Tables) -> DataFrame:
     return features.reduce_vectors(t.embeddings, "embedding", k=DIMS).select("vec_id", F.size("reduced").alias("dims"))
 
 
+@query(
+    "j_saved_reducer",
+    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS energy, true AS same FROM embeddings""",
+)
+def j_saved_reducer(t: Tables) -> DataFrame:
+    """A reducer inside a pipeline, saved and loaded: at full rank every vector
+    keeps its length, and the loaded stage gives what the fitted one gave."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    path = scratch_path(t.spark, "reducer")
+    stage = features.fit_reducer(t.embeddings, "embedding", DIMS, normalize=False)
+    Pipeline(stages=[stage]).fit(t.embeddings).write().overwrite().save(path)
+    again = PipelineModel.load(path).transform(t.embeddings).withColumnRenamed("reduced", "loaded")
+    both = stage.transform(again)
+    energy = F.aggregate("loaded", F.lit(0.0), lambda acc, x: acc + x * x)
+    return both.select("vec_id", F.round(energy, 4).alias("energy"), (F.col("loaded") == F.col("reduced")).alias("same"))
+
+
 @query("j_kmeans")
 def j_kmeans(t: Tables) -> DataFrame:
     reduced = features.reduce_vectors(t.embeddings, "embedding", k=DIMS).select("vec_id", "reduced")

@@ -250,6 +250,54 @@ def a_cluster_counts(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "a_cluster_pairs",
+    v.with_("edit_pairs")
+    + r"""SELECT CAST(doc_id % 4 AS VARCHAR) AS cluster, regexp_replace(src, '[\r\n]+', ' ', 'g') AS src, regexp_replace(tgt, '[\r\n]+', ' ', 'g') AS tgt FROM edit_pairs""",
+)
+def a_cluster_pairs(t: Tables) -> DataFrame:
+    """Source and target text of each cluster, read back side by side."""
+    path = scratch_path(t.spark, "cluster_text")
+    pairs = v.edit_pairs(t).withColumn("cluster", F.col("doc_id") % 4)
+    writers.write_parallel_by_cluster(pairs, "pair_id", path)
+    return readers.read_parallel_by_cluster(t.spark, path)
+
+
+@query(
+    "a_task_files",
+    r"""WITH d AS (SELECT doc_id, CAST(doc_id % 3 AS INTEGER) AS task, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'validation' END AS split,
+      string_split(regexp_replace(text, '[\r\n\t"\\]+', ' ', 'g'), ' ') AS w FROM documents WHERE text <> '')
+    SELECT task, split, count(*) AS n, CAST(sum(len(w)) AS BIGINT) AS n_tokens, sum(CASE WHEN task = 1 THEN len(w) ELSE 0 END)::BIGINT AS n_mask, 0::BIGINT AS n_bad FROM d GROUP BY ALL
+    UNION ALL SELECT task, split, 0, 0, 0, count(*) FROM d WHERE task > 0 GROUP BY ALL""",
+)
+def a_task_files(t: Tables) -> DataFrame:
+    """Three tasks, each with a training and a validation file of its own kind (csv,
+    JSON lines, text), faulty lines among them."""
+    base = scratch_path(t.spark, "task_files")
+    text = F.regexp_replace("text", r'[\r\n\t"\\]+', " ")
+    docs = t.documents.filter("text <> ''").select("doc_id", text.alias("text"))
+    train, valid = [], []
+    for split, half, paths in (("train", 0, train), ("validation", 1, valid)):
+        for task, kind in enumerate(("csv", "json", "txt")):
+            path = f"{base}/{split}.{kind}"
+            own = docs.filter((F.col("doc_id") % 3 == task) & (F.col("doc_id") % 2 == half))
+            if kind == "csv":
+                own.select("doc_id", F.col("text").alias("tokens"), F.col("text").alias("edit_tags")).write.option("header", True).csv(path)
+            elif kind == "json":
+                words = F.split("text", " ")
+                good = F.to_json(F.struct(words.alias("tokens"), words.alias("edit_tags"), words.alias("mask")))
+                writers.write_lines(own.select(F.explode(F.array(good, F.lit('{"tokens": ["cut"'))).alias("line")), "line", path)
+            else:
+                writers.write_lines(own.select(F.explode(F.array(F.concat("text", F.lit("\t"), "text"), F.lit("no tab"))).alias("line")), "line", path)
+            paths.append(path)
+    good, bad = readers.load_task_files(t.spark, train, valid, "edit")
+    size = lambda c: F.coalesce(F.sum(F.when(F.col(c).isNotNull(), F.size(c))), F.lit(0)).cast("bigint")
+    kept = good.groupBy("task", "split").agg(F.count("*").alias("n"), size("labels").alias("n_tokens"), size("mask").alias("n_mask"), F.lit(0).cast("bigint").alias("n_bad"))
+    zero = F.lit(0).cast("bigint")
+    lost = bad.groupBy("task", "split").agg(zero.alias("n"), zero.alias("n_tokens"), zero.alias("n_mask"), F.count("*").alias("n_bad"))
+    return kept.unionByName(lost)
+
+
 @query("a_merge", "SELECT doc_id, md5(text) AS digest FROM documents")
 def a_merge(t: Tables) -> DataFrame:
     """Reading the folder of per-part outputs is the merge."""

@@ -317,3 +317,61 @@ def h_levenshtein(t: Tables) -> DataFrame:
 def h_tokenize(t: Tables) -> DataFrame:
     tokens = t.documents.select("doc_id", tx.tokenize(F.col("text")).alias("w"))
     return tokens.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+_SIDES = {"src": "p", "tgt": "c"}
+_SENTS = v.CTE["sents"].split("list_filter(", 1)[1].rsplit(" AS sents", 1)[0]
+_RECORD_SQL = ", ".join(
+    f"""{side}0 AS (SELECT rev_id, list_filter({_SENTS} AS sents FROM (SELECT c.rev_id, {alias}.text FROM kept c JOIN kept p ON c.parent_id = p.rev_id)),
+    {side}1 AS (SELECT rev_id, sents, list_transform(sents, lambda s: {v.tokens_sql('s')}) AS st FROM {side}0),
+    {side}2 AS (SELECT rev_id, sents, st, flatten(st) AS tokens FROM {side}1),
+    {side}3 AS (SELECT *, list_filter(range(len(tokens)), lambda i: length(tokens[i + 1]) > 9) AS diff FROM {side}2),
+    {side}d AS (SELECT rev_id, unnest(diff) AS i FROM {side}3),
+    {side}n AS (SELECT DISTINCT d.rev_id, d.i + o.o AS p FROM {side}d d, (VALUES (-2), (-1), (0), (1), (2)) AS o(o) JOIN {side}3 m ON m.rev_id = d.rev_id WHERE d.i + o.o >= 0 AND d.i + o.o < len(m.tokens)),
+    {side}w AS (SELECT n.rev_id, string_agg(m.tokens[n.p + 1], ' ' ORDER BY n.p) AS token, string_agg(CASE WHEN d.i IS NULL THEN '0' ELSE '1' END, '' ORDER BY n.p) AS action
+      FROM {side}n n JOIN {side}3 m ON m.rev_id = n.rev_id LEFT JOIN {side}d d ON d.rev_id = n.rev_id AND d.i = n.p GROUP BY 1)"""
+    for side, alias in _SIDES.items()
+)
+
+
+@query(
+    "h_context_records",
+    v.with_(
+        "kept",
+        valid=f"""SELECT page_id, rev_id, rev_ord, comment FROM kept WHERE len({v.tokens_sql('comment')}) >= 3
+      AND NOT contains(comment, '[[Project:AWB|AWB]]') AND NOT contains(comment, '[[Project:AutoWikiBrowser|AWB]]') AND NOT contains(comment, 'Undid revision')""",
+    )
+    + f""", {_RECORD_SQL},
+    e AS (SELECT rev_id, sents, i, len(list_filter(st[i + 1], lambda x: length(x) > 9)) > 0 AS hit FROM (SELECT *, unnest(range(len(sents))) AS i FROM tgt3)),
+    q AS (SELECT *, row_number() OVER (PARTITION BY rev_id, hit ORDER BY md5('7:' || rev_id || ':' || i)) AS place FROM e),
+    x AS (SELECT rev_id, string_agg(sents[i + 1], '|' ORDER BY i) FILTER (WHERE hit) AS pos_edits, string_agg(sents[i + 1], '|' ORDER BY i) FILTER (WHERE NOT hit AND place <= 3) AS neg_edits FROM q GROUP BY 1),
+    n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rev_ord) AS no FROM valid),
+    o AS (SELECT a.page_id, a.rev_id, b.no AS other, b.comment, row_number() OVER (PARTITION BY a.page_id, a.no ORDER BY abs(b.no - a.no), b.no) AS place
+      FROM n a JOIN n b ON a.page_id = b.page_id AND a.no <> b.no),
+    g AS (SELECT page_id, rev_id, string_agg(array_to_string({v.tokens_sql('comment')}, ' '), '|' ORDER BY other) AS neg_comments FROM o WHERE place <= 10 GROUP BY ALL)
+    SELECT k.page_id, k.rev_id, k.parent_id, array_to_string({v.tokens_sql('k.comment')}, ' ') AS comment, coalesce(src.token, '') AS src_token, coalesce(src.action, '') AS src_action,
+      coalesce(tgt.token, '') AS tgt_token, coalesce(tgt.action, '') AS tgt_action, coalesce(pos_edits, '') AS pos_edits, coalesce(neg_edits, '') AS neg_edits, coalesce(neg_comments, '') AS neg_comments
+    FROM kept k JOIN tgt3 ON tgt3.rev_id = k.rev_id JOIN src3 ON src3.rev_id = k.rev_id LEFT JOIN srcw src ON src.rev_id = k.rev_id LEFT JOIN tgtw tgt ON tgt.rev_id = k.rev_id
+    LEFT JOIN x ON x.rev_id = k.rev_id LEFT JOIN g ON g.page_id = k.page_id AND g.rev_id = k.rev_id WHERE len(tgt3.diff) > 0 OR len(src3.diff) > 0""",
+)
+def h_context_records(t: Tables) -> DataFrame:
+    """Records of revision pairs; words of ten letters or more count as changed."""
+    kept = pairing.gate_comments(v.revisions(t))
+    pairs = pairing.pair_with_parent(kept, carry=("text",), within=v.PAGE).withColumnsRenamed({"text": "tgt", "parent_text": "src"})
+    cut = pairs.withColumns({f"{side}_sents": tx.split_sentences(F.col(side)) for side in _SIDES})
+    cut = cut.withColumns({f"{side}_tokens": F.transform(f"{side}_sents", lambda s: tx.tokenize(s)) for side in _SIDES})
+    long_words = lambda w: F.filter(index_range(F.size(w)), lambda i: F.char_length(F.get(w, i)) > 9)
+    marked = cut.withColumns({f"{side}_diff": bind(F.flatten(f"{side}_tokens"), long_words) for side in _SIDES})
+    out = cx.context_records(marked, pairing.negative_comments(kept), window=2, k=3, seed=7)
+    words, lines = (lambda c: F.array_join(c, " ")), (lambda c: F.array_join(c, "|"))
+    return out.select(
+        "page_id",
+        "rev_id",
+        "parent_id",
+        words("comment").alias("comment"),
+        *(words(f"{side}_token").alias(f"{side}_token") for side in _SIDES),
+        *(F.array_join(F.transform(f"{side}_action", lambda x: x.cast("string")), "").alias(f"{side}_action") for side in _SIDES),
+        lines("pos_edits").alias("pos_edits"),
+        lines("neg_edits").alias("neg_edits"),
+        lines(F.transform("neg_comments", lambda x: F.array_join(x, " "))).alias("neg_comments"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -176,6 +177,100 @@ def sample_files(paths: Iterable[str], n: int, seed: int, replace: bool = False)
     return [rng.choice(names) for _ in range(n)] if replace else rng.sample(names, min(n, len(names)))
 
 
+_PLACE = ["_folder", "_part", "_chunk", "_line"]  # of a line, the same on both sides
+
+
+def read_parallel_by_cluster(spark: SparkSession, path: str, cluster: str = "cluster") -> DataFrame:
+    """``cluster, src, tgt`` of aligned text per cluster. Files are matched by the
+    number in their names, lines by their place; a line without its other half is an
+    error."""
+
+    def side(name: str) -> DataFrame:
+        raw = spark.read.text(f"{path.rstrip('/')}/{name}").select(
+            F.col(f"`{cluster}`").cast("string").alias(cluster),
+            F.col("value").alias(name),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("_m"),
+        )
+        place = [F.regexp_extract("file", p, 1) for p in (rf"/{cluster}=([^/]*)/", r"part-(\d+)-", r"[.-]c(\d+)\.txt")]
+        keys = (c.alias(k) for c, k in zip([*place, F.col("line_in_file")], _PLACE))
+        return line_index(raw).select(*keys, name, *([cluster] if name == "src" else []))
+
+    both = side("src").join(side("tgt"), _PLACE, "full_outer")
+    whole = F.col("src").isNotNull() & F.col("tgt").isNotNull()
+    keep = F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("source and target lines differ")).cast("boolean"))
+    return both.filter(keep).select(cluster, "src", "tgt")
+
+
+def _task_columns(columns: list[str], role: str) -> tuple[str, str, str | None]:
+    """Tokens, labels and mask by convention: ``tokens`` (else the first column),
+    ``<role>_tags`` (else the second), ``mask`` if there is one."""
+    text = "tokens" if "tokens" in columns else columns[0]
+    label = f"{role}_tags" if f"{role}_tags" in columns else [c for c in columns if c != "mask"][1]
+    return text, label, "mask" if "mask" in columns else None
+
+
+def _as_list(df: DataFrame, name: str) -> Column:
+    """An array of strings: text is split at spaces."""
+    c = F.col("`" + name + "`")
+    return c.cast("array<string>") if dict(df.dtypes)[name].startswith("array") else F.split(c.cast("string"), " ")
+
+
+_BAD = "_corrupt_record"
+
+
+def read_task_file(spark: SparkSession, path: str, role: str = "text", kind: str | None = None) -> DataFrame:
+    """``tokens, labels, mask, bad`` of one task's csv (with a header, quotes doubled
+    inside quotes, a record a line), JSON lines or text (``tokens``, tab, ``labels``) file or folder; ``kind`` is taken from the
+    name's ending unless given. Lines that do not fit are rows with ``bad`` only."""
+    kind = kind or path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        schema = spark.read.csv(path, header=True, escape='"').schema.add(_BAD, "string")
+        # with pruned columns a line of too many would pass
+        whole = spark.read.schema(schema).option("columnNameOfCorruptRecord", _BAD).option("columnPruning", "false")
+        df = whole.csv(path, header=True, escape='"')
+    elif kind in ("json", "jsonl"):
+        df = spark.read.option("columnNameOfCorruptRecord", _BAD).json(path)
+        df = df if _BAD in df.columns else df.withColumn(_BAD, F.lit(None).cast("string"))
+    elif kind in ("txt", "text"):
+        parts = F.split("value", "\t")
+        fits = F.size(parts) == 2
+        df = spark.read.text(path).select(
+            F.when(fits, parts[0]).alias("tokens"), F.when(fits, parts[1]).alias(f"{role}_tags"), F.when(~fits, F.col("value")).alias(_BAD)
+        )
+    else:
+        raise ValueError(f"no task file: {path}")
+    text, label, mask = _task_columns([c for c in df.columns if c != _BAD], role)
+    short = F.col(_BAD).isNull() & (F.col(f"`{text}`").isNull() | F.col(f"`{label}`").isNull())
+    bad = F.when(short, F.lit("no tokens or labels")).otherwise(F.col(_BAD))
+    good = bad.isNull()
+    return df.select(
+        F.when(good, _as_list(df, text)).alias("tokens"),
+        F.when(good, _as_list(df, label)).alias("labels"),
+        (F.when(good, _as_list(df, mask)) if mask else F.lit(None).cast("array<string>")).alias("mask"),
+        bad.alias("bad"),
+    )
+
+
+def load_task_files(
+    spark: SparkSession, train: list[str], valid: list[str], role: str = "text", debug_rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``task, split, tokens, labels, mask`` of parallel lists of training and
+    validation files, and ``task, split, bad`` of the lines that do not fit.
+    ``debug_rows`` keeps so many good rows of each file (a limit, no sort)."""
+    if len(train) != len(valid):
+        raise ValueError("each task has one training and one validation file")
+    good, bad = [], []
+    for split, paths in (("train", train), ("validation", valid)):
+        for task, path in enumerate(paths):
+            df = read_task_file(spark, path, role).select(F.lit(task).alias("task"), F.lit(split).alias("split"), "*")
+            fit = df.filter("bad is null").drop("bad")
+            good.append(fit.limit(debug_rows) if debug_rows else fit)
+            bad.append(df.filter("bad is not null").select("task", "split", "bad"))
+    return reduce(DataFrame.unionByName, good), reduce(DataFrame.unionByName, bad)
+
+
 def load_tasks(
     frames: list[DataFrame], role: str = "text", debug_rows: int | None = None
 ) -> DataFrame:
@@ -200,5 +295,5 @@ def load_tasks(
 __all__ = [
     "read_manifest", "slice_manifest", "audit_files", "checksum_listing", "read_revisions",
     "revision_fields", "read_lines", "read_jsonl", "read_parallel",
-    "read_tag_lines", "sample_files", "load_tasks", "line_index", "MANIFEST_SCHEMA",
+    "read_tag_lines", "sample_files", "load_tasks", "read_parallel_by_cluster", "read_task_file", "load_task_files", "line_index", "MANIFEST_SCHEMA",
 ]
