@@ -10,7 +10,9 @@ are not judged by distance, since short histograms say little.
 Only English, French, German and Spanish have references. A text in which none of
 them is recognised (few of its words listed, or only one or two forms) is judged
 by its characters alone. Texts with a symbol in every fifth word, such as tables
-of made-up words, still have to meet the word distance.
+of made-up words, still have to meet the word distance. Scripts without spaces
+between words (two bytes a character and more, over the whole text) are judged by
+the shares of their other characters.
 
 Every number comes from the row itself: one scan, no shuffle, no Python.
 
@@ -40,6 +42,7 @@ MAX_WORD_DISTANCE = 0.30
 LISTED_SHARE = 50  # one listed word among so many, or the language is not recognised
 LISTED_FORMS = 3  # fewer forms, as Hungarian "a", are no sign of a language either,
 LONE_SHARE = 5  # unless they are one word among so many
+WIDE = 2  # bytes per character from which a script is taken to have no spaces between words
 SYMBOL_SHARE = 5  # one symbol for so many words: not prose of an unlisted language
 
 #: Characters of the classes; all other characters are one class more.
@@ -115,6 +118,7 @@ def measured(docs: DataFrame, text_col: str = "text", name: str = "_q") -> DataF
         lines.alias("_l"),
         F.split(F.lower(F.array_join(F.filter("_w", lambda w: (F.octet_length(w) <= longest) & w.isin(forms)), " ")), " ").alias("_c"),
         F.char_length("_t").cast("bigint").alias("_n"),
+        (F.octet_length("_t") >= WIDE * F.char_length("_t")).alias("_wide"),
         *[((F.col("_listed") - F.char_length("_k")).cast("bigint") if name == "space" else among(chars)).alias(f"_{name}") for name, chars in CLASSES.items()],
         among("#*$%&|<>").alias("n_symbols"),
     )
@@ -127,11 +131,16 @@ def measured(docs: DataFrame, text_col: str = "text", name: str = "_q") -> DataF
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint").alias("n_dup_lines"),
         F.when(once, F.lit(0).cast("bigint")).otherwise(_repeat_words(F.col("_h"))).alias("n_repeat_words"),
         "_n",
+        "_wide",
         *[f"_{name}" for name in CLASSES],
         bind(F.col("_c"), lambda c: F.transform(F.array(*[F.lit(w) for w in LISTED]), lambda w: F.size(F.filter(c, lambda x: x == w)))).alias("_common"),
     )
-    shares = [F.col(f"_{name}") / F.col("_n") for name in CLASSES]
-    rest = (F.col("_n") - sum((F.col(f"_{name}") for name in CLASSES), F.lit(0))) / F.col("_n")
+    def share(count: Column, space: bool = False) -> Column:
+        among = F.lit(PROSE["space"]) if space else count / (F.col("_n") - F.col("_space")) * F.lit(1 - PROSE["space"])
+        return F.when(F.col("_wide"), among).otherwise(count / F.col("_n"))
+
+    shares = [share(F.col(f"_{name}"), name == "space") for name in CLASSES]
+    rest = share(F.col("_n") - sum((F.col(f"_{name}") for name in CLASSES), F.lit(0)))
     char_distance = F.when(F.col("_n") >= JUDGED_CHARS, divergence([*shares, rest], list(PROSE.values()))).otherwise(0.0)
 
     def to(language: dict[str, float]) -> Column:

@@ -90,7 +90,9 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def _quality_sql() -> str:
     """The rules of ``quality`` in SQL, from the same fixed values."""
-    shares = [f"({n}::DOUBLE / n_chars)" for n in (*quality.CLASSES, "rest")]
+    space = quality.PROSE["space"]
+    among = {n: f"{n}::DOUBLE / (n_chars - space) * {1 - space!r}::DOUBLE" for n in (*quality.CLASSES, "rest")} | {"space": f"{space!r}::DOUBLE"}
+    shares = [f"(CASE WHEN wide THEN {among[n]} ELSE {n}::DOUBLE / n_chars END)" for n in (*quality.CLASSES, "rest")]
 
     def distance(p: list[str], q: list[float]) -> str:
         part = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * ln({x} * 2 / ({x} + {y})) ELSE 0 END"
@@ -109,12 +111,17 @@ def _quality_sql() -> str:
         )
         for lang in quality.COMMON.values()
     )
+    absent = []
+    for lang in quality.COMMON.values():
+        hits, forms = " + ".join(f"w_{w}" for w in lang), " + ".join(f"(w_{w} > 0)::INT" for w in lang)
+        absent.append(f"({quality.LISTED_SHARE} * ({hits}) < n_words OR ({forms} < {quality.LISTED_FORMS} AND {quality.LONE_SHARE} * ({hits}) < n_words))")
+    unlisted = f"({quality.SYMBOL_SHARE} * symbol < n_words AND {' AND '.join(absent)})"
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
     g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
     m AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
     r AS (SELECT doc_id, sum(least(5, coalesce(nxt - i, 5))) AS n_repeat_words FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM m) GROUP BY 1),
     l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1),
-    c AS (SELECT d.doc_id, len(w) AS n_words, length(t) AS n_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+    c AS (SELECT d.doc_id, len(w) AS n_words, length(t) AS n_chars, octet_length(encode(t)) >= {quality.WIDE} * length(t) AS wide, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
       coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {counted}, {listed}
       FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id),
     f AS (SELECT *, n_chars - upper - digit - space - stop - symbol AS rest FROM c),
@@ -123,7 +130,7 @@ def _quality_sql() -> str:
       CASE WHEN n_words >= {quality.JUDGED_WORDS} THEN least({nearest}) ELSE 0 END AS word_distance FROM f)
     SELECT doc_id, n_words::BIGINT AS n_words, (n_chars - space)::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-      NOT base_failed AND char_distance <= {quality.MAX_CHAR_DISTANCE} AND word_distance <= {quality.MAX_WORD_DISTANCE} AS kept FROM j"""
+      NOT base_failed AND char_distance <= {quality.MAX_CHAR_DISTANCE} AND (word_distance <= {quality.MAX_WORD_DISTANCE} OR {unlisted}) AS kept FROM j"""
 
 
 @query(_quality_sql())
