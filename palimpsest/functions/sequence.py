@@ -6,6 +6,7 @@ them (pre-filters, tag choice, labels, records) stays in native expressions.
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -21,6 +22,12 @@ OPS_TYPE = T.ArrayType(
 SPAN_TYPE = T.StructType(
     [T.StructField("cost", T.LongType()), T.StructField("borders", T.ArrayType(_INT))]
 )
+STEPS_TYPE = T.StructType(
+    [
+        T.StructField("cost", T.LongType()),
+        T.StructField("steps", T.ArrayType(T.StructType([T.StructField(c, _INT) for c in ("token", "before", "j1", "j2")]))),
+    ]
+)
 
 
 def opcodes(a, b) -> list[tuple]:
@@ -111,126 +118,245 @@ GAP = "   "  # fixed value: words of a group are priced joined by three spaces
 _FAR = 1_000_000_000
 _WORD = 64  # longest token that fits one machine word
 _CELLS = 40_000  # (token, group start) pairs advanced together
+_PRICES = 1 << 20  # group prices held at a time where a span is priced in parts
+_BACK = 1 << 20  # traceback cells held at a time
+_LONG = 1_000  # target words from which a span is priced in parts
 
 
 class _Span:
     """One source span against one target span.
 
-    For distinct token ``n`` and start word ``j`` the exact prices of the groups
+    For planned token ``n`` and start word ``j`` the exact prices of the groups
     ``targets[j : j + 1]``, ``targets[j : j + 2]``, .. (``width[n, j]`` of them)
-    lie in ``prices`` from ``slot[n, j]`` on.
+    lie in ``prices`` from ``slot[n, j]`` on. ``j + width[n, j]`` never falls
+    with ``j``, so the longer groups that end at a word start in a prefix of the
+    words, and their cheapest is a running minimum: a token costs time in its
+    priced groups, not in the square of the words.
+
+    ``price(token, text)`` replaces the Levenshtein distance; all groups are
+    then priced by it. Long spans hold the prices of one token, some start
+    words at a time, and the traceback of a few rows, so memory stays near
+    linear; rows are computed again from kept ones on the way back.
     """
 
-    def __init__(self, source: list[str], targets: list[str], verbs: frozenset):
+    def __init__(self, source: list[str], targets: list[str], verbs: frozenset, insertions: int = 0, price=None):
         self.source, self.targets, self.verbs = source, targets, verbs
+        self.insertions, self.price = insertions, price
         self.m = len(targets)
         self.text = GAP.join(targets)
         lengths = np.array([len(t) for t in targets], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(lengths + len(GAP))[:-1]]).astype(np.int64)
-        self.ends = self.starts + lengths
+        self.ends = np.cumsum(lengths + len(GAP)) - len(GAP)
+        self.starts = self.ends - lengths
         self.names = sorted(set(source))
+        self.row = {s: i for i, s in enumerate(self.names)}
+        self.parts = price is not None or self.m > _LONG or len(self.names) * self.m > _CELLS
         self.exact: dict[str, list[int]] = {}
         self.lower: dict[str, list[int]] = {}
+        self.free: dict[str, list[tuple[int, int]]] = {}
+        self.following: dict[str, np.ndarray] = {}
         for j, w in enumerate(targets):
             self.exact.setdefault(w, []).append(j)
             self.lower.setdefault(w.lower(), []).append(j)
 
-    def plan(self, reach: int | None) -> None:
-        """Choose which groups to price: up to ``reach`` words, or (None) all
+    def widths(self, s: str, reach: int | None) -> np.ndarray:
+        """How many groups to price from each start word: up to ``reach`` words
+        and as many as make the group no shorter than the token, or (None) all
         whose price is not plain arithmetic.
 
         Once the token is a subsequence of the group's text, the price is the
         difference in length, for this and every longer group.
         """
-        words_left = self.m - np.arange(self.m)
+        words = np.arange(self.m)
+        if self.price is not None:
+            return self.m - words
         if reach is not None:
-            self.width = np.tile(np.minimum(reach, words_left), (len(self.names), 1))
-        else:
-            following = self._next_char()
+            upto = np.searchsorted(self.ends, self.starts + len(s), side="left") + 1
+            return np.minimum(np.maximum(upto - words, reach), self.m - words)
+        at = self.starts
+        for ch in s:
+            at = self._after(ch)[at]
+        return np.clip(np.searchsorted(self.ends, at, side="left") - words, 0, self.m - words)
+
+    def _after(self, ch: str) -> np.ndarray:
+        """The position after the next ``ch`` from each place of the text."""
+        if ch not in self.following:
+            if len(self.following) > 64:
+                self.following.clear()
             nowhere = len(self.text) + 1
-            rows = []
-            for s in self.names:
-                at = self.starts
-                for ch in s:
-                    at = following[ch][at] if ch in following else np.full(self.m, nowhere)
-                rows.append(np.searchsorted(self.ends, at, side="left") - np.arange(self.m))
-            self.width = np.clip(np.array(rows), 0, words_left)
-        self.settled = reach is None or reach >= self.m
-        total = np.cumsum(self.width.ravel())
-        self.slot = np.concatenate([[0], total[:-1]]).reshape(self.width.shape)
-        self.prices = np.full(int(total[-1]), _FAR, dtype=np.int64)
-        for n, s in enumerate(self.names):
-            if not 0 < len(s) <= _WORD:
-                for j in np.nonzero(self.width[n])[0]:
-                    w, lo = int(self.width[n, j]), int(self.slot[n, j])
-                    dist = edit_distances(s, self.text[self.starts[j] : self.ends[j + w - 1]])
-                    self.prices[lo : lo + w] = [dist[e] for e in self.ends[j : j + w] - self.starts[j]]
-
-    def _next_char(self) -> dict[str, np.ndarray]:
-        """Per character the position after its next occurrence from each place."""
-        nowhere = len(self.text) + 1
-        letters = np.array(list(self.text))
-        out = {}
-        for ch in set(self.text):
             at = np.full(nowhere + 1, nowhere, dtype=np.int64)
-            where = np.nonzero(letters == ch)[0]
+            where = np.array([x.start() for x in re.finditer(re.escape(ch), self.text)], dtype=np.int64)
             at[where] = where + 1
-            out[ch] = np.minimum.accumulate(at[::-1])[::-1]
-        return out
+            self.following[ch] = np.minimum.accumulate(at[::-1])[::-1]
+        return self.following[ch]
+
+    def plan(self, names: list[str], width: np.ndarray) -> None:
+        """Make room for the prices of ``names``; fill those no sweep can."""
+        self.planned, self.width = names, width
+        total = np.cumsum(width.ravel())
+        self.slot = np.concatenate([[0], total[:-1]]).reshape(width.shape)
+        self.prices = np.full(int(total[-1]), _FAR, dtype=np.int64)
+        for n, s in enumerate(names):
+            if self.price is None and 0 < len(s) <= _WORD:
+                continue
+            for j in np.nonzero(width[n])[0]:
+                w, lo = int(width[n, j]), int(self.slot[n, j])
+                ends = self.ends[j : j + w] - self.starts[j]
+                text = self.text[self.starts[j] : self.ends[j + w - 1]]
+                if self.price is None:
+                    dist = edit_distances(s, text)
+                    self.prices[lo : lo + w] = [dist[e] for e in ends]
+                else:
+                    self.prices[lo : lo + w] = [self.price(s, text[:e]) for e in ends]
 
-    def _free_groups(self, s: str):
+    def _free_groups(self, s: str) -> list[tuple[int, int]]:
         """``(j, k)`` of the groups a transform makes of the token ``s``."""
-        near = set(self.lower.get(s.lower(), ())) | set(self.exact.get(s + "s", ()))
-        if s.endswith("s"):
-            near.update(self.exact.get(s[:-1], ()))
-        if self.verbs:
-            near.update(j for j, w in enumerate(self.targets) if (s, w) in self.verbs)
-        for j in near:
-            if _transforms(s, self.targets[j], self.verbs):
-                yield j, j + 1
-        parts = s.split("-")
-        if len(parts) > 1:
-            for j in self.exact.get(parts[0], ()):
-                if self.targets[j : j + len(parts)] == parts:
-                    yield j, j + len(parts)
-
-    def solve(self) -> tuple[int, list[int]] | None:
-        """Cheapest split, or None if it leans on a group that is not priced yet.
+        if s not in self.free:
+            near = set(self.lower.get(s.lower(), ())) | set(self.exact.get(s + "s", ()))
+            if s.endswith("s"):
+                near.update(self.exact.get(s[:-1], ()))
+            if self.verbs:
+                near.update(j for j, w in enumerate(self.targets) if (s, w) in self.verbs)
+            found = [(j, j + 1) for j in near if _transforms(s, self.targets[j], self.verbs)]
+            parts = s.split("-")
+            if len(parts) > 1:
+                found += [(j, j + len(parts)) for j in self.exact.get(parts[0], ()) if self.targets[j : j + len(parts)] == parts]
+            self.free[s] = found
+        return self.free[s]
+
+    def _priced(self, s: str, reach: int | None):
+        """``(start words, groups from each, prices)``, in parts for long spans."""
+        if not self.parts:
+            n = self.row[s]
+            width, lo = self.width[n], int(self.slot[n, 0])
+            yield np.arange(self.m), width, self.prices[lo : lo + int(width.sum())]
+            return
+        width = self.widths(s, reach)
+        total = np.cumsum(width)
+        lo = 0
+        while lo < self.m:
+            done = int(total[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(total, done + _PRICES, side="right")))
+            some = np.zeros((1, self.m), dtype=np.int64)
+            some[0, lo:hi] = width[lo:hi]
+            self.plan([s], some)
+            if self.price is None and len(self.prices):
+                _price_together([self])
+            yield np.arange(lo, hi), width[lo:hi], self.prices
+            lo = hi
+
+    def _match(self, s: str, best: np.ndarray, reach: int | None) -> np.ndarray:
+        """Per end word the key ``cost * (m + 1) + start`` of the cheapest group
+        of ``s``, earliest start first, after prefixes that cost ``best``."""
+        m, many = self.m, self.m + 1
+        if _transforms(s, "", self.verbs):
+            nothing = 0
+        else:
+            nothing = len(s) if self.price is None else self.price(s, "")
+        key = (best + nothing) * many + np.arange(many)
+        if m and self.price is None:  # longer groups: the difference in length
+            width = self.widths(s, reach) if self.parts else self.width[self.row[s]]
+            run = np.minimum.accumulate((best[:m] - self.starts) * many + np.arange(m))
+            count = np.searchsorted(np.arange(m) + width, np.arange(1, many), side="left")
+            ends = np.nonzero(count)[0]
+            far = run[count[ends] - 1] + (self.ends[ends] - len(s)) * many
+            key[ends + 1] = np.minimum(key[ends + 1], far)
+        if m:
+            for words, groups, prices in self._priced(s, reach):
+                start = np.repeat(words, groups)
+                first = np.repeat(np.cumsum(groups) - groups, groups)
+                end = start + 1 + np.arange(len(start)) - first
+                np.minimum.at(key, end, (best[start] + prices) * many + start)
+        for j, k in self._free_groups(s):
+            key[k] = min(key[k], int(best[j]) * many + j)
+        return key
+
+    def _inserted(self, best: np.ndarray) -> np.ndarray:
+        """As ``_match``, for words put in with no token: priced by their length."""
+        many = self.m + 1
+        key = best * many + np.arange(many)
+        if self.m:
+            run = np.minimum.accumulate((best[:-1] - self.starts) * many + np.arange(self.m))
+            key[1:] = np.minimum(key[1:], run + self.ends * many)
+        return key
+
+    def _layers(self, best: np.ndarray, back: np.ndarray | None = None) -> np.ndarray:
+        """Costs after 0, 1, .. insertions behind the last token."""
+        rows = [best]
+        for q in range(self.insertions):
+            key = self._inserted(rows[-1])
+            rows.append(key // (self.m + 1))
+            if back is not None:
+                back[q] = key % (self.m + 1)
+        return np.array(rows)
+
+    def solve(self, reach: int | None) -> tuple[int, list[tuple[int, int, int]]] | None:
+        """Cheapest split as steps ``(token, j, k)`` in order (token -1 - i: words
+        put in before token i), or None if it leans on a group not priced yet.
 
         A longer group counts with its lower bound, the difference in length.
         If the best split uses exact prices only it is the best split overall,
         ties included, since no bound got below it.
         """
-        m, n = self.m, len(self.source)
-        size = np.zeros((m + 1, m + 1), dtype=np.int64)
-        size[:m, 1:] = self.ends[None, :] - self.starts[:, None]
-        size[np.tril_indices(m + 1, -1)] = _FAR
-        row = {s: i for i, s in enumerate(self.names)}
+        m, n, extra = self.m, len(self.source), self.insertions
+        block = max(1, min(n + 1, _BACK // ((m + 1) * (extra + 1))))
         best = np.full(m + 1, _FAR, dtype=np.int64)
         best[0] = 0
-        back = np.zeros((n, m + 1), dtype=np.int64)
-        for i, s in enumerate(self.source):
-            width, slot = self.width[row[s]], self.slot[row[s]]
-            lo, hi = int(slot[0]), int(slot[-1] + width[-1])
-            j_at = np.repeat(np.arange(m), width)
-            cost = np.maximum(size - len(s), 0)
-            cost[j_at, j_at + 1 + np.arange(lo, hi) - slot[j_at]] = self.prices[lo:hi]
-            np.fill_diagonal(cost, 0 if _transforms(s, "", self.verbs) else len(s))
-            for j, k in self._free_groups(s):
-                cost[j, k] = 0
-            total = best[:, None] + cost
-            back[i] = total.argmin(axis=0)
-            best = total.min(axis=0)
-        borders = [m]
-        for i in range(n - 1, -1, -1):
-            borders.append(int(back[i, borders[-1]]))
-        borders.reverse()
-        if not self.settled:
-            for i, s in enumerate(self.source):
-                j, k = borders[i], borders[i + 1]
-                if k > j and k - j > self.width[row[s], j] and s.split("-") != self.targets[j:k]:
+        kept = []
+
+        def rows(best: np.ndarray, lo: int, hi: int, back=None, puts=None) -> np.ndarray:
+            for i in range(lo, hi):
+                layers = self._layers(best, None if puts is None else puts[i - lo])
+                key = self._match(self.source[i], layers.min(axis=0), reach)
+                if back is not None:
+                    back[i - lo] = key % (m + 1)
+                    from_layer[i - lo] = layers.argmin(axis=0)
+                best = key // (m + 1)
+            return best
+
+        back = from_layer = puts = None
+        for lo in range(0, n, block):
+            kept.append(best)
+            if n <= block:  # one block: its traceback is kept at once
+                back = np.zeros((n, m + 1), dtype=np.int32)
+                from_layer = np.zeros((n, m + 1), dtype=np.int16)
+                puts = np.zeros((n, extra, m + 1), dtype=np.int32)
+            best = rows(best, lo, min(lo + block, n), back, puts)
+        last = np.zeros((extra, m + 1), dtype=np.int32)
+        ends = self._layers(best, last)[:, m]
+        total = int(ends.min())
+        steps: list[tuple[int, int, int]] = []
+
+        def put_in(i: int, k: int, q: int, at: np.ndarray) -> int:
+            for layer in range(q, 0, -1):
+                j = int(at[layer - 1, k])
+                steps.append((-1 - i, j, k))
+                k = j
+            return k
+
+        k = put_in(n, m, int(ends.argmin()), last)
+        for number in range(len(kept) - 1, -1, -1):
+            lo, hi = number * block, min((number + 1) * block, n)
+            if n > block:
+                back = np.zeros((hi - lo, m + 1), dtype=np.int32)
+                from_layer = np.zeros((hi - lo, m + 1), dtype=np.int16)
+                puts = np.zeros((hi - lo, extra, m + 1), dtype=np.int32)
+                rows(kept.pop(), lo, hi, back, puts)
+            for i in range(hi - 1, lo - 1, -1):
+                j = int(back[i - lo, k])
+                steps.append((i, j, k))
+                k = put_in(i, j, int(from_layer[i - lo, j]), puts[i - lo])
+        steps.reverse()
+        if reach is not None and self.price is None:
+            known = {}
+            for i, j, k in steps:
+                if i < 0 or k == j:
+                    continue
+                s = self.source[i]
+                if s not in known:
+                    known = {s: self.widths(s, reach)}
+                if k - j > known[s][j] and s.split("-") != self.targets[j:k]:
                     return None
-        return int(best[m]), borders
+        return total, steps
 
 
 def _price_together(spans: list[_Span]) -> None:
@@ -239,10 +365,12 @@ def _price_together(spans: list[_Span]) -> None:
     Bit-parallel Levenshtein distance with one machine word per (token, group
     start); all of them, across spans, take one text character per step.
     """
+    if not spans:
+        return
     texts = "".join(sp.text + "\n" for sp in spans)
     letters = {ch: i for i, ch in enumerate(sorted(set(texts)))}
     codes = np.array([letters[ch] for ch in texts], dtype=np.int64)
-    patterns = sorted({s for sp in spans for s in sp.names if 0 < len(s) <= _WORD})
+    patterns = sorted({s for sp in spans for s in sp.planned if 0 < len(s) <= _WORD})
     number = {s: i for i, s in enumerate(patterns)}
     masks = np.zeros((len(letters), len(patterns)), dtype=np.uint64)
     for n, s in enumerate(patterns):
@@ -254,7 +382,7 @@ def _price_together(spans: list[_Span]) -> None:
     base = offset = 0
     for sp in spans:
         word_at[offset + sp.ends] = np.arange(1, sp.m + 1)
-        for n, s in enumerate(sp.names):
+        for n, s in enumerate(sp.planned):
             if s in number:
                 js = np.nonzero(sp.width[n])[0]
                 pat.append(np.full(len(js), number[s]))
@@ -300,35 +428,47 @@ def _price_together(spans: list[_Span]) -> None:
         base += len(sp.prices)
 
 
-def align_spans(
-    pairs: list[tuple[list[str], list[str]]], verbs: frozenset = frozenset(), reach: int = 5
-) -> list[tuple[int, list[int]]]:
+def align_steps(
+    pairs: list[tuple[list[str], list[str]]],
+    verbs: frozenset = frozenset(),
+    reach: int = 5,
+    insertions: int = 0,
+    price=None,
+) -> list[tuple[int, list[tuple[int, int, int]]]]:
     """Cheapest split of each target span into one group per source token.
 
-    Returns cost and group borders (``len(source) + 1`` numbers) per pair. Among
-    equally cheap splits the one whose last groups start earliest wins. Groups
-    of up to ``reach`` words are priced first; the few spans whose best split
-    needs longer ones go into a second round.
+    Returns cost and steps ``(token, j, k)``: the token takes the words ``j`` to
+    ``k``. With ``insertions`` up to that many groups between two tokens (and
+    before the first, after the last) belong to no token and cost the length of
+    their text; their step has token ``-1 - i``, ``i`` the next token.
+    ``price(token, text)`` replaces the Levenshtein distance of a token and a
+    group's words, joined by ``GAP``. Among equally cheap splits the one whose
+    last groups start earliest wins. Groups of up to ``reach`` words are priced
+    first; the few spans whose best split needs longer ones go into a second
+    round. Without tokens and insertions only an empty target has a split.
     """
     found: list = [None] * len(pairs)
     waiting = []
     for i, (source, targets) in enumerate(pairs):
-        if len(source) == 1:  # one token takes every word
+        if not source and targets and not insertions:
+            raise ValueError("no token and no insertion to take the words")
+        if len(source) == 1 and not insertions and price is None:  # one token takes every word
             s, m = source[0], len(targets)
             free = (m < 2 and _transforms(s, "".join(targets), verbs)) or (m > 1 and s.split("-") == targets)
-            found[i] = (0 if free else edit_distances(s, GAP.join(targets))[-1], [0, m])
+            found[i] = (0 if free else edit_distances(s, GAP.join(targets))[-1], [(0, 0, m)])
         else:
-            waiting.append((i, _Span(source, targets, verbs)))
+            waiting.append((i, _Span(source, targets, verbs, insertions, price)))
     for width in (reach, None):
         again, part, cells = [], [], 0
         for k, (i, span) in enumerate(waiting):
-            span.plan(width)
             part.append((i, span))
-            cells += len(span.names) * span.m
-            if cells >= _CELLS or k == len(waiting) - 1:
-                _price_together([x for _, x in part])
+            if not span.parts and span.m and span.names:
+                span.plan(span.names, np.array([span.widths(s, width) for s in span.names]))
+                cells += len(span.names) * span.m
+            if cells >= _CELLS or span.parts or k == len(waiting) - 1:
+                _price_together([x for _, x in part if not x.parts and x.m and x.names])
                 for n, x in part:
-                    found[n] = x.solve()
+                    found[n] = x.solve(width)
                     if found[n] is None:
                         again.append((n, x))
                     x.prices = None
@@ -337,6 +477,14 @@ def align_spans(
     return found
 
 
+def align_spans(
+    pairs: list[tuple[list[str], list[str]]], verbs: frozenset = frozenset(), reach: int = 5, price=None
+) -> list[tuple[int, list[int]]]:
+    """``align_steps`` without insertions: cost and group borders
+    (``len(source) + 1`` numbers) per pair."""
+    return [(cost, [0, *(k for _, _, k in steps)]) for cost, steps in align_steps(pairs, verbs, reach, 0, price)]
+
+
 def align_ops():
     """UDF: opcodes of two token arrays with every replace span cut into one
     group per source token; merge spans are kept whole (tag ``merge``). The third
@@ -379,13 +527,31 @@ def align_ops():
     return run
 
 
-def span_cost(verbs: frozenset = frozenset()):
+def span_cost(verbs: frozenset = frozenset(), price=None):
     """UDF: cost and group borders of one source span against one target span."""
 
     @_once
     @F.pandas_udf(SPAN_TYPE)
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = align_spans([(list(x), list(y)) for x, y in zip(a, b)], verbs)
+        found = align_spans([(list(x), list(y)) for x, y in zip(a, b)], verbs, price=price)
         return pd.DataFrame({"cost": [c for c, _ in found], "borders": [k for _, k in found]})
 
     return run
+
+
+def span_steps(insertions: int = 1, verbs: frozenset = frozenset(), price=None):
+    """UDF: cost and steps of one source span against one target span, with up to
+    ``insertions`` groups between two tokens that belong to none (``token`` null;
+    ``before`` is the number of the next token)."""
+
+    @_once
+    @F.pandas_udf(STEPS_TYPE)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = align_steps([(list(x), list(y)) for x, y in zip(a, b)], verbs, insertions=insertions, price=price)
+        rows = [
+            [{"token": i if i >= 0 else None, "before": i if i >= 0 else -1 - i, "j1": j, "j2": k} for i, j, k in steps]
+            for _, steps in found
+        ]
+        return pd.DataFrame({"cost": [c for c, _ in found], "steps": rows})
+
+    return run

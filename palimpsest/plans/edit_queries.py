@@ -111,18 +111,15 @@ def k_merge_tag(t: Tables) -> DataFrame:
     return _variants(t).select("s", "t", tags.merge_tag(F.array(s, x), F.array(target)).alias("tag"))
 
 
-@query("k_align_cost", "SELECT true AS bordered, true AS bounded, true AS zero_is_free")
-def k_align_cost(t: Tables) -> DataFrame:
-    """Over all distinct replaced spans: borders cut the whole target span, the
-    cost is at most that of giving the last token everything, and at cost 0
-    every group is a transform."""
+def _replaced_spans(t: Tables) -> DataFrame:
+    """``s, t``: the distinct replaced spans of all edit pairs."""
     diffed = (
         v.edit_pairs(t)
         .filter("src <> tgt")
         .select(tx.tokenize(F.col("src")).alias("a"), tx.tokenize(F.col("tgt")).alias("b"))
         .withColumn("ops", sequence.diff_ops("a", "b"))
     )
-    spans = (
+    return (
         diffed.select("a", "b", F.explode("ops").alias("o"))
         .filter("o.tag = 'replace'")
         .select(
@@ -131,8 +128,36 @@ def k_align_cost(t: Tables) -> DataFrame:
         )
         .distinct()
         .repartition(t.tasks * 4)
-        .withColumn("r", sequence.span_cost()("s", "t"))
     )
+
+
+@query("k_align_insertions")
+def k_align_insertions(t: Tables) -> DataFrame:
+    """Every distinct replaced span aligned with up to one inserted group between
+    two tokens: ``cost``, what the same span costs without (``plain_cost``), and
+    the words that no token takes."""
+    found = (
+        _replaced_spans(t)
+        .withColumn("p", sequence.span_cost()("s", "t"))
+        .withColumn("r", sequence.span_steps(1)("s", "t"))
+    )
+    put_in = F.filter("r.steps", lambda x: x["token"].isNull() & (x["j2"] > x["j1"]))
+    words = F.flatten(F.transform(put_in, lambda x: F.slice(F.col("t"), x["j1"] + 1, x["j2"] - x["j1"])))
+    return found.select(
+        F.array_join("s", " ").alias("src_span"),
+        F.array_join("t", " ").alias("tgt_span"),
+        F.col("r.cost").alias("cost"),
+        F.col("p.cost").alias("plain_cost"),
+        F.array_join(words, " ").alias("inserted"),
+    )
+
+
+@query("k_align_cost", "SELECT true AS bordered, true AS bounded, true AS zero_is_free")
+def k_align_cost(t: Tables) -> DataFrame:
+    """Over all distinct replaced spans: borders cut the whole target span, the
+    cost is at most that of giving the last token everything, and at cost 0
+    every group is a transform."""
+    spans = _replaced_spans(t).withColumn("r", sequence.span_cost()("s", "t"))
     s, x = F.col("s"), F.col("t")
     borders = F.col("r.borders")
     n = F.size(s)

@@ -1,6 +1,7 @@
 """Span alignment against a plain dynamic program."""
 
 import random
+import tracemalloc
 
 import pytest
 
@@ -65,3 +66,108 @@ def test_alignment(reach):
 
 def test_demo_cost():
     assert S.align_spans([(["u", "looks", "nice"], ["You", "look", "good"])])[0] == (6, [0, 1, 2, 3])
+
+
+def plain_steps(source, targets, insertions, price=lev):
+    """Every state (tokens, words, insertions since the last token), one by one."""
+
+    def cost(s, group):
+        if len(group) < 2 and S._transforms(s, "".join(group), frozenset()):
+            return 0
+        if len(group) > 1 and s.split("-") == group:
+            return 0
+        return price(s, S.GAP.join(group))
+
+    n, m = len(source), len(targets)
+    best, came = {(0, 0, 0): 0}, {}
+
+    def offer(state, value, origin):
+        if value < best.get(state, 10**9):
+            best[state], came[state] = value, origin
+
+    for i in range(n + 1):
+        for j in range(m + 1):
+            for q in range(insertions + 1):
+                if (i, j, q) not in best:
+                    continue
+                have = best[i, j, q]
+                for k in range(j, m + 1):
+                    if i < n:
+                        offer((i + 1, k, 0), have + cost(source[i], targets[j:k]), (i, j, q))
+                    if q < insertions:
+                        offer((i, k, q + 1), have + len(S.GAP.join(targets[j:k])), (i, j, q))
+    ends = [best.get((n, m, q), 10**9) for q in range(insertions + 1)]
+    state, steps = (n, m, ends.index(min(ends))), []
+    while state in came:
+        i, j, q = came[state]
+        steps.append((i if state[0] > i else -1 - i, j, state[1]))
+        state = (i, j, q)
+    return min(ends), steps[::-1]
+
+
+def some_pairs(rng, count, tokens=5, words=10):
+    def word():
+        return "".join(rng.choice("abS-s") for _ in range(rng.randint(1, 4)))
+
+    return [([word() for _ in range(rng.randint(0, tokens))], [word() for _ in range(rng.randint(0, words))]) for _ in range(count)]
+
+
+@pytest.mark.parametrize("insertions", [1, 2])
+@pytest.mark.parametrize("parts", [False, True])
+def test_insertions(insertions, parts, monkeypatch):
+    if parts:  # every span in parts, a row of traceback at a time
+        monkeypatch.setattr(S, "_LONG", 0)
+        monkeypatch.setattr(S, "_PRICES", 7)
+        monkeypatch.setattr(S, "_BACK", 1)
+    pairs = some_pairs(random.Random(insertions), 150)
+    for pair, found in zip(pairs, S.align_steps(pairs, insertions=insertions)):
+        assert found == plain_steps(*pair, insertions)
+
+
+def test_own_cost():
+    def price(token, text):
+        return abs(len(token) - len(text)) + 2 * (token[:1] != text[:1])
+
+    pairs = some_pairs(random.Random(9), 100)
+    for pair, found in zip(pairs, S.align_steps(pairs, insertions=1, price=price)):
+        assert found == plain_steps(*pair, 1, price)
+    pairs = [p for p in pairs if p[0]]
+    for pair, (cost, borders) in zip(pairs, S.align_spans(pairs, price=price)):
+        total, steps = plain_steps(*pair, 0, price)
+        assert (cost, borders) == (total, [0, *(k for _, _, k in steps)])
+
+
+def test_parts_change_nothing(monkeypatch):
+    pairs = [p for p in some_pairs(random.Random(5), 40, tokens=30, words=60) if p[0]]
+    whole = S.align_spans(pairs)
+    monkeypatch.setattr(S, "_LONG", 0)
+    monkeypatch.setattr(S, "_PRICES", 50)
+    monkeypatch.setattr(S, "_BACK", 300)
+    assert S.align_spans(pairs) == whole
+
+
+def test_nothing_to_align():
+    assert S.align_steps([([], [])]) == [(0, [])]
+    assert S.align_steps([([], ["ab", "c"])], insertions=1) == [(6, [(-1, 0, 2)])]
+    assert S.align_spans([(["ab", "c"], [])]) == [(3, [0, 0, 0])]
+    with pytest.raises(ValueError):
+        S.align_steps([([], ["ab"])])
+
+
+def test_memory_of_a_long_span():
+    """40 tokens against 20,000 words: one row of m x m would be 3.2 GB."""
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 8))) for _ in range(500)]
+    source = [rng.choice(words) for _ in range(40)]
+    targets = [w for s in source for w in [s, *(rng.choice(words) for _ in range(3))]] * 125
+    tracemalloc.start()
+    try:
+        found = S.align_steps([(source, targets)], insertions=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    cost, steps = found[0]
+    assert steps[0][1] == 0 and steps[-1][2] == len(targets)
+    assert all(a[2] == b[1] for a, b in zip(steps, steps[1:]))
+    assert sum(1 for i, _, _ in steps if i >= 0) == 40
+    assert peak < 400 << 20
