@@ -6,16 +6,17 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.collections import argmax, bind, bound, dot
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .kmeans import Centres, assign, fit_kmeans
-from .ordering import with_index
+from .ordering import group_rank, with_index
 
 __all__ = [
     "Centres", "assign", "fit_kmeans", "nearest_centroid", "gate_route", "collapse_copies",
-    "pack_blocks", "eps_pairs", "components", "dbscan",
+    "pack_blocks", "candidate_pairs", "eps_pairs", "components", "dbscan",
 ]
 
 
@@ -83,44 +84,98 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def pack_blocks(points: DataFrame, column: str, block: int = BLOCK, pivots: int = 64) -> DataFrame:
+def pack_blocks(points: DataFrame, column: str, block: int = BLOCK, pivots: int | None = None) -> DataFrame:
     """Bounded blocks of unit vectors, near ones together.
 
-    Points are ordered by their nearest pivot and cut into blocks of constant
-    size, so a dense region becomes many blocks instead of one big group.
+    A point belongs to its nearest pivot; there it stands by its second nearest
+    pivot, and the points of a pivot are cut into blocks of constant size in this
+    order, so a dense region becomes many blocks instead of one big group and no
+    block mixes pivots. The driver holds the pivots alone: by default their
+    number is four times the root of the number of blocks needed (2,800 for a
+    billion points). A block's number is its pivot's, shifted by 32 bits, plus
+    its place there.
     """
+    if pivots is None:
+        pivots = math.ceil(4 * math.sqrt(points.count() / block)) or 1
     chosen = points.orderBy(F.xxhash64("id"), "id").limit(pivots).select(column).collect()
-    anchors = np.array([r[0] for r in chosen], dtype=np.float64)  # at most ``pivots`` rows
+    anchors = np.array([r[0] for r in chosen], dtype=np.float64)
+    anchors /= np.maximum(np.linalg.norm(anchors, axis=-1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("pivot bigint, second bigint")
+    def cell(v: pd.Series) -> pd.DataFrame:
+        score = np.stack(v.to_numpy()) @ anchors.T
+        first = score.argmax(axis=1)
+        score[np.arange(len(score)), first] = -np.inf
+        return pd.DataFrame({"pivot": first, "second": score.argmax(axis=1)})
+
+    near = points.select("id", "weight", F.col(column).alias("v"), cell(F.col(column)).alias("_cell"))
+    ranked = group_rank(near.select("id", "weight", "v", "_cell.*"), ["pivot"], ["second", "id"], "_rank")
+    number = F.shiftleft("pivot", 32) + F.floor(F.col("_rank") / block).cast("bigint")
+    cells = ranked.select("id", "weight", "v", number.alias("block"))
+    return cut_lineage(cells.groupBy("block").applyInPandas(_pack, _BLOCK_TYPE))
 
-    @F.pandas_udf(T.IntegerType())
-    def nearest(v: pd.Series) -> pd.Series:
-        return pd.Series((np.stack(v.to_numpy()) @ anchors.T).argmax(axis=1)).astype("int32")
 
-    near = points.select("id", "weight", F.col(column).alias("v"), nearest(F.col(column)).alias("_pivot"))
-    indexed = with_index(near, ["_pivot", "id"], "_idx")
-    cells = indexed.select("id", "weight", "v", F.floor(F.col("_idx") / block).cast("bigint").alias("block"))
-    return cut_lineage(cells.groupBy("block").applyInPandas(_pack, _BLOCK_TYPE))
+def _ball(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One ball around the balls of a run of blocks."""
+    centres = np.stack(pdf["centre"].to_numpy())
+    centre = centres.mean(axis=0)
+    length = np.linalg.norm(centre)
+    centre = centre / length if length > 0 else centres[0]
+    reach = np.arccos(np.clip(centres @ centre, -1, 1)) + pdf["radius"].to_numpy()
+    return pd.DataFrame({"run": [pdf["run"].iloc[0]], "centre": [centre], "radius": [float(reach.max())]})
+
+
+class _Side:
+    """Columns of one aliased side of a join."""
+
+    def __init__(self, alias: str):
+        self.alias = alias
 
+    def __getitem__(self, name: str) -> Column:
+        return F.col(f"{self.alias}.{name}")
 
-def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
-    """Block pairs that may hold neighbours: the angle between the centres less
-    both radii does not exceed the search angle (triangle inequality on angles)."""
+
+def _reachable(left: _Side, right: _Side, eps: float) -> Column:
+    """The angle between the centres less both radii does not exceed the search
+    angle (triangle inequality on angles)."""
     limit = math.acos(max(-1.0, 1.0 - eps)) + 1e-6
-    last = blocks.agg(F.max("block")).scalar()
-    head = blocks.select("block", "centre", "radius")
-    left = head.select(
-        F.col("block").alias("a"),
-        F.col("centre").alias("_ca"),
-        F.col("radius").alias("_ra"),
-        F.explode(F.sequence(F.col("block"), last)).alias("b"),
+    cosine = F.greatest(F.least(dot(left["centre"], right["centre"]), F.lit(1.0)), F.lit(-1.0))
+    return F.acos(cosine) - left["radius"] - right["radius"] <= limit
+
+
+def candidate_pairs(blocks: DataFrame, eps: float) -> DataFrame:
+    """``a, b`` (``a <= b``): block pairs in reachable runs, not yet compared by
+    their own balls.
+
+    Neighbouring blocks of a pivot form a run with a ball around theirs, of no
+    more blocks than the root of their number. Runs are thus
+    about as many as that root and the pivots, and runs meeting runs make a few
+    pairs per block; only blocks of reachable runs are paired at all.
+    """
+    step = F.greatest(F.ceil(F.sqrt(blocks.agg(F.count("*")).scalar())), F.lit(1))
+    place = F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    run = F.struct(F.shiftright("block", 32).alias("pivot"), F.floor(place / step).cast("bigint").alias("chunk")).alias("run")
+    heads = blocks.select("block", run, "centre", "radius")
+    balls = heads.groupBy("run").applyInPandas(_ball, "run struct<pivot:bigint,chunk:bigint>, centre array<double>, radius double")
+    runs = with_index(balls, ["run"], "number")
+    last = runs.agg(F.max("number")).scalar()
+    x = runs.select("run", "centre", "radius", "number", F.explode(F.sequence(F.col("number"), last)).alias("other")).alias("x")
+    y = runs.select(F.col("run").alias("other_run"), "centre", "radius", F.col("number").alias("other_number")).alias("y")
+    met = x.join(y, F.col("other") == F.col("other_number")).filter(
+        (F.col("number") == F.col("other_number")) | _reachable(_Side("x"), _Side("y"), eps)
     )
-    right = head.select(F.col("block").alias("b"), F.col("centre").alias("_cb"), F.col("radius").alias("_rb"))
-    cosine = F.greatest(F.least(dot(F.col("_ca"), F.col("_cb")), F.lit(1.0)), F.lit(-1.0))
-    pairs = left.join(right, "b").filter(F.acos(cosine) - F.col("_ra") - F.col("_rb") <= limit).select("a", "b")
-    side = ["ids", "weights", "vectors", "dim"]
-    a = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in side])
-    b = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in side])
-    return pairs.join(a, "a").join(b, "b")
+    own = heads.select("run", F.col("block").alias("a"))
+    theirs = heads.select(F.col("run").alias("other_run"), F.col("block").alias("b"))
+    paired = met.select("run", "other_run").join(own, "run").join(theirs, "other_run")
+    return paired.filter("run <> other_run or a <= b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
+    """``a, b`` (``a <= b``): block pairs whose balls may hold neighbours."""
+    x = blocks.select(F.col("block").alias("a"), "centre", "radius").alias("x")
+    y = blocks.select(F.col("block").alias("b"), "centre", "radius").alias("y")
+    meets = (F.col("a") == F.col("b")) | _reachable(_Side("x"), _Side("y"), eps)
+    return candidate_pairs(blocks, eps).join(x, "a").join(y, "b").filter(meets).select("a", "b")
 
 
 def _near(row, eps: float) -> np.ndarray:
@@ -132,7 +187,11 @@ def _near(row, eps: float) -> np.ndarray:
     return hit
 
 
-def _per_block_pair(blocks: DataFrame, eps: float, work, schema: str) -> DataFrame:
+def _per_block_pair(blocks: DataFrame, pairs: DataFrame, eps: float, work, schema: str) -> DataFrame:
+    side = ["ids", "weights", "vectors", "dim"]
+    a = blocks.select(F.col("block").alias("a"), *[F.col(c).alias(f"a_{c}") for c in side])
+    b = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"b_{c}") for c in side])
+
     def run(batches):
         for pdf in batches:
             for row in pdf.itertuples(index=False):
@@ -140,7 +199,7 @@ def _per_block_pair(blocks: DataFrame, eps: float, work, schema: str) -> DataFra
                 if len(out):
                     yield out
 
-    return _block_pairs(blocks, eps).mapInPandas(run, schema)
+    return pairs.join(a, "a").join(b, "b").mapInPandas(run, schema)
 
 
 def eps_pairs(vectors: DataFrame, key: str, column: str, eps: float, block: int = BLOCK) -> DataFrame:
@@ -150,9 +209,9 @@ def eps_pairs(vectors: DataFrame, key: str, column: str, eps: float, block: int
     its size is the number of such pairs; the density clustering below never
     builds it.
     """
-    blocks = pack_blocks(collapse_copies(vectors, key, column), column, block)
+    blocks = pack_blocks(cut_lineage(collapse_copies(vectors, key, column)), column, block)
 
-    def pairs(row, hit):
+    def found(row, hit):
         if row.a == row.b:
             hit = np.triu(hit, 1)
         i, j = np.nonzero(hit)
@@ -162,10 +221,10 @@ def eps_pairs(vectors: DataFrame, key: str, column: str, eps: float, block: int
         d = 1.0 - np.einsum("ij,ij->i", x[i], y[j])
         return pd.DataFrame({"a": np.minimum(ia, ib), "b": np.maximum(ia, ib), "distance": d})
 
-    return _per_block_pair(blocks, eps, pairs, "a bigint, b bigint, distance double")
+    return _per_block_pair(blocks, block_pairs(blocks, eps), eps, found, "a bigint, b bigint, distance double")
 
 
-def _neighbour_counts(blocks: DataFrame, eps: float) -> DataFrame:
+def _neighbour_counts(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
     def count(row, hit):
         wa, wb = np.asarray(row.a_weights), np.asarray(row.b_weights)
         left = pd.DataFrame({"id": row.a_ids, "n": hit @ wb})
@@ -173,7 +232,7 @@ def _neighbour_counts(blocks: DataFrame, eps: float) -> DataFrame:
             return left
         return pd.concat([left, pd.DataFrame({"id": row.b_ids, "n": hit.T @ wa})])
 
-    return _per_block_pair(blocks, eps, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return _per_block_pair(blocks, pairs, eps, count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _forest(ids_a: np.ndarray, ids_b: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -195,7 +254,7 @@ def _forest(ids_a: np.ndarray, ids_b: np.ndarray, hit: np.ndarray) -> list[tuple
     return [(x, find(x)) for x in parent if find(x) != x]
 
 
-def _core_edges(blocks: DataFrame, eps: float) -> DataFrame:
+def _core_edges(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
     """Spanning edges between core points: per block pair at most one edge per
     point, however many neighbours it has. ``weights`` flags core points here."""
 
@@ -204,10 +263,10 @@ def _core_edges(blocks: DataFrame, eps: float) -> DataFrame:
         found = _forest(np.asarray(row.a_ids)[ca], np.asarray(row.b_ids)[cb], hit[np.ix_(ca, cb)])
         return pd.DataFrame(found, columns=["src", "dst"])
 
-    return _per_block_pair(blocks, eps, edges, "src bigint, dst bigint")
+    return _per_block_pair(blocks, pairs, eps, edges, "src bigint, dst bigint")
 
 
-def _border_links(blocks: DataFrame, eps: float) -> DataFrame:
+def _border_links(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
     """``id, label``: the smallest cluster among the core neighbours of a point
     that is not core. ``weights`` holds a core point's label + 1, else 0."""
 
@@ -225,7 +284,7 @@ def _border_links(blocks: DataFrame, eps: float) -> DataFrame:
             return left
         return pd.concat([left, side(row.b_ids, row.b_weights, row.a_weights, hit.T)])
 
-    return _per_block_pair(blocks, eps, links, "id bigint, label bigint").groupBy("id").agg(F.min("label").alias("label"))
+    return _per_block_pair(blocks, pairs, eps, links, "id bigint, label bigint").groupBy("id").agg(F.min("label").alias("label"))
 
 
 def _with_flags(blocks: DataFrame, flags: DataFrame) -> DataFrame:
@@ -244,36 +303,88 @@ def _with_flags(blocks: DataFrame, flags: DataFrame) -> DataFrame:
     return blocks.drop("weights").join(per_block, "block")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def _shrink(batches):
+    """Links of one task with the same components, one per node at most: every
+    node is tied to the smallest it is linked with here. Every ``_HELD`` nodes
+    the forest goes out and a new one starts."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def forest() -> pa.RecordBatch:
+        links = [(x, find(x)) for x in parent]
+        links = [(x, top) for x, top in links if x != top]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"]
+        )
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > _HELD:
+            yield forest()
+            parent.clear()
+    yield forest()
+
+
+_HELD = 500_000
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "components")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``id, label`` with the smallest id of each connected component.
 
-    Every round ties a node to its smallest neighbour and follows that label
-    once more (pointer jumping), so long chains shrink geometrically. The hot
-    smallest id only ever sits on the grouped side, where ``min`` combines
-    before the shuffle.
+    The graph is contracted until no link is left. Each round shrinks the links
+    to forests inside the tasks, gives every node the one among itself and its
+    neighbours whose hash (another one each round) is smallest, and joins the
+    links with that choice; a node stays only while another chose it, so on
+    average a fixed share of the nodes goes each round, for chains and stars
+    alike. The choices are then followed back from the last round to the first,
+    and the smallest id per remaining node names the component. A node with a
+    third of all links is one row of the choices: its links are combined before
+    the shuffle when choosing, and split by adaptive execution when joined. Every
+    round is a written table: a checkpoint would keep the estimated size, which
+    multiplies with each join, where a file's size is true.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = cut_lineage(both.distinct())
-    labels = cut_lineage(
-        links.groupBy(F.col("src").alias("id")).agg(F.least(F.min("dst"), F.first("src")).alias("label"))
-    )
-    for _ in range(rounds):
-        offered = (
-            links.join(labels, links.dst == labels.id).groupBy("src").agg(F.min("label").alias("_near"))
-        )
-        moved = labels.join(offered, labels.id == offered.src, "left").select(
-            "id", "label", F.least("label", F.coalesce("_near", "label")).alias("next")
-        )
-        hop = labels.select(F.col("id").alias("_at"), F.col("label").alias("_hop"))
-        jumped = moved.join(hop, F.col("next") == F.col("_at"), "left").select(
-            "id", F.col("label").alias("old"), F.least("next", F.coalesce("_hop", "next")).alias("label")
-        )
-        fresh = cut_lineage(jumped)
-        changed = fresh.filter("old <> label").limit(1).count()
-        labels = fresh.select("id", "label")
-        if not changed:
-            return labels
-    raise RuntimeError("components did not settle; raise the number of rounds")
+    given = _stored(edges.select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")))
+    nodes = given.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = given.filter("a <> b")
+    choices = []
+    while True:
+        forest = _stored(links.mapInArrow(_shrink, "a bigint, b bigint").distinct())
+        if forest.isEmpty():
+            break
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(len(choices))), F.col(c).alias("node"))
+        both = forest.union(forest.select("b", "a"))
+        best = both.groupBy("a").agg(F.min(rank("b")).alias("_near"))
+        chosen = _stored(best.select(F.col("a").alias("node"), F.least("_near", rank("a"))["node"].alias("rep")))
+        choices.append(chosen)
+        x = chosen.select(F.col("node").alias("a"), F.col("rep").alias("x"))
+        y = chosen.select(F.col("node").alias("b"), F.col("rep").alias("y"))
+        links = forest.join(x, "a").join(y, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    if not choices:
+        return nodes.select("id", F.col("id").alias("label"))
+    tops = choices.pop()
+    while choices:
+        upper = tops.select(F.col("node").alias("rep"), F.col("rep").alias("_top"))
+        lower = choices.pop()
+        tops = _stored(lower.join(upper, "rep", "left").select("node", F.coalesce("_top", "rep").alias("rep")))
+    smallest = tops.groupBy("rep").agg(F.least(F.min("node"), F.col("rep")).alias("label"))
+    named = tops.join(smallest, "rep").select(F.col("node").alias("id"), "label")
+    return nodes.join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def dbscan(
@@ -283,17 +394,18 @@ def dbscan(
 
     A point is core with at least ``min_samples`` neighbours within ``eps``
     (copies and itself count); a border point joins the neighbouring cluster
-    with the smallest label. Three passes over pruned block pairs produce
+    with the smallest label. Three passes over one table of pruned block pairs produce
     counts, spanning edges and border links, each linear in the points.
     """
     points = cut_lineage(collapse_copies(vectors, key, column))
     blocks = pack_blocks(points, column, block)
-    core = cut_lineage(_neighbour_counts(blocks, eps).filter(F.col("n") >= min_samples).select("id"))
+    pairs = cut_lineage(block_pairs(blocks, eps))
+    core = cut_lineage(_neighbour_counts(blocks, pairs, eps).filter(F.col("n") >= min_samples).select("id"))
     flagged = cut_lineage(_with_flags(blocks, core.withColumn("flag", F.lit(1))))
-    edges = _core_edges(flagged, eps).union(core.select(F.col("id").alias("src"), F.col("id").alias("dst")))
+    edges = _core_edges(flagged, pairs, eps).union(core.select(F.col("id").alias("src"), F.col("id").alias("dst")))
     labels = components(edges)
     marked = cut_lineage(_with_flags(blocks, labels.select("id", (F.col("label") + 1).alias("flag"))))
-    border = _border_links(marked, eps)
+    border = _border_links(marked, pairs, eps)
     placed = labels.union(border)
     by_vector = points.join(placed, "id", "left").select(
         F.col(column).alias("_v"), F.coalesce("label", F.lit(-1)).alias("cluster")

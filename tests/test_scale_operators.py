@@ -96,6 +96,54 @@ def test_components_long_chain(spark):
     assert {r.label for r in cluster.components(edges).collect()} == {0}
 
 
+def test_components_of_random_graphs(spark, monkeypatch):
+    """Chains with shuffled ids, a hub, lone nodes; forests that break off early."""
+    monkeypatch.setattr(cluster, "_HELD", 3)
+    rng = np.random.default_rng(4)
+    names = rng.permutation(4000)
+    edges = [(names[i], names[i + 1]) for i in range(700)]
+    edges += [(names[800], names[i]) for i in range(801, 1500)]
+    edges += [(names[int(a)], names[int(b)]) for a, b in rng.integers(1500, 2600, size=(500, 2))]
+    edges += [(names[i], names[i]) for i in range(2700, 2720)] + edges[:50]
+    edges = [(int(a), int(b)) for a, b in edges]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(5)
+    got = cluster.components(df).collect()
+    assert {r.id: r.label for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+    assert cluster.components(df.limit(0)).count() == 0
+
+
+def test_far_blocks_are_never_paired(spark):
+    """32 far clusters of 64 points in blocks of up to 16: most block pairs of
+    other clusters are not even made, and the clusters come out whole."""
+    rng = np.random.default_rng(8)
+    centres = np.eye(32)
+    rows = [(i, list(map(float, centres[i % 32] + rng.normal(scale=0.01, size=32)))) for i in range(2048)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    blocks = cluster.pack_blocks(cluster.collapse_copies(df, "id", "v"), "v", 16, 128)
+    made = cluster.candidate_pairs(blocks, 0.05)
+    total = blocks.count()
+    assert 128 <= total <= 256 and made.count() < total * (total + 1) / 2 / 8
+    assert cluster.block_pairs(blocks, 0.05).count() <= made.count()
+    got = {r.id: r.cluster for r in cluster.dbscan(df, "id", "v", 0.05, 5, 16).collect()}
+    assert got == {i: i % 32 for i in range(2048)}
+
+
+def test_empty_vectors(spark):
+    none = spark.createDataFrame([], "id bigint, v array<double>")
+    assert cluster.dbscan(none, "id", "v").count() == 0
+    assert cluster.eps_pairs(none, "id", "v", 0.1).count() == 0
+
+
 def test_svd_matches_numpy(spark):
     m = np.random.default_rng(1).normal(size=(50, 6))
     df = spark.createDataFrame([(list(map(float, r)),) for r in m], "v array<double>").repartition(4)
