@@ -1,6 +1,7 @@
 """Span alignment against a plain dynamic program."""
 
 import random
+import time
 import tracemalloc
 
 import pytest
@@ -171,3 +172,31 @@ def test_memory_of_a_long_span():
     assert all(a[2] == b[1] for a, b in zip(steps, steps[1:]))
     assert sum(1 for i, _, _ in steps if i >= 0) == 40
     assert peak < 400 << 20
+
+
+def test_long_groups_cost_no_more():
+    """Few tokens against many unlike words: every best group is far longer than its
+    token, which took time in the square of the words."""
+    rng = random.Random(4)
+
+    def word(letters, most):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(1, most)))
+
+    pairs = [([word("abcdxyz", 12) for _ in range(60)], [word("abcdefgh", 9) for _ in range(900)]) for _ in range(8)]
+    start = time.process_time()
+    found = S.align_spans(pairs)
+    assert time.process_time() - start < 5
+    for (source, targets), (cost, borders) in zip(pairs, found):
+        assert cost == sum(lev(s, S.GAP.join(targets[j:k])) for s, j, k in zip(source, borders, borders[1:]))
+
+
+@pytest.mark.parametrize("cells", [1, 60, 5000])
+def test_spans_together(cells, monkeypatch):
+    """Spans of unlike sizes advanced together take nothing of their neighbours."""
+    monkeypatch.setattr(S, "_CELLS", cells)
+    pairs = some_pairs(random.Random(11), 200, tokens=7, words=9)
+    pairs += [(["s", "日本" * 40, "s"], ["日本" * 38, "x"]), (["a"], []), (["b", "a"], [])]
+    for insertions in (0, 1):
+        some = [p for p in pairs if p[0] or insertions]
+        for pair, found in zip(some, S.align_steps(some, insertions=insertions)):
+            assert found == plain_steps(*pair, insertions)
