@@ -12,7 +12,7 @@ from . import rules
 from .collections import bind, index_range
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-SENTENCE_PATTERN = r"[^.!?。！？\n]*[.!?。！？]+|[^.!?。！？\n]+"
+SENTENCE_END = r"(?<=[.!?。！？])(?![.!?。！？])|\n"
 SPACE = " \t\n\r\f\u000b"
 
 # Markup removal, in order: (pattern, replacement); patterns repeated for nesting.
@@ -61,9 +61,12 @@ def tokenize(c: Column, mode: str = "word") -> Column:
 
 
 def split_sentences(c: Column) -> Column:
-    """Sentence strings: split at line ends and after closing punctuation."""
-    pieces = F.regexp_extract_all(c, F.lit(SENTENCE_PATTERN), F.lit(0))
-    return F.filter(F.transform(pieces, strip), lambda s: s != "")
+    """Sentence strings: split at line ends and after closing punctuation.
+
+    Borders are looked for, not sentences: a negated class of these marks costs
+    Java ten times as much a character.
+    """
+    return F.filter(F.transform(F.split(c, SENTENCE_END), strip), lambda s: s != "")
 
 
 # ---- comment gates -------------------------------------------------------------

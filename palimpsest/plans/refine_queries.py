@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, text as tx
 from ..functions.bleu import bleu
+from ..functions.collections import bind
 from ..operators import pairing, refine
 from . import views as v
 from .bleu_sql import bleu_sql, pair_texts
@@ -252,10 +253,12 @@ def b_bernoulli_all(t: Tables) -> DataFrame:
 )
 def b_unchanged_filter(t: Tables) -> DataFrame:
     """Sentences with a marker word stand for the changed ones."""
-    s = F.col("sents")
-    changed = F.filter(s, lambda x: F.contains(x, F.lit(" the ")))
-    docs = t.documents.select("doc_id", tx.split_sentences(F.col("text")).alias("sents"))
-    return docs.filter(refine.unchanged_enough(F.size(s), F.size(changed), 10)).select("doc_id")
+
+    def enough(s: Column) -> Column:
+        changed = F.filter(s, lambda x: F.contains(x, F.lit(" the ")))
+        return refine.unchanged_enough(F.size(s), F.size(changed), 10)
+
+    return t.documents.filter(bind(tx.split_sentences(F.col("text")), enough)).select("doc_id")
 
 
 @query("b_shuffle")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import sequence, text as tx
-from ..functions.collections import bind, index_range
+from ..functions.collections import bind, index_range, present
 from ..operators import context as cx, diff, pairing
 from . import views as v
 from .catalog import Tables, query
@@ -190,14 +190,14 @@ def h_sentence_of_token(t: Tables) -> DataFrame:
     FROM near n JOIN marked m ON m.doc_id = n.doc_id LEFT JOIN d ON d.doc_id = n.doc_id AND d.i = n.p GROUP BY 1""",
 )
 def h_context_window(t: Tables) -> DataFrame:
-    w = _marked(t).filter(F.size("diff") > 0).select(
-        "doc_id", cx.context_window(F.col("tokens"), F.col("diff"), 2).alias("w")
-    )
-    return w.select(
-        "doc_id",
-        F.array_join(F.transform("w", lambda x: x["token"]), " ").alias("tokens"),
-        F.array_join(F.transform("w", lambda x: x["action"].cast("string")), "").alias("actions"),
-    )
+    def joined(w: Column) -> Column:
+        return F.struct(
+            F.array_join(F.transform(w, lambda x: x["token"]), " ").alias("tokens"),
+            F.array_join(F.transform(w, lambda x: x["action"].cast("string")), "").alias("actions"),
+        )
+
+    window = bind(cx.context_window(F.col("tokens"), F.col("diff"), 2), joined)
+    return _marked(t).select("doc_id", present(F.when(F.size("diff") > 0, window)))
 
 
 @query(
@@ -211,9 +211,9 @@ def h_context_window(t: Tables) -> DataFrame:
     SELECT doc_id, CAST(s2 AS INTEGER) AS "start", CAST(e2 AS INTEGER) AS "end", CAST(coalesce(list_sum(z[1 : s2]), 0) AS INTEGER) AS "offset" FROM r2""",
 )
 def h_extend_sentences(t: Tables) -> DataFrame:
-    docs = v.sentence_tokens(t).filter(F.size("sents") > 0)
     at = F.floor(F.size("sents") / 2).cast("int")
-    return docs.select("doc_id", cx.extend_sentences(F.col("sents"), at, at, 30, 2).alias("x")).select("doc_id", "x.*")
+    grown = F.when(F.size("sents") > 0, cx.extend_sentences(F.col("sents"), at, at, 30, 2))
+    return v.sentence_tokens(t).select("doc_id", present(grown))
 
 
 @query(
@@ -227,16 +227,10 @@ def h_extend_sentences(t: Tables) -> DataFrame:
     CAST(coalesce(list_sum(list_transform(sents[1 : st], lambda x: len(x))), 0) AS INTEGER) AS "offset" FROM f WHERE en >= st""",
 )
 def h_map_context(t: Tables) -> DataFrame:
-    docs = v.sentence_tokens(t).filter(F.size("sents") > 0)
     third = F.floor(F.size("sents") / 3).cast("int")
     two = F.floor(F.size("sents") * 2 / 3).cast("int")
-    located = docs.select(
-        "doc_id",
-        F.get("sents", third).alias("a"),
-        F.get("sents", two).alias("b"),
-        "sents",
-    ).select("doc_id", cx.map_context(F.col("sents"), F.col("a"), F.col("b")).alias("x"))
-    return located.filter("x IS NOT NULL").select("doc_id", "x.*")
+    found = cx.map_context(F.col("sents"), F.get("sents", third), F.get("sents", two))
+    return v.sentence_tokens(t).select("doc_id", present(F.when(F.size("sents") > 0, found)))
 
 
 @query(
