@@ -1,8 +1,15 @@
-"""Sentence BLEU as one native expression over token arrays."""
+"""Sentence BLEU as one native expression over token arrays, and an Arrow helper
+that compares a text with several others."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+import math
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from .collections import bind, index_range, numbered_copies
 
@@ -68,20 +75,63 @@ def bleu_of_profiles(ref: Column, hyp: Column) -> Column:
     )
 
 
-def bleu_above(ref: Column, hyp: Column, threshold: float) -> Column:
-    """``bleu > threshold`` for profiles.
+def lengths_allow(ref_len: Column, hyp_len: Column, threshold: float) -> Column:
+    """Whether BLEU of texts of these lengths can exceed ``threshold``.
 
-    The brevity penalty and the unigram precision both bound the score from
-    above, exactly; higher orders are compared only where the bounds allow a hit.
+    The brevity penalty bounds the score, and a text of ``hyp_len`` words shares at
+    most ``ref_len`` of them.
     """
-    r, h = ref["len"].cast("double"), hyp["len"].cast("double")
+    r, h = ref_len.cast("double"), hyp_len.cast("double")
     penalty = F.least(F.exp(1.0 - r / h), F.lit(1.0))
-    lengths_allow = (h > 0) & (penalty > threshold - 1e-9)
-    shared = F.size(F.array_intersect(ref["g1"], hyp["g1"])) / h
-    words_allow = penalty * F.pow(shared, F.lit(1.0 / MAX_ORDER)) > threshold - 1e-9
-    return F.when(
-        lengths_allow, F.when(words_allow, bleu_of_profiles(ref, hyp) > threshold).otherwise(F.lit(False))
-    ).otherwise(F.lit(False))
+    words = F.pow(F.least(r / h, F.lit(1.0)), F.lit(1.0 / MAX_ORDER))
+    return F.when((h > 0) & (r > 0), penalty * words > threshold - 1e-9).otherwise(F.lit(False))
+
+
+def _counts(text: str, n: int) -> Counter:
+    tokens = text.split(" ")
+    return Counter(zip(*(tokens[i:] for i in range(n))))
+
+
+def text_bleu_above(ref: str, hyp: str, threshold: float, counts=_counts) -> bool:
+    """``bleu > threshold`` for two texts of tokens joined by spaces, by the rule of
+    ``combine``; orders are counted until what is left cannot reach the threshold."""
+    r, h = ref.count(" ") + 1, hyp.count(" ") + 1
+    penalty = 1.0 if h > r else math.exp(1.0 - r / h)
+    log_sum, empty = 0.0, 0
+    for n in range(1, MAX_ORDER + 1):
+        theirs = counts(ref, n)
+        hit = sum(min(c, theirs[g]) for g, c in counts(hyp, n).items() if g in theirs)
+        total = max(h - n + 1, 1)
+        if n == 1 and not hit:
+            return False
+        empty += not hit
+        log_sum += math.log(hit / total if hit else 1.0 / (2.0**empty * total)) / MAX_ORDER
+        if penalty * math.exp(log_sum) <= threshold - 1e-9:
+            return False
+    return penalty * math.exp(log_sum) > threshold
+
+
+def any_above(thresholds: list[float]):
+    """UDF: whether some candidate reaches every threshold, one per kind of text.
+
+    Takes per kind the own text (the hypothesis) and the candidates' texts (the
+    references), tokens joined by spaces, none of them empty.
+    """
+
+    @F.pandas_udf(T.BooleanType())
+    def run(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        counts = lru_cache(maxsize=64)(_counts)  # rows next to each other share their texts
+        for batch in columns:
+            own, others = batch[::2], batch[1::2]
+            yield pd.Series(
+                [
+                    any(all(text_bleu_above(r, h, x, counts) for r, h, x in zip(refs, texts, thresholds)) for refs in zip(*found))
+                    for texts, found in zip(zip(*own), zip(*others))
+                ],
+                dtype=bool,
+            )
+
+    return run.asNondeterministic()
 
 
 def bleu(ref: Column, hyp: Column) -> Column:

@@ -7,11 +7,13 @@ for rows to keep, so any of them serves ``filter``, ``split_rows`` and
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, sequence, text as tx
 from ..functions.collections import bind, bound
-from ..functions.bleu import bleu, bleu_above, profile
+from ..functions.bleu import MAX_ORDER, any_above, bleu, lengths_allow
 from .ordering import halo_blocks, with_index
 
 
@@ -94,29 +96,39 @@ def overlap_flags(
     Both members of such a pair are flagged. Rows sit in blocks that overlap by
     the frame, so the scan order may cross any number of tasks.
     """
-    def digitless(c: str) -> Column:
-        return profile(tx.tokenize(F.regexp_replace(c, r"[0-9]+", "")))
+    least = {"comment": comment_min, "src": source_min}
+
+    def words(c: str) -> Column:
+        def measured(t: Column) -> Column:
+            return F.struct(F.size(t).alias("n"), F.array_join(t, " ").alias("t"))
+
+        return bind(tx.tokenize(F.regexp_replace(c, r"[0-9]+", "")), measured)
 
     indexed = with_index(pairs, order, "_idx")
-    # Profiles are built after the rows have moved: they are bulky and cost far
-    # more than their bytes suggest, so the number of tasks is set, not merged.
+    # Comparing costs far more than moving the texts suggests, so the number of
+    # tasks is set, not merged.
     tasks = 4 * int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = halo_blocks(indexed, "_idx", before, after, block=64).repartition(tasks, "_block")
-    profiled = placed.withColumn("_t", F.struct(digitless("comment").alias("c"), digitless("src").alias("s")))
     w = Window.partitionBy("_block").orderBy("_idx")
     shifts = [-k for k in range(1, before + 1)] + list(range(1, after + 1))
-    near = profiled.select("*", *[F.lag("_t", -k).over(w).alias(f"_n{k + before}") for k in shifts])
+    measured = placed.withColumn("_t", F.struct(*[words(c).alias(c) for c in least]))
+    near = measured.select("*", F.filter(F.array(*[F.lag("_t", -k).over(w) for k in shifts]), lambda x: x.isNotNull()).alias("_n"))
     own = F.col("_t")
 
-    def alike(other: Column) -> Column:
-        same = F.when(
-            bleu_above(other["c"], own["c"], comment_min), bleu_above(other["s"], own["s"], source_min)
-        )
-        return F.coalesce(F.when(other.isNotNull(), same), F.lit(False))
+    def close(other: Column) -> Column:
+        allowed = [lengths_allow(other[c]["n"], own[c]["n"], score) for c, score in least.items()]
+        return F.coalesce(reduce(lambda a, b: a & b, allowed), F.lit(False))
+
+    def same(other: Column) -> Column:  # equal texts with words of all orders score 1
+        return reduce(lambda a, b: a & b, [(other[c]["n"] >= MAX_ORDER) & (other[c]["t"] == own[c]["t"]) & (x < 1) for c, x in least.items()])
 
-    # one expression over the frame instead of one per neighbour: planning time
-    hit = F.exists(F.array(*[F.col(f"_n{k + before}") for k in shifts]), alike)
-    return near.filter("_own").select(*pairs.columns, hit.alias("overlap"))
+    # a few numbers rule out most neighbours, equal ones settle the row
+    left = near.filter("_own").withColumn("_n", F.filter("_n", close)).withColumn("_same", F.exists("_n", same))
+    rest = F.when(F.col("_same"), F.slice("_n", 1, 0)).otherwise(F.col("_n"))
+    left = left.withColumn("_n", rest)
+    texts = [x for c in least for x in (F.when(F.size("_n") > 0, own[c]["t"]), F.transform("_n", lambda x: x[c]["t"]))]  # noqa: B023
+    alike = any_above(list(least.values()))(*texts)
+    return left.withColumn("_alike", alike).select(*pairs.columns, (F.col("_same") | F.col("_alike")).alias("overlap"))
 
 
 def with_meaningless_flag(pairs: DataFrame) -> DataFrame:
