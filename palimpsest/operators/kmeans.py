@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 _ROWS = 4096
 _TASK_BYTES = 4 << 20  # a task with less than this costs more to start than to run
-_DIRECT = 64  # so many partial results go to the driver unmerged
+_DIRECT = 16  # so many partial results go to the driver unmerged
+_FAN = 16  # partial results that a task merges
 
 
 @dataclass(frozen=True)
@@ -93,7 +94,7 @@ def reduced(blocks: DataFrame, work: Callable, merge: Callable):
     parts = blocks.mapInArrow(first, "part binary")
     tasks = blocks.rdd.getNumPartitions()
     while tasks > _DIRECT:
-        tasks = math.isqrt(tasks)
+        tasks = math.ceil(tasks / _FAN)
         parts = parts.repartition(tasks).mapInArrow(again, "part binary")
     total = None
     for r in parts.collect():  # at most _DIRECT rows

@@ -112,3 +112,17 @@ def test_few_and_equal_vectors(spark, tmp_path):
     assert rows[9] is None and {rows[i] for i in range(5)} == {0}
     with pytest.raises(ValueError):
         kmeans.fit_kmeans(df.filter("false"), "v", k=2)
+
+
+def test_few_partial_results_reach_the_driver(spark):
+    """Forty tasks sent one result each in every pass; merges in tasks leave no trace here."""
+    vectors = spark.range(400, numPartitions=40).selectExpr("array(cast(id as double), 1d) AS v")
+    blocks = kmeans.pack(vectors, "v")
+    calls = []
+
+    def merge(a, b):
+        calls.append(1)
+        return a + b
+
+    assert kmeans.reduced(blocks, lambda x: x.sum(0), merge).tolist() == [400 * 399 / 2, 400.0]
+    assert len(calls) < 16
