@@ -6,6 +6,8 @@ per token) as ordered fragments, so no positions shift.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, tags
@@ -39,27 +41,46 @@ def _appended(ops: Column) -> Column:
     return F.transform(kept, lambda o: _item(F.substring(o, len(rules.APPEND) + 1, 1 << 30), 1))
 
 
-def _merge_starts(firsts: Column) -> Column:
-    """Per token where its run of merge marks starts (an unmarked token: itself)."""
+_KEEP, _MERGE, _DELETE, _VERB, _TRANSFORM, _REPLACE, _APPEND, _LIKE_DELETE = range(8)
 
-    def both(a: Column, b: Column) -> Column:
-        return _is(a, "$MERGE_") & _is(b, "$MERGE_")
 
-    return F.flatten(
-        F.transform(run_bounds(firsts, both), lambda r: F.array_repeat(r["lo"], r["hi"] - r["lo"] + 1))
+def _kinds(firsts: Column, replace: str = rules.REPLACE, append: str = rules.APPEND) -> Column:
+    """A number per first op: the fragments look at their neighbours' too, and
+    comparing numbers costs far less than comparing starts of strings."""
+    return F.transform(
+        firsts,
+        lambda f: F.when(_is(f, "$MERGE_"), _MERGE)
+        .when(f == rules.DELETE, _DELETE)
+        .when(_is(f, rules.VERB), _VERB)
+        .when(_is(f, "$TRANSFORM"), _TRANSFORM)
+        .when(_is(f, replace), _REPLACE)
+        .when(_is(f, append), _APPEND)
+        .when(_is(f, rules.DELETE), _LIKE_DELETE)
+        .otherwise(_KEEP),
     )
 
 
-def _merge_end(tokens: Column, firsts: Column, starts: Column, i: Column) -> Column:
-    """The joined run that ends at token ``i`` (marked tokens plus this one)."""
-    after_mark = _is(F.get(firsts, i - 1), "$MERGE_")
-    start = F.when(after_mark, F.get(starts, i - 1)).otherwise(F.get(starts, i))
+def _by_run(x: Column, single: Callable[[Column, Column], Column], merged: Callable[[Column, Column, Column], Column]) -> Column:
+    """Items of all tokens, run by run: a run is one token, or tokens marked to be
+    merged with the one after them. ``x`` has tokens ``t``, first ops ``f`` and
+    their kinds ``k``; ``single(i, kind)`` and ``merged(lo, hi, item)`` give a
+    run's items."""
+    toks, firsts, kinds = x["t"], x["f"], x["k"]
 
-    def join(lo: Column) -> Column:
+    def item(lo: Column, hi: Column) -> Column:
         glue = F.when(_is(F.get(firsts, lo), rules.MERGE_HYPHEN), F.lit("-")).otherwise(F.lit(""))
-        return F.call_function("array_join", F.slice(tokens, lo + 1, i - lo + 1), glue)
+        return _items((F.call_function("array_join", F.slice(toks, lo + 1, hi - lo + 1), glue), 0))
+
+    def run(starts: Column) -> Column:
+        def one(lo: Column, number: Column) -> Column:
+            last = F.coalesce(F.get(starts, number + 1), F.size(kinds)) - 1
+            joined = bind(last, lambda hi: merged(lo, hi, item(lo, hi)))
+            kind = F.get(kinds, lo)
+            return F.when(kind == _MERGE, joined).otherwise(single(lo, kind))
 
-    return _items((bind(start, join), 0))
+        return F.flatten(F.transform(starts, one))
+
+    return bind(F.filter(index_range(F.size(kinds)), lambda i: (i == 0) | (F.get(kinds, i - 1) != _MERGE)), run)
 
 
 def has_generation_op(ops: Column, include_verb: bool = False) -> Column:
@@ -72,7 +93,7 @@ def has_generation_op(ops: Column, include_verb: bool = False) -> Column:
             hit = hit | F.startswith(o, F.lit(s))
         return hit
 
-    return F.exists(F.flatten(ops), any_start)
+    return F.exists(ops, lambda own: F.exists(own, any_start))
 
 
 def tagging_record(line: Column) -> Column:
@@ -93,25 +114,26 @@ def generation_record(tokens: Column, ops: Column, keep_delete: bool = True) ->
     """
 
     def build(x: Column) -> Column:
-        toks, all_ops, firsts, starts = x["t"], x["o"], x["f"], x["m"]
+        toks, all_ops, firsts, kinds = x["t"], x["o"], x["f"], x["k"]
+
+        def deletes(i: Column) -> Column:
+            return F.get(kinds, i).isin(_DELETE, _LIKE_DELETE)
 
-        def fragment(o: Column, i: Column) -> Column:
-            tok = F.get(toks, i)
-            first = F.get(firsts, i)
-            prev, nxt = F.get(firsts, i - 1), F.get(firsts, i + 1)
-            extra = _appended(o)
+        def single(i: Column, kind: Column) -> Column:
+            tok, first, o = F.get(toks, i), F.get(firsts, i), F.get(all_ops, i)
             prev_open = (
-                _is(prev, rules.DELETE)
+                deletes(i - 1)
                 & (F.size(F.get(all_ops, i - 1)) == 1)
-                & ~_is(F.get(firsts, i - 2), "$MERGE_")  # that token went into a merged run
+                & F.coalesce(F.get(kinds, i - 2) != _MERGE, F.lit(True))  # that token went into a merged run
             )
-            next_joins = _is(nxt, rules.DELETE) & (F.size(o) == 1)
+            next_joins = deletes(i + 1) & (F.size(o) == 1)
+            opened, closed = F.coalesce(prev_open, F.lit(False)), F.coalesce(next_joins, F.lit(False))
+            bare = _items((tok, 0))
             deleted = (
-                F.concat(
-                    F.when(prev_open, _none()).otherwise(_items((rules.DELETE_OPEN, 0))),
-                    _items((tok, 0)),
-                    F.when(next_joins, _none()).otherwise(_items((rules.DELETE_CLOSE, 0))),
-                )
+                F.when(opened & closed, bare)
+                .when(opened, _items((tok, 0), (rules.DELETE_CLOSE, 0)))
+                .when(closed, _items((rules.DELETE_OPEN, 0), (tok, 0)))
+                .otherwise(_items((rules.DELETE_OPEN, 0), (tok, 0), (rules.DELETE_CLOSE, 0)))
                 if keep_delete
                 else _none()
             )
@@ -121,70 +143,64 @@ def generation_record(tokens: Column, ops: Column, keep_delete: bool = True) ->
                 (rules.VERB_CLOSE, 0),
                 (F.substring(first, len(rules.VERB) + 1, 1 << 30), 1),
             )
-            new_word = _items((F.substring(first, len(rules.REPLACE) + 1, 1 << 30), 1))
+            new_word = (F.substring(first, len(rules.REPLACE) + 1, 1 << 30), 1)
             replaced = (
-                F.concat(_items((rules.DELETE_OPEN, 0), (tok, 0), (rules.DELETE_CLOSE, 0)), new_word)
+                _items((rules.DELETE_OPEN, 0), (tok, 0), (rules.DELETE_CLOSE, 0), new_word)
                 if keep_delete
-                else new_word
+                else _items(new_word)
             )
-            merging = _is(first, "$MERGE_")
-            ends_merge = _is(prev, "$MERGE_") & ~merging
-            last_token = i == F.size(toks) - 1
             own = (
-                F.when(merging & ~last_token, _none())
-                .when(merging | ends_merge, _merge_end(toks, firsts, starts, i))
-                .when(first == rules.DELETE, deleted)
-                .when(_is(first, rules.VERB), verb)
-                .when(_is(first, "$TRANSFORM"), _plain(tags.apply_tag(tok, first)))
-                .when(_is(first, rules.REPLACE), replaced)
-                .otherwise(_items((tok, 0)))
+                F.when(kind.isin(_KEEP, _APPEND, _LIKE_DELETE), bare)
+                .when(kind == _DELETE, deleted)
+                .when(kind == _REPLACE, replaced)
+                .when(kind == _VERB, verb)
+                .otherwise(_plain(tags.apply_tag(tok, first)))
             )
-            return F.concat(own, extra)
+            return F.when((F.size(o) == 1) & (kind != _APPEND), own).otherwise(F.concat(own, _appended(o)))
 
-        return F.flatten(F.transform(all_ops, fragment))
+        def merged(lo: Column, hi: Column, item: Column) -> Column:
+            inside = F.flatten(F.transform(F.slice(all_ops, lo + 1, hi - lo), _appended))
+            return F.concat(inside, item, _appended(F.get(all_ops, hi)))
 
+        return _by_run(x, single, merged)
+
+    firsts = F.transform(ops, lambda o: F.get(o, F.lit(0)))
     return bind(
-        F.struct(tokens.alias("t"), ops.alias("o"), F.transform(ops, lambda o: F.get(o, F.lit(0))).alias("f")),
-        lambda x: bind(F.struct(x["t"], x["o"], x["f"], _merge_starts(x["f"]).alias("m")), build),
+        F.struct(tokens.alias("t"), ops.alias("o"), firsts.alias("f")),
+        lambda x: bind(F.struct(x["t"], x["o"], x["f"], _kinds(x["f"]).alias("k")), build),
     )
 
 
 def inference_record(tokens: Column, tags_: Column, slots: int = 4, keep_delete: bool = True) -> Column:
     """Like ``generation_record`` from one predicted tag per token; every place
     to be written is ``slots`` mask tokens."""
-    masks = F.array_repeat(_item(F.lit(rules.MASK), 1), slots)
+    masks = [(rules.MASK, 1)] * slots
 
     def build(x: Column) -> Column:
-        toks, all_tags, starts = x["t"], x["f"], x["m"]
+        toks, all_tags = x["t"], x["f"]
+
+        def single(i: Column, kind: Column) -> Column:
+            tok, tag = F.get(toks, i), F.get(all_tags, i)
+            bracket = [(rules.DELETE_OPEN, 0), (tok, 0), (rules.DELETE_CLOSE, 0)] if keep_delete else []
+
+            def made(*pairs: tuple) -> Column:
+                return _items(*pairs) if pairs else _none()
 
-        def fragment(tag: Column, i: Column) -> Column:
-            tok = F.get(toks, i)
-            prev = F.get(all_tags, i - 1)
-            bracket = (
-                _items((rules.DELETE_OPEN, 0), (tok, 0), (rules.DELETE_CLOSE, 0)) if keep_delete else _none()
-            )
-            merging = _is(tag, "$MERGE_")
             return (
-                F.when(merging & (i < F.size(toks) - 1), _none())
-                .when(merging | _is(prev, "$MERGE_"), _merge_end(toks, all_tags, starts, i))
-                .when(tag == rules.KEEP, _items((tok, 0)))
-                .when(tag == rules.DELETE, bracket)
-                .when(
-                    _is(tag, rules.VERB),
-                    F.concat(_items((rules.VERB_OPEN, 0), (tok, 0), (rules.VERB_CLOSE, 0)), masks),
-                )
-                .when(_is(tag, "$TRANSFORM"), _plain(tags.apply_tag(tok, tag)))
-                .when(_is(tag, "$REPLACE"), F.concat(bracket, masks))
-                .when(_is(tag, "$APPEND"), F.concat(_items((tok, 0)), masks))
-                .otherwise(_items((tok, 0)))
+                F.when(kind.isin(_KEEP, _LIKE_DELETE), _items((tok, 0)))
+                .when(kind == _DELETE, made(*bracket))
+                .when(kind == _VERB, _items((rules.VERB_OPEN, 0), (tok, 0), (rules.VERB_CLOSE, 0), *masks))
+                .when(kind == _TRANSFORM, _plain(tags.apply_tag(tok, tag)))
+                .when(kind == _REPLACE, made(*bracket, *masks))
+                .otherwise(_items((tok, 0), *masks))
             )
 
-        return F.flatten(F.transform(all_tags, fragment))
+        return _by_run(x, single, lambda lo, hi, item: item)
 
     plain = F.transform(tags_, lambda t: F.regexp_replace(t, "^B-", ""))
     return bind(
         F.struct(tokens.alias("t"), plain.alias("f")),
-        lambda x: bind(F.struct(x["t"], x["f"], _merge_starts(x["f"]).alias("m")), build),
+        lambda x: bind(F.struct(x["t"], x["f"], _kinds(x["f"], "$REPLACE", "$APPEND").alias("k")), build),
     )
 
 

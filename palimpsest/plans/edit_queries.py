@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules, sequence, tags, text as tx
+from ..functions.collections import bind, present
 from ..operators import annotate as an, lookups, records as rec
 from . import views as v
 from .catalog import Tables, query
@@ -224,22 +225,18 @@ def _kind(w: Column) -> Column:
 
 def _ops(w: Column) -> Column:
     """Op list of a word, by its length."""
-    k = _kind(w)
-
-    def ops(*names: str) -> Column:
-        return F.array(*[F.lit(n) for n in names])
-
-    return (
-        F.when(k == 0, ops(rules.DELETE))
-        .when(k == 1, ops("$REPLACE_new_word"))
-        .when(k == 2, ops(rules.KEEP))
-        .when(k == 3, ops("$APPEND_more"))
-        .when(k == 4, ops(rules.DELETE))
-        .when(k == 5, ops(rules.PLURAL, "$APPEND_x", "$APPEND_y"))
-        .when(k == 6, ops(rules.DELETE, "$APPEND_tail"))
-        .when(k == 7, ops("$TRANSFORM_VERB-done"))
-        .otherwise(ops(rules.MERGE_HYPHEN))
-    )
+    by_kind = [
+        [rules.DELETE],
+        ["$REPLACE_new_word"],
+        [rules.KEEP],
+        ["$APPEND_more"],
+        [rules.DELETE],
+        [rules.PLURAL, "$APPEND_x", "$APPEND_y"],
+        [rules.DELETE, "$APPEND_tail"],
+        ["$TRANSFORM_VERB-done"],
+        [rules.MERGE_HYPHEN],
+    ]
+    return F.get(F.array(*[F.array(*[F.lit(n) for n in names]) for names in by_kind]), _kind(w))
 
 
 OPS_SQL = """CASE k WHEN 0 THEN ['$DELETE'] WHEN 1 THEN ['$REPLACE_new_word'] WHEN 2 THEN ['$KEEP'] WHEN 3 THEN ['$APPEND_more'] WHEN 4 THEN ['$DELETE']
@@ -349,7 +346,7 @@ def i_tagging_records(t: Tables) -> DataFrame:
     )
 
 
-def _items(c: str) -> Column:
+def _items(c: str | Column) -> Column:
     return F.array_join(F.transform(c, lambda x: F.concat(x["token"], F.lit("/"), x["mask"].cast("string"))), " ")
 
 
@@ -374,9 +371,14 @@ GROUPS_SQL = """g0 AS (SELECT *, lag(k) OVER w AS pk, lead(k) OVER w AS nk, lag(
     HAVING doc_id IN (SELECT doc_id FROM n WHERE k IN (1, 3, 5, 6))""",
 )
 def i_generation_records(t: Tables) -> DataFrame:
-    rows = _tokens(t).withColumn("ops", F.transform("tokens", _ops)).filter(rec.has_generation_op(F.col("ops")))
-    made = rows.select("doc_id", rec.generation_record(F.col("tokens"), F.col("ops")).alias("r"))
-    return made.select("doc_id", F.md5(_items("r")).alias("record"))
+    def record(x: Column) -> Column:
+        made = rec.generation_record(x["t"], x["o"])
+        return F.when(rec.has_generation_op(x["o"]), F.struct(F.md5(_items(made)).alias("record")))
+
+    def of_tokens(tokens: Column) -> Column:
+        return bind(F.struct(tokens.alias("t"), F.transform(tokens, _ops).alias("o")), record)
+
+    return t.documents.select("doc_id", present(bind(tx.words(F.col("text")), of_tokens)))
 
 
 @query(
