@@ -70,13 +70,15 @@ def _group_edits(pos: Column, s: Column, group: Column, verb: Column | None) ->
             ),
         )
 
-    scored = F.transform(
-        group,
-        lambda w: F.struct(
-            tags.word_tag(s, w, known(w)).alias("tag"),
-            F.when(tags.word_tag(s, w, known(w)).isNotNull(), F.lit(0)).otherwise(F.levenshtein(s, w)).alias("cost"),
-        ),
-    )
+    def score(w: Column) -> Column:
+        return bind(
+            tags.word_tag(s, w, known(w)),
+            lambda tag: F.struct(
+                tag.alias("tag"), F.when(tag.isNotNull(), F.lit(0)).otherwise(F.levenshtein(s, w)).alias("cost")
+            ),
+        )
+
+    scored = F.transform(group, score)
     return (
         F.when(n == 0, F.array(_edit(pos, F.lit(rules.DELETE))))
         .when(

@@ -11,6 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules, text as tx
+from ..functions.collections import bind, present
 from .ordering import group_rank, halo_blocks, previous_in_group, with_index
 
 HOST = "https://en.wikipedia.org"
@@ -67,14 +68,18 @@ def sections_of_pairs(pairs: DataFrame, max_chars: int | None = None, compat: bo
     """Cut the commented section on both sides and strip its markup; pairs with
     an empty side are left out, and only on request those with a side of
     ``max_chars`` or more."""
-    cut = pairs.withColumn(
-        "src_text", tx.strip_markup(tx.section_text(F.col("parent_text"), F.col("title"), compat))
-    ).withColumn("tgt_text", tx.strip_markup(tx.section_text(F.col("text"), F.col("title"), compat)))
-    for c in ("src_text", "tgt_text"):
-        cut = cut.filter(F.char_length(c) > 0)
+    def body(text: str) -> Column:
+        return tx.strip_markup(tx.section_text(F.col(text), F.col("title"), compat))
+
+    def usable(sides: Column) -> Column:
+        sizes = [F.char_length(sides[c]) for c in ("src_text", "tgt_text")]
+        ok = (sizes[0] > 0) & (sizes[1] > 0)
         if max_chars is not None:
-            cut = cut.filter(F.char_length(c) < max_chars)
-    return cut
+            ok = ok & (sizes[0] < max_chars) & (sizes[1] < max_chars)
+        return F.when(ok, sides)
+
+    sides = F.struct(body("parent_text").alias("src_text"), body("text").alias("tgt_text"))
+    return pairs.drop("src_text", "tgt_text").select("*", present(bind(sides, usable)))
 
 
 def with_diff_url(pairs: DataFrame, host: str = HOST) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest import plans
-
+from palimpsest.operators import pairing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,3 +25,11 @@ def test_binding_does_not_copy_the_result(spark):
     assert [r.a for r in df.orderBy("a").collect()] == [[1, 2], [2, 4], [3, 6]]
     assert "transform(" not in plan(df)
 
+
+def test_sections_are_cut_once(spark):
+    df = spark.createDataFrame([("A", "== A ==\nold\n== B ==\nx", "== A ==\nnew\n== B ==\nx")], "title string, parent_text string, text string")
+    cut = pairing.sections_of_pairs(df)
+    assert [(r.src_text, r.tgt_text) for r in cut.collect()] == [("old", "new")]
+    assert plan(cut).count("regexp_instr(") == 2  # one a side
+    assert pairing.sections_of_pairs(df, max_chars=3).isEmpty()
+
