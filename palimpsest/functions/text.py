@@ -238,7 +238,8 @@ def normalize_line(c: Column) -> Column:
 
 
 def normalize_number(token: Column) -> Column:
-    return F.when(token.rlike("^[0-9]"), F.lit(rules.NUMBER)).otherwise(token)
+    starts_with_digit = (token >= "0") & (token < ":")  # the character after 9
+    return F.when(starts_with_digit, F.lit(rules.NUMBER)).otherwise(token)
 
 
 def diff_url(title: Column, rev_id: Column, parent_id: Column, host: str) -> Column:

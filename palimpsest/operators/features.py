@@ -16,6 +16,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
+from ..session import stored
 
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -26,14 +27,17 @@ def terms(text: Column) -> Column:
     return F.transform(found, tx.normalize_number)
 
 
-def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
     """``key, term, weight``: raw counts times ``ln((1+n)/(1+df)) + 1``, each
-    document scaled to unit length. Long form; two aggregations and one join on
-    the term, whose side of document frequencies holds one row per term."""
-    counts = (
-        docs.select(key, F.explode(terms(F.col(text))).alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count("*").alias("tf"))
+    document scaled to unit length; with ``only``, of the documents whose key is
+    there (frequencies are those of all documents all the same).
+
+    The counts are made once and written; they meet one row per term, then a
+    document's terms meet for its length, and nothing is sorted by term.
+    """
+    counts = stored(
+        docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")),
+        "term-counts",
     )
     n_docs = docs.agg(F.count("*")).scalar()
     idf = (
@@ -41,9 +45,10 @@ def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
         .agg(F.count("*").alias("df"))
         .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    raw = counts.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    asked = counts if only is None else counts.join(only.select(key).distinct(), key, "left_semi")
+    raw = asked.join(idf.hint("shuffle_hash"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
 def top_terms(weights: DataFrame, clusters: DataFrame, key: str, k: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest import plans
-from palimpsest.operators import pairing
+from palimpsest.operators import features, pairing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,3 +33,13 @@ def test_sections_are_cut_once(spark):
     assert plan(cut).count("regexp_instr(") == 2  # one a side
     assert pairing.sections_of_pairs(df, max_chars=3).isEmpty()
 
+
+def test_terms_are_counted_once_and_only_those_asked_for(spark):
+    docs = spark.createDataFrame([(1, "aa bb 12 7x"), (2, "aa cc cc"), (3, "bb dd"), (4, None)], "id int, t string")
+    every = features.tfidf(docs, "id", "t")
+    assert "regexp_extract_all" not in plan(every)  # the counts are read back
+    some = features.tfidf(docs, "id", "t", spark.createDataFrame([(2,), (2,), (9,)], "id int"))
+    rows = lambda df: sorted((r.id, r.term, round(r.weight, 12)) for r in df.collect())
+    assert rows(some) == [r for r in rows(every) if r[0] == 2]
+    assert {r[1] for r in rows(every) if r[0] == 1} == {"aa", "bb", "#NUMBER"}
+
