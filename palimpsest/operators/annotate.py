@@ -9,6 +9,8 @@ from ..functions.collections import bind, bound
 from . import lookups
 
 EDIT_TYPE = "array<struct<pos:int,op:string>>"
+_BLOCK_BITS = 12  # positions of a key that are labelled together: 4096
+_NULL = "\0"  # a list leaves out nulls
 
 
 def with_verbs(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -170,13 +172,30 @@ def edit_table(annotated: DataFrame, key: str = "pair_id") -> DataFrame:
 
 
 def labels_from_table(edits: DataFrame, lengths: DataFrame, key: str = "pair_id") -> DataFrame:
-    """Dense labels from a long edit table: one row per position from -1."""
-    ops = edits.groupBy(key, "pos").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "op"))), lambda x: x["op"]).alias("ops")
+    """Dense labels from a long edit table: one row per position from -1.
+
+    Edits travel as two lists per key and block of positions, and meet one row
+    per block; the positions are made behind the join.
+    """
+    at = F.col("pos") + 1
+    placed = F.shiftleft(at.cast("bigint"), 32) + F.col("seq")
+    listed = edits.groupBy(key, F.shiftright(at, _BLOCK_BITS).alias("_block")).agg(
+        F.collect_list(placed).alias("at"), F.collect_list(F.coalesce("op", F.lit(_NULL))).alias("op")
     )
-    positions = lengths.select(key, F.explode(F.sequence(F.lit(-1), F.col("n_tokens") - 1)).alias("pos"))
-    return positions.join(ops, [key, "pos"], "left").withColumn(
-        "ops", F.coalesce("ops", F.array(F.lit(rules.KEEP)))
+    ordered = F.sort_array(F.arrays_zip("at", "op"))
+    n = F.col("n_tokens")
+    numbers = F.sequence(F.lit(0), F.shiftright(n, _BLOCK_BITS))
+    blocks = lengths.filter(n >= 0).select(key, "n_tokens", F.explode(numbers).alias("_block"))
+    first = F.shiftleft("_block", _BLOCK_BITS)  # the position before the block's own, plus one
+    inside = F.filter(ordered, lambda e: F.shiftright(e["at"], 32) <= n)
+    own = F.transform(inside, lambda e: _edit(F.shiftright(e["at"], 32) - 1 - first, F.nullif(e["op"], F.lit(_NULL))))
+    labels = tags.edits_to_labels(
+        F.coalesce(own, F.array().cast(EDIT_TYPE)), F.least(n - first, F.lit((1 << _BLOCK_BITS) - 1))
+    )
+    return (
+        blocks.join(listed, [key, "_block"], "left")
+        .select(key, "_block", F.posexplode(labels).alias("_i", "ops"))
+        .select(key, (first + F.col("_i") - 1).alias("pos"), "ops")
     )
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest import plans
-from palimpsest.operators import features, pairing
+from palimpsest.operators import annotate as an, features, pairing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -43,3 +43,21 @@ def test_terms_are_counted_once_and_only_those_asked_for(spark):
     assert rows(some) == [r for r in rows(every) if r[0] == 2]
     assert {r[1] for r in rows(every) if r[0] == 1} == {"aa", "bb", "#NUMBER"}
 
+
+def test_labels_of_long_keys_meet_block_by_block(spark):
+    rng = random.Random(7)
+    lengths = {1: 0, 2: 1, 3: 4095, 4: 4096, 5: 9000}
+    edits = [(k, p, s, f"op{s}") for k, n in lengths.items() for p in {rng.randrange(-1, n + 3) for _ in range(n // 3 + 2)} for s in range(2)]
+    edits = [e for e in edits if e[1] >= -1]
+    rng.shuffle(edits)
+    table = spark.createDataFrame([*edits, (2, 0, 9, None)], "pair_id int, pos int, seq int, op string")
+    found = an.labels_from_table(table, spark.createDataFrame(list(lengths.items()), "pair_id int, n_tokens int"))
+    want = {(k, p): ["$KEEP"] for k, n in lengths.items() for p in range(-1, n)}
+    for k, p, s, op in sorted([*edits, (2, 0, 9, None)], key=lambda e: e[:3]):
+        if (k, p) in want:
+            want[k, p] = [op] if want[k, p] == ["$KEEP"] else want[k, p] + [op]
+    rows = found.collect()
+    assert len(rows) == len(want) and {(r.pair_id, r.pos): r.ops for r in rows} == want
+    assert dict(found.dtypes)["pos"] == "int"
+    assert "_block" in next(x for x in plan(found).splitlines() if "Join" in x)
+
