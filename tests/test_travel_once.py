@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest import plans
-from palimpsest.operators import annotate as an, features, pairing
+from palimpsest.operators import annotate as an, cluster, features, pairing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -61,3 +61,16 @@ def test_labels_of_long_keys_meet_block_by_block(spark):
     assert dict(found.dtypes)["pos"] == "int"
     assert "_block" in next(x for x in plan(found).splitlines() if "Join" in x)
 
+
+def test_blocks_travel_once_per_tile(spark):
+    rng = random.Random(8)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    blocks = cluster.pack_blocks(cluster.collapse_copies(df, "id", "v"), "v", 16)
+    assert blocks.filter(F.length("vectors") != 4 * 4 * F.size("ids")).isEmpty()  # floats stay floats
+    pairs = cluster.block_pairs(blocks, 0.5)
+    sent = pairs.select("tile", F.explode(F.array("a", "b")).alias("block")).distinct().count()
+    assert sent * 2 < 2 * pairs.count()
+    doubles = cluster.pack_blocks(cluster.collapse_copies(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v"), "v", 16)
+    assert doubles.filter(F.length("vectors") != 8 * 4 * F.size("ids")).isEmpty()
+
