@@ -24,6 +24,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,11 +128,18 @@ class WordIds:
         return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """The ``WordIds`` of a Python worker: Spark gives a worker one task after the
+    other, and the chunks that one has met need not be encoded in the next."""
+    return WordIds(path, most=500_000)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of all documents; with ``ids`` also their token ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         step = 4 * capacity
         for whole in batches:
             for batch in pieces_of(whole, 1, 1 << 20):

@@ -74,3 +74,13 @@ def test_blocks_travel_once_per_tile(spark):
     doubles = cluster.pack_blocks(cluster.collapse_copies(spark.createDataFrame(rows, "id bigint, v array<double>"), "id", "v"), "v", 16)
     assert doubles.filter(F.length("vectors") != 8 * 4 * F.size("ids")).isEmpty()
 
+
+
+def test_a_worker_keeps_its_word_table():
+    from palimpsest.llm import packing, queries
+
+    words = packing.word_ids(queries.tokenizer_path())
+    first = words.of(["one two", None])
+    again = packing.word_ids(queries.tokenizer_path())
+    assert again is words and "two" in again.known
+    assert again.of(["one two", None]) == packing.WordIds(queries.tokenizer_path()).of(["one two", None]) == first
