@@ -38,9 +38,65 @@ END = 0
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-#: Chunks, one a line, of letters whose case and composed form are plain (lower
-#: case by one step, one code point each), and the stops after them.
-_FORMS = re.compile(r"^([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)$", re.MULTILINE)
+#: What a byte is to the tokenizer. Letters, here and below, are those of one or two
+#: bytes whose case and composed form are plain: A-Z, and À-ÿ but for the signs × and ÷.
+#: Of other characters beyond ASCII nothing is assumed.
+SPACE, LETTER, DIGIT, STOP, QUOTE, OTHER = range(6)
+_KINDS = np.full(256, STOP, np.uint8)
+_KINDS[128:] = OTHER
+_KINDS[list(b" \n")] = SPACE
+_KINDS[list(b"0123456789")] = DIGIT
+_KINDS[list(b"'")] = QUOTE
+_KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+#: The first byte of the letters of two bytes, their second ones and those of capitals.
+_LEAD = 0xC3
+_SECOND, _CAPITAL_SECOND = np.zeros((2, 256), bool)
+_SECOND[[i for i in range(0x80, 0xC0) if i not in (0x97, 0xB7)]] = True
+_CAPITAL_SECOND[[i for i in range(0x80, 0x9F) if i != 0x97]] = True
+
+#: ``_CUTS[8 * a + b]``: a chunk ends between a byte of kind ``a`` and one of kind ``b``,
+#: since the tokenizer parts them wherever they stand. A quote may open a contraction
+#: with the letters behind it and belongs to the stops beside it.
+_CUTS = np.zeros((32, 8), bool)
+_CUTS[:6, 1:6] = True
+_CUTS[range(6), range(6)] = False
+_CUTS[OTHER] = _CUTS[1:, OTHER] = False
+_CUTS[QUOTE, LETTER] = _CUTS[QUOTE, STOP] = _CUTS[STOP, QUOTE] = False
+
+#: Words whose ids follow from the vocabulary's merges alone.
+_LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def chunks(texts: pa.Array, added: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All texts (large binary, no nulls) cut where the tokenizer never joins, spaces
+    and line feeds at the end of what they follow, and where each text's chunks begin
+    (with the end). Letters become lower case, but for those before a character that may
+    combine with them. One of the ``added`` tokens and what adjoins it stay as they are."""
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    if ends[0] == ends[-1]:
+        return pa.array([], pa.large_binary()), np.zeros(len(ends), np.int64)
+    data = bytes(memoryview(texts.buffers()[2])[ends[0] : ends[-1]])
+    body, ends = np.frombuffer(data, np.uint8), ends - ends[0]
+    kinds = np.frombuffer(bytearray(data).translate(_KINDS.tobytes()), np.uint8)
+    leads = np.flatnonzero(body[:-1] == _LEAD)
+    leads = leads[_SECOND[body[leads + 1]]]
+    kinds[leads] = kinds[leads + 1] = LETTER
+    for token in added:
+        at = data.find(token)
+        while at >= 0:
+            kinds[at : at + len(token)] = OTHER
+            at = data.find(token, at + 1)
+    capital = (body - np.uint8(65)) < 26
+    capital[leads + 1] = _CAPITAL_SECOND[body[leads + 1]]
+    capital[:-1] &= (body[1:] < 128) | (body[1:] == _LEAD)
+    capital &= kinds == LETTER
+    lower = body | (capital.view(np.uint8) << 5)
+    cut = np.ones(len(body) + 1, bool)
+    cut[1:-1] = np.frombuffer(((kinds[:-1] << 3) | kinds[1:]).tobytes().translate(_CUTS.tobytes()), bool)
+    cut[ends] = True
+    starts = np.flatnonzero(cut)
+    buffers = [None, pa.py_buffer(starts), pa.py_buffer(lower)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, buffers), np.searchsorted(starts, ends)
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,29 +108,28 @@ def byte_letters() -> dict[int, str]:
 
 
 class WordIds:
-    """Ids of each chunk between spaces or line feeds as little-endian 32-bit numbers.
+    """Ids of the chunks of texts as little-endian 32-bit numbers.
 
-    The tokenizer treats all white space alike and never joins across it, so a
-    text's ids are those of its chunks; a test holds this against whole texts. Most
-    chunks are letters and a stop. Their letters are one word to the tokenizer, so
-    the vocabulary's merges are run on them alone, many words in one string: the
-    last id of a word is one that ends words.
+    A text's ids are those of its chunks; tests hold this against whole texts. A batch
+    is cut and numbered by its different chunks in columns, so that Python sees each of
+    these once a batch. Most are words of lower-case letters, and one word to the
+    tokenizer: the vocabulary's merges are run on them alone, many in one string, where
+    the last id of a word is one that ends words.
     """
 
     def __init__(self, path: str, most: int = 900_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        #: A plain dictionary: ``set.difference`` looks up each element in one, but
-        #: walks through all of a subclass.
         self.known: dict[str, bytes] = {}
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.added = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
-        self.letters = byte_letters()
+        self.letters = {chr(b): c for b, c in byte_letters().items() if b > 127 and c != chr(b)}
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks in one call; it tells each id's chunk."""
@@ -84,16 +139,17 @@ class WordIds:
         self._store(chunks, ids, ends)
 
     def _store(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        packed, start = ids.tobytes(), 0
-        for chunk, end in zip(chunks, (4 * ends).tolist()):
-            self.known[chunk] = packed[start:end]
-            start = end
+        offsets = np.append(0, 4 * ends)
+        packed = pa.Array.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+        self.known.update(zip(chunks, packed.to_numpy(zero_copy_only=False).tolist()))
 
     def _learn_letters(self, words: list[str]) -> None:
         """The same for words of lower-case letters."""
         line = " ".join(words)
         if not line.isascii():
-            line = line.encode().decode("latin-1").translate(self.letters | {32: " "})
+            line = line.encode().decode("latin-1")
+            for byte, letter in self.letters.items():
+                line = line.replace(byte, letter)
         ids = np.array(self.merges.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) == len(words):
@@ -101,31 +157,33 @@ class WordIds:
         else:  # a vocabulary that does not mark the ends of words
             self._learn(words)
 
-    def _split_learn(self, chunks: set[str]) -> None:
-        """Words of letters are encoded once for all their forms: letters and what
-        follows them are separate words to the tokenizer, in lower case."""
-        forms = _FORMS.findall("\n".join(chunks))
-        letters, after = zip(*forms) if forms else ((), ())
-        whole = list(map(str.__add__, letters, after))
-        lower = "\n".join(letters).lower().split("\n") if letters else []
-        words = list(set(lower).difference(self.known))
-        if words:
-            self._learn_letters(words)
-        others = list(chunks.difference(whole).union(after).difference(self.known))
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk. Where the table is full, it starts again with these."""
+        ids = list(map(self.known.get, chunks))
+        new = list(dict.fromkeys(c for c, i in zip(chunks, ids) if i is None))
+        if len(self.known) + len(new) > self.most:
+            self.known = {c: i for c, i in zip(chunks, ids) if i is not None}
+        letters = list(filter(_LETTERS, new))
+        if letters:
+            self._learn_letters(letters)
+        others = [c for c in new if c not in self.known]
         if others:
             self._learn(others)
-        ids = map(bytes.__add__, map(self.known.__getitem__, lower), map(self.known.__getitem__, after))
-        self.known.update(zip(whole, ids))
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = set().union(*split)
-        self._split_learn(new)
-        end = END.to_bytes(4, "little")
-        return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
+        return [self.known[c] if i is None else i for c, i in zip(chunks, ids)]
+
+    def of(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """The ids of each text, and behind them the end of text."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        if not len(texts):
+            return []
+        parts, first = chunks(texts.cast(pa.large_binary()).fill_null(b""), self.added)
+        found = parts.dictionary_encode()
+        words = found.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False)
+        ids = pa.array(self._ids([w.rstrip(" \n") for w in words]), pa.large_binary()).take(found.indices)
+        packed, end = memoryview(ids.buffers()[2] or b""), END.to_bytes(4, "little")
+        at = np.frombuffer(ids.buffers()[1], np.int64)[first].tolist() if len(ids) else first
+        return [bytes(packed[a:b]) + end for a, b in zip(at, at[1:])]
 
 
 @lru_cache(maxsize=1)
@@ -142,9 +200,9 @@ def tokenized(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bo
         words = word_ids(tokenizer)
         step = 4 * capacity
         for whole in batches:
-            for batch in pieces_of(whole, 1, 1 << 20):
+            for batch in pieces_of(whole, 1):
                 rows: list[tuple] = []
-                for doc, packed in zip(batch.column(0).to_pylist(), words.of(batch.column(1).to_pylist())):
+                for doc, packed in zip(batch.column(0).to_pylist(), words.of(batch.column(1))):
                     for piece, at in enumerate(range(0, len(packed), step)):
                         part = packed[at : at + step]
                         rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
