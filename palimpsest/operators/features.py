@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as tx
 from ..session import stored
+from . import postings
 
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -27,28 +28,50 @@ def terms(text: Column) -> Column:
     return F.transform(found, tx.normalize_number)
 
 
-def tfidf(docs: DataFrame, key: str, text: str, only: DataFrame | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, key: str, text: str, only: DataFrame | None = None, words: int = postings.BLOCK) -> DataFrame:
     """``key, term, weight``: raw counts times ``ln((1+n)/(1+df)) + 1``, each
     document scaled to unit length; with ``only``, of the documents whose key is
     there (frequencies are those of all documents all the same).
 
-    The counts are made once and written; they meet one row per term, then a
-    document's terms meet for its length, and nothing is sorted by term.
+    Counts are made once and written as postings of blocks of ``words`` words. A term
+    meets its frequency once per block, and no row per document and term travels;
+    rows that share a key, which lie anywhere, meet as such rows.
     """
-    counts = stored(
-        docs.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")),
-        "term-counts",
-    )
-    n_docs = docs.agg(F.count("*")).scalar()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("shared")), "shared-keys")
+    same = F.col("key").eqNullSafe(F.col("shared"))
+    some = not shared.isEmpty()
+    alone = rows.join(shared, same, "left_anti") if some else rows
+    posts = stored(postings.posted(alone.select("key", terms(F.col("text")).alias("terms")), words), "postings")
+    in_blocks = postings.in_blocks(posts)
+    frequencies = in_blocks.select("term", "n")
+    if some:
+        counts = stored(
+            rows.join(shared, same, "left_semi")
+            .select("key", F.explode(terms(F.col("text"))).alias("term"))
+            .groupBy("key", "term")
+            .agg(F.count("*").alias("tf")),
+            "term-counts",
+        )
+        frequencies = frequencies.unionAll(counts.select("term", F.lit(1).cast("bigint").alias("n")))
+    n_docs = rows.agg(F.count("*")).scalar()
     idf = (
-        counts.groupBy("term")
-        .agg(F.count("*").alias("df"))
-        .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf"))
+        frequencies.groupBy("term")
+        .agg(F.sum("n").alias("df"))
+        .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("weight"))
     )
-    asked = counts if only is None else counts.join(only.select(key).distinct(), key, "left_semi")
-    raw = asked.join(idf.hint("shuffle_hash"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
+    given = in_blocks.join(idf.hint("shuffle_hash"), "term").select("block", "no", "weight")
+    if only is not None:
+        asked = only.select(F.col(key).alias("key")).distinct()
+        places = postings.keys_in_blocks(posts).join(asked, "key", "left_semi")
+        given = given.unionAll(places.select("block", "no", F.lit(None).cast("double")))
+    out = postings.scaled(posts, given, key, only is not None)
+    if not some:
+        return out
+    wanted = counts if only is None else counts.join(asked, "key", "left_semi")
+    raw = wanted.join(idf.hint("shuffle_hash"), "term").select("key", "term", (F.col("tf") * F.col("weight")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+    return out.unionAll(raw.select("key", "term", (F.col("w") / norm).alias("weight")))
 
 
 def top_terms(weights: DataFrame, clusters: DataFrame, key: str, k: int = 10) -> DataFrame:
